@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,11 +52,6 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", shingle:
     return out.select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns if c.lower() != name], name)
 
 
-def flips(count: int, at: Iterable[int]) -> Column:
-    """Masks that flip no bit or one of the bits ``at``, as an array literal."""
-    return F.array(*[F.lit(x) for x in [0, *(signed(1 << i) for i in at)]])
-
-
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -75,32 +70,34 @@ def links(prints: DataFrame) -> DataFrame:
     where the rest is equal, with one of the block's other bits flipped too.
     Either way a group adds one edge for each member, never all pairs.
     """
-    emitted = []
+    variants = []
     for b in range(BLOCKS):
         own = range(b * WIDTH, (b + 1) * WIDTH)
-        rest = signed(((1 << BITS) - 1) ^ sum(1 << i for i in own))
-        flip = F.explode(flips(BITS, [i for i in range(BITS) if i not in own])).alias("flip")
-        emitted.append(prints.select("fp", F.lit(b).alias("block"), F.col("fp").bitwiseAND(F.lit(rest)).alias("rest"), flip))
-    rows = emitted[0]
-    for more in emitted[1:]:
-        rows = rows.unionByName(more)
-    rows = rows.select("fp", "block", F.col("rest").bitwiseXOR(F.col("flip")).alias("variant"), (F.col("flip") == 0).alias("exact"))
+        hidden = F.lit(signed(sum(1 << i for i in own))).alias("own")
+        for flip in [0, *(1 << i for i in range(BITS) if i not in own)]:
+            variants.append(F.struct(F.lit(b).alias("block"), hidden, F.lit(signed(flip)).alias("flip")))
+    rows = prints.select("fp", F.explode(F.array(*variants)).alias("x")).select(
+        "fp",
+        F.col("x.block").cast("byte").alias("block"),
+        F.col("fp").bitwiseAND(F.bitwise_not("x.own")).bitwiseXOR(F.col("x.flip")).alias("variant"),
+    )
     meet = W.partitionBy("block", "variant")
     rows = rows.withColumn("least", F.min("fp").over(meet))
     rows = rows.withColumn("far", F.max(F.bit_count(F.col("fp").bitwiseXOR(F.col("least")))).over(meet))
-    near = rows.where("far <= 3 and fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
-    wide = rows.where("far > 3")
-    fine = None
-    for b in range(BLOCKS):
-        at, here = range(b * WIDTH, (b + 1) * WIDTH), wide.where(F.col("block") == b)
-        hidden = F.explode(F.array(*[F.lit(signed(1 << i)) for i in at])).alias("hidden")
-        plain = here.select("*", hidden).withColumn("flip", F.lit(0).cast("long"))
-        flipped = here.where("exact").select("*", hidden).select("*", F.explode(flips(BITS, at)).alias("flip"))
-        part = plain.unionByName(flipped.where("flip <> 0 and flip <> hidden"))
-        mask = F.lit(signed(sum(1 << i for i in at)))
-        inner = F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.bitwise_not("hidden")).bitwiseAND(mask)
-        part = part.select("fp", "block", "variant", "hidden", inner.alias("inner"))
-        fine = part if fine is None else fine.unionByName(part)
+    met = checkpointed(rows.where("fp <> least or far > 3"))
+    near = met.where("far <= 3").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    # second level: hide one bit of the block, and where the rest is equal flip another bit too, or none
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    base = F.col("block").cast("int") * WIDTH
+    each = F.sequence(F.lit(0), F.lit(WIDTH - 1))
+    own = F.call_function("shiftleft", F.lit((1 << WIDTH) - 1).cast("long"), base)
+    exact = F.col("fp").bitwiseAND(F.bitwise_not(own)) == F.col("variant")
+    none = F.array(F.lit(0).cast("long"))
+    wide = met.where("far > 3").select("fp", "block", "variant", F.transform(each, lambda i: bit(base + i)).alias("bits"), own.alias("own"), exact.alias("exact"))
+    wide = wide.select("*", F.explode("bits").alias("hidden"))
+    wide = wide.select("*", F.explode(F.when(F.col("exact"), F.concat(none, "bits")).otherwise(none)).alias("flip")).where("flip <> hidden")
+    inner = F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.bitwise_not("hidden")).bitwiseAND(F.col("own"))
+    fine = wide.select("fp", "block", "variant", "hidden", inner.alias("inner"))
     fine = fine.withColumn("least", F.min("fp").over(W.partitionBy("block", "variant", "hidden", "inner")))
     close = fine.where((F.col("fp") != F.col("least")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= 3))
     return near.unionByName(close.select(F.col("fp").alias("u"), F.col("least").alias("v"))).distinct()
