@@ -28,10 +28,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start and end (bytes), text number and 64-bit hash of every word of the texts."""
     data = FOLD[data]
-    inside = IN_WORD[data]
+    inside = letters[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
