@@ -1,6 +1,6 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can state."""
 
-from . import decontaminate, langid, mixing, pii, secrets, simhash, suffix_tree, topk, toxicity
+from . import decontaminate, langid, mixing, pii, repeats, secrets, simhash, suffix_tree, topk, toxicity
 
-QUERIES = {"op1_mix_sources": mixing.query, "op2_secrets": secrets.query, "op3_language": langid.query, "op4_decontaminate": decontaminate.query, "op5_personal_data": pii.query, "op6_toxicity": toxicity.query, "op7_suffix_tree": suffix_tree.query, "op8_near_duplicates": simhash.query, "op10_top_k": topk.query}
+QUERIES = {"op1_mix_sources": mixing.query, "op2_secrets": secrets.query, "op3_language": langid.query, "op4_decontaminate": decontaminate.query, "op5_personal_data": pii.query, "op6_toxicity": toxicity.query, "op7_suffix_tree": suffix_tree.query, "op8_near_duplicates": simhash.query, "op9_repeats": repeats.query, "op10_top_k": topk.query}
 SQL = {"op1_mix_sources": mixing.SQL, "op4_decontaminate": decontaminate.SQL, "op10_top_k": topk.SQL}

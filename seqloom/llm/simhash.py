@@ -136,25 +136,47 @@ def near_duplicates(
     Equal fingerprints are collapsed to one row first, so a group of copies,
     however large, is one member of the ball hashing; texts are never shuffled.
 
-    Returns ``keep`` (all input columns by default), fp (signed long) and
-    component_id, the least id that is reachable; both replace input columns of
-    those names. Null texts and texts without words have fingerprint 0 and link
+    Returns ``keep`` (all input columns by default), fp (signed long),
+    component_id, the least id that is reachable, and component_root, the
+    component's least fingerprint; they replace input columns of those names. Null texts and texts without words have fingerprint 0 and link
     like others. A null id is passed over when the least is taken, and a
     component without any id has a null component_id. Repeated rows have the
     same result. An empty table gives an empty result.
     """
-    own = carried(docs, keep, ("fp", "component_id"))
+    own = carried(docs, keep, ("fp", "component_id", "component_root"))
     named = docs.select(*[quoted(c).alias(f"in_{c}") for c in own], quoted(key).alias("id"), quoted(text).alias("text"))
     rows = checkpointed(fingerprints(named, "text", shingle=shingle).drop("text"))
     prints = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
     roots = components(links(prints.select("fp")))
     linked = prints.join(roots.withColumnRenamed("node", "fp"), "fp")
     by_root = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = linked.join(by_root, "root").select(F.col("fp"), "component_id", F.lit(1).alias("linked"))
+    linked = linked.join(by_root, "root").select("fp", "component_id", "root")
+    alone = F.col("root").isNull()
     of = prints.join(linked, "fp", "left").select(
-        F.col("fp").alias("p"), F.when(F.col("linked").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id")
+        F.col("fp").alias("p"),
+        F.when(alone, F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("root", "fp").alias("component_root"),
     )
-    return rows.join(of, F.col("fp") == F.col("p"), "left").select(*[quoted(f"in_{c}").alias(c) for c in own], "fp", "component_id")
+    found = rows.join(of, F.col("fp") == F.col("p"), "left")
+    return found.select(*[quoted(f"in_{c}").alias(c) for c in own], "fp", "component_id", "component_root")
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """One document of each component, all columns unchanged: that of the least id, nulls last, then of the least text hash.
+
+    Texts are moved once, to meet the chosen (id, text hash) pairs; of rows that
+    repeat both, one stays.
+    """
+    digest = lambda: F.coalesce(F.md5(quoted(text)), F.lit(""))
+    named = docs.select(quoted(key).alias("id"), quoted(text).alias("text"), digest().alias("digest"))
+    found = near_duplicates(named, "id", "text", shingle, keep=["id", "digest"])
+    best = F.min(F.struct(F.isnull("id").alias("none"), "id", "digest")).alias("best")
+    chosen = found.groupBy("component_root").agg(best).select(F.col("best.id").alias("chosen_id"), F.col("best.digest").alias("chosen"))
+    row = F.struct(*[quoted(c) for c in docs.columns]).alias("row")
+    rows = docs.select(row, quoted(key).alias("own_id"), digest().alias("own"))
+    kept = rows.join(chosen, F.col("own_id").eqNullSafe(F.col("chosen_id")) & (F.col("own") == F.col("chosen")), "left_semi")
+    first = F.row_number().over(W.partitionBy("own_id", "own").orderBy("own"))
+    return kept.withColumn("first", first).where("first = 1").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
