@@ -1,4 +1,7 @@
 """All queries of the library by name, with the SQL that states the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import words
+
+PARTS = (words,)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}
