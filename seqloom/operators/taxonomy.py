@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import right_tail
+from .loops import cut
 
 #: Ranks from the lowest up (fixed values).
 RANKS = ["species", "genus", "family", "order", "class", "phylum", "superkingdom"]
@@ -122,7 +123,7 @@ def include_taxa(votes: DataFrame, shortlisted: DataFrame, lineage: DataFrame, b
     sibling mean the member's whole genus is shortlisted. The same at each
     higher rank with the means of child taxa, up to ``top``.
     """
-    full = votes.join(lineage, "class_id")
+    full = cut(votes.join(lineage, "class_id"))
     listed = shortlisted.select("read_id", "class_id").withColumn("hit", F.lit(True))
     scores = None
     for rank in RANKS[1 : RANKS.index(top) + 1]:
@@ -137,13 +138,13 @@ def include_taxa(votes: DataFrame, shortlisted: DataFrame, lineage: DataFrame, b
         tested = sibling_test(members, ["read_id", *upper], "value").where("hit")
         p = right_tail(F.col("t"), F.col("siblings").cast("double") - 1)
         taken = tested.withColumn("p", p).where((F.col("p") < bloom) & (F.col("sibling_mean") > 0))
-        whole = taken.select("read_id", rank).distinct()
+        whole = cut(taken.select("read_id", rank).distinct())
         added = full.select("read_id", "class_id", rank).join(whole, ["read_id", rank], "left_semi").select("read_id", "class_id")
-        listed = listed.select("read_id", "class_id").unionByName(added).distinct().withColumn("hit", F.lit(True))
+        listed = cut(listed.select("read_id", "class_id").unionByName(added).distinct()).withColumn("hit", F.lit(True))
         if rank == "genus":
             means = full.groupBy("read_id", *upper).agg(F.avg("vote").alias("score"))
         else:
-            means = means.groupBy("read_id", *upper).agg(F.avg("score").alias("score"))
+            means = cut(means.groupBy("read_id", *upper).agg(F.avg("score").alias("score")))
         here = means.join(whole, ["read_id", rank], "left_semi").select("read_id", F.col(rank).alias("taxid"), "score")
         scores = here if scores is None else scores.unionByName(here)
     best = scores.groupBy("read_id", "taxid").agg(F.max("score").alias("score"))
@@ -151,19 +152,24 @@ def include_taxa(votes: DataFrame, shortlisted: DataFrame, lineage: DataFrame, b
 
 
 def collapsed_hits(shortlisted: DataFrame, lineage: DataFrame) -> DataFrame:
-    """(read_id, rank, taxid): taxa all of whose classes are shortlisted and that have more than one child, top rank first; the rest as strains."""
-    rest = shortlisted.select("read_id", "class_id").join(lineage, "class_id")
-    out = None
-    for rank in reversed(RANKS[1:]):
+    """(read_id, rank, taxid): taxa all of whose classes are shortlisted and that have more than one child, top rank first; the rest as strains.
+
+    A taxon that is full takes all its members with it, and one that is not
+    takes none, so counts over the whole shortlist serve all ranks at once; they
+    are windows within a read, over one partitioning.
+    """
+    sized = lineage
+    for rank in RANKS[1:]:
         child = RANKS[RANKS.index(rank) - 1] if rank != "genus" else "class_id"
-        sizes = lineage.groupBy(rank).agg(F.count("*").alias("members"), F.countDistinct(child).alias("children"))
-        full = rest.groupBy("read_id", rank).agg(F.count("*").alias("n")).join(sizes, rank)
-        full = full.where((F.col("n") == F.col("members")) & (F.col("children") > 1) & (F.col(rank) != 0)).select("read_id", rank)
-        here = full.select("read_id", F.lit(rank).alias("rank"), F.col(rank).cast("long").alias("taxid"))
-        out = here if out is None else out.unionByName(here)
-        rest = rest.join(full, ["read_id", rank], "left_anti")
-    strains = rest.select("read_id", F.lit("strain").alias("rank"), F.col("class_id").cast("long").alias("taxid"))
-    return out.unionByName(strains)
+        sizes = lineage.groupBy(rank).agg(F.count("*").alias(f"{rank}_members"), F.countDistinct(child).alias(f"{rank}_children"))
+        sized = sized.join(sizes, rank)
+    rows = shortlisted.select("read_id", "class_id").join(cut(sized), "class_id").repartition("read_id")
+    hit = F.struct(F.lit("strain").alias("rank"), F.col("class_id").cast("long").alias("taxid"))
+    for rank in RANKS[1:]:
+        n = F.count("*").over(W.partitionBy("read_id", rank))
+        full = (n == F.col(f"{rank}_members")) & (F.col(f"{rank}_children") > 1) & (F.col(rank) != 0)
+        hit = F.when(full, F.struct(F.lit(rank).alias("rank"), F.col(rank).cast("long").alias("taxid"))).otherwise(hit)
+    return rows.select("read_id", hit.alias("hit")).select("read_id", "hit.*").distinct()
 
 
 def distinct_children(rows: DataFrame, taxon: str, order: str) -> DataFrame:

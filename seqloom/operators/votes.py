@@ -50,14 +50,14 @@ def prefix_lengths(names: list[str], prefixes: dict[str, int]) -> dict[str, list
 
 
 def orientation(scores: DataFrame, weights: DataFrame) -> DataFrame:
-    """(read_id, use_reverse): whether weighted nucleotide scores are strictly higher for the reverse complement.
+    """(read_id, use_reverse): whether weighted nucleotide scores are higher, by more than rounding, for the reverse complement.
 
     ``scores`` has the columns forward_method and reverse; ``weights`` (method, weight).
     """
     weighted = scores.join(weights.withColumnRenamed("method", "forward_method"), "forward_method")
     side = lambda rc: F.sum(F.when(F.col("reverse") == rc, F.col("score") * F.col("weight")).otherwise(0.0))
     sums = weighted.groupBy("read_id").agg(side(False).alias("forward"), side(True).alias("backward"))
-    return sums.select("read_id", "forward", "backward", (F.col("backward") > F.col("forward")).alias("use_reverse"))
+    return sums.select("read_id", "forward", "backward", (F.round(F.col("backward") - F.col("forward"), 6) > 0).alias("use_reverse"))
 
 
 def weighted_votes(scores: DataFrame, weights: DataFrame, class_weights: DataFrame | None = None, proteins: DataFrame | None = None) -> DataFrame:

@@ -73,9 +73,9 @@ SCORES = f"""{VECTORS}, {BAYES_MODEL}, {BAYES_SCORES}, {D2_SCORES}, {PRIOR},
 scores AS (SELECT 'bayes' AS method, read_id, class_id, round(score, 6) AS score FROM bayes
     UNION ALL SELECT 'd2', read_id, class_id, round(score, 6) FROM d2
     UNION ALL SELECT 'prior', e.vec_id, class_id, round(score, 6) FROM embeddings e CROSS JOIN prior)"""
-WEIGHTS = {"bayes": 1.0, "d2": 20.0, "prior": 0.5}
+WEIGHTS = {"bayes": 1.0, "d2": 20.0, "prior": 2.0}
 VOTES = f"""{SCORES}, votes AS (SELECT read_id, class_id,
-    round(sum(score * CASE method WHEN 'bayes' THEN 1.0 WHEN 'd2' THEN 20.0 ELSE 0.5 END), 5) AS vote FROM scores GROUP BY 1, 2)"""
+    round(sum(score * CASE method WHEN 'bayes' THEN 1.0 WHEN 'd2' THEN 20.0 ELSE 2.0 END), 6) AS vote FROM scores GROUP BY 1, 2)"""
 
 
 def vector_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.votes import weighted_votes
 
     weights = spark.createDataFrame(list(WEIGHTS.items()), "method string, weight double")
-    return weighted_votes(scores(spark, sf_dir), weights).withColumn("vote", F.round("vote", 5))
+    return weighted_votes(scores(spark, sf_dir), weights).withColumn("vote", F.round("vote", 6))
 
 
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
