@@ -110,7 +110,7 @@ def orientation_pick(spark, d):
         found = models.sparse_scores(r_words, r_len, c_words, c_len)
         sides.append(found.select(F.lit("nt.sparse").alias("forward_method"), F.lit(reverse).alias("reverse"), "read_id", "class_id", F.round("score", 6).alias("score")))
     weights = spark.createDataFrame([("nt.sparse", 1.0)], "method string, weight double")
-    return rounded(votes.orientation(sides[0].unionByName(sides[1]), weights), 4, "forward", "backward")
+    return rounded(votes.orientation(sides[0].unionByName(sides[1]), weights), 6, "forward", "backward")
 
 
 def weighted_vote(spark, d):
@@ -211,7 +211,7 @@ FROM (SELECT CAST(substr(source, 4) AS INTEGER) AS class_id, avg(n_chars) AS w F
     "orientation_pick": f"""WITH {SHARED},
 s AS (SELECT read_id, round(shared * ln(CAST(class_length AS DOUBLE) / read_length), 6) AS f, 0.0 AS b FROM fs JOIN cl USING (class_id) JOIN rl USING (read_id)
   UNION ALL SELECT read_id, 0.0, round(shared * ln(CAST(class_length AS DOUBLE) / read_length), 6) FROM bs JOIN cl USING (class_id) JOIN rl USING (read_id))
-SELECT read_id, round(sum(f), 4) AS forward, round(sum(b), 4) AS backward, round(sum(b) - sum(f), 6) > 0 AS use_reverse FROM s GROUP BY 1""",
+SELECT read_id, round(sum(f), 6) AS forward, round(sum(b), 6) AS backward, round(sum(b) - sum(f), 6) > 0 AS use_reverse FROM s GROUP BY 1""",
     "weighted_vote": f"WITH {V.VOTES} SELECT * FROM votes",
     "softmax_vote": f"""WITH {V.VOTES}, e AS (SELECT read_id, class_id, exp(vote - max(vote) OVER (PARTITION BY read_id)) AS e FROM votes)
 SELECT read_id, class_id, round(e / sum(e) OVER (PARTITION BY read_id), 6) AS posterior FROM e""",

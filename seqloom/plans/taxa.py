@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import rules, taxonomy, training, votes
+from ..operators import genefinder, rules, taxonomy, training, votes
 from ..sources import lineages, profiles, reports, scores as score_tables
 from . import views as V
 from .classes import SHORTLIST, rounded
@@ -209,7 +209,13 @@ def filter_counts(spark, d):
     return reports.filter_counts(rule_filter(spark, d))
 
 
-NAMES = "ancestors lca_prec lca_sens subtree_filter rule_filter ancestry_line label_presence labels_common read_taxa tax_mean_of_means hit_collapse lineage_propagate lineage_long loo_t_stat taxon_bloom autocross_truth autocross_error autocross_2iter rmse method_accuracy perf_hits gtf_offsets sam_max_as score_pivot score_unpivot profile_lines report_table consensus_report pairs_of_lines filter_counts".split()
+def orf_viterbi(spark, d):
+    """Proteins of reading frames that the gene finder sees in the reads, with neutral parameters."""
+    rows = V.reads(spark, d)
+    return genefinder.find_genes(rows, genefinder.Parameters.uniform(), least_length=30, least_frame=18).select("read_id", "protein")
+
+
+NAMES = "orf_viterbi ancestors lca_prec lca_sens subtree_filter rule_filter ancestry_line label_presence labels_common read_taxa tax_mean_of_means hit_collapse lineage_propagate lineage_long loo_t_stat taxon_bloom autocross_truth autocross_error autocross_2iter rmse method_accuracy perf_hits gtf_offsets sam_max_as score_pivot score_unpivot profile_lines report_table consensus_report pairs_of_lines filter_counts".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
 LCA = f"""{V.CLOSURE}, {V.PAIRS},

@@ -13,7 +13,7 @@ LINE = r"^\s*([^:]+?)\s*:\s*(\d+)\s*(?:\((.*)\))?\s*$"
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, place, value) of the lines of small files; a file is read whole, by one task, so lines keep their order."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     rows = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("place", "value"))
     return rows.where("value <> ''")
 
