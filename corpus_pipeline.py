@@ -18,10 +18,15 @@ from seqloom.llm.simhash import deduplicate
 from seqloom.llm.toxicity import score_toxicity
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Whole rows beside the columns that a stage looks at, so that no other column can clash with a stage's own."""
+    return docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("document"), "doc_id", "text")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the clause grammar, learned from the labels, scores under 0.7."""
-    scored = score_toxicity(docs, read(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(*[quoted(c) for c in docs.columns])
+    scored = score_toxicity(packed(docs), read(spark, sf_dir, "labels"))
+    return scored.where("predicted = 0").select("document.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,16 +36,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than 5% lie in windows of the benchmark, or none."""
-    judged = decontaminate(docs, read(spark, sf_dir, "benchmark"))
-    return judged.where("not contaminated").select(*[quoted(c) for c in docs.columns])
+    judged = decontaminate(packed(docs), read(spark, sf_dir, "benchmark"))
+    return judged.where("not contaminated").select("document.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a tag in place of each span of personal data."""
-    found = find_personal_data(docs, redacted=True)
-    changed = F.coalesce(~found["redacted_text"].eqNullSafe(found["text"]), F.lit(False))
-    new = {"text": F.col("redacted_text"), "n_chars": F.when(changed, F.length("redacted_text")).otherwise(F.col("n_chars"))}
-    return found.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else quoted(c) for c in docs.columns])
+    found = find_personal_data(packed(docs), redacted=True)
+    changed = ~F.col("redacted_text").eqNullSafe(F.col("text"))
+    new = {"text": F.col("redacted_text"), "n_chars": F.when(changed, F.length("redacted_text")).otherwise(F.col("document.n_chars"))}
+    kept = lambda c: new[c].cast(docs.schema[c].dataType) if c in new else F.col("document")[c]
+    return found.select(*[kept(c).alias(c) for c in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,7 +83,8 @@ class Phrases:
 class Index:
     """FM-index of a symbol sequence: wavelet matrix over the BWT and sampled suffix positions.
 
-    The sequence must end in 0, which occurs elsewhere too as the separator.
+    The sequence must end in 0, which stands nowhere else: so no two rotations
+    are equal, and every step back leads to a sampled position.
     """
 
     def __init__(self, text: np.ndarray, every: int = 8):
@@ -146,7 +147,7 @@ class Index:
 
 
 def suffixes(text: np.ndarray) -> np.ndarray:
-    """Suffix order, as of the cyclic sequence, by sorting ever longer prefixes (times three a round)."""
+    """Suffix order of a sequence with a last symbol of its own, by sorting ever longer prefixes (times three a round)."""
     n = len(text)
     _, rank = np.unique(text, return_inverse=True)
     width, length = max(1, n).bit_length(), 1
@@ -175,8 +176,6 @@ def suffixes(text: np.ndarray) -> np.ndarray:
         if length >= n:
             break
         length *= parts
-    if len(np.unique(rank)) < n:  # a cyclic repetition of a whole: any order of equals will do
-        return np.argsort(rank, kind="stable")
     order = np.empty(n, np.int64)
     order[rank] = np.arange(n)
     return order
@@ -202,7 +201,7 @@ def scan(phrases: Phrases, column: pa.Array, shard_bytes: int) -> Iterator[tuple
             kept = np.flatnonzero((symbol > 0) & (length[run] >= shortest))
         if place is not None and len(kept):
             new = np.flatnonzero(np.diff(run[kept], prepend=-1))
-            text = np.insert(symbol[kept], new, 0)
+            text = np.insert(symbol[kept], new, len(phrases.marks) + 1)
             origin = np.insert(kept, new, -1)
             text, origin = np.append(text[1:], 0), np.append(origin[1:], -1)
             row, at = Index(text).search(phrases.windows)

@@ -76,6 +76,8 @@ class Model:
     def fit(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         """counts: sorted 4-grams and their counts, by language."""
         out = cls(sorted(counts))
+        if not counts:
+            return out
         parts: list[list] = [[] for _ in range(ORDER)]
         for lang in out.langs:
             grams, n = counts[lang]
@@ -151,6 +153,9 @@ def train(rows: DataFrame, bound: int) -> Model:
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = counts.toPandas().sort_values(["lang", "gram"])
     model = Model.fit({lang: (part["gram"].to_numpy(np.uint64), part["n"].to_numpy()) for lang, part in table.groupby("lang")})
+    model.limit, model.spread = np.full(len(model.langs), np.inf), np.ones(len(model.langs))
+    if not model.langs:
+        return model
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +166,6 @@ def train(rows: DataFrame, bound: int) -> Model:
             own = cost[use, lang[use]]
             yield pa.RecordBatch.from_pydict({"j": pa.array(lang[use], pa.int64()), "a": own, "b": own**2})
 
-    model.limit, model.spread = np.full(len(model.langs), np.inf), np.ones(len(model.langs))
     sums = sample.select("lang", "text").mapInArrow(calibrate, "j long, a double, b double").groupBy("j")
     for j, n, a, b in sums.agg(F.count("*"), F.sum("a"), F.sum("b")).collect():
         model.spread[j] = max(1e-3, (max(0.0, b / n - (a / n) ** 2)) ** 0.5)
