@@ -66,9 +66,15 @@ def repeated_windows(docs: DataFrame, width: int, half: int, shard_bytes: int, m
     """
     texts = docs.select(F.unhex(F.md5("t")).alias("h"), "t").where(F.octet_length("t") >= width)
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def anchors(batches: Iterator[pa.RecordBatch], once: bool = False) -> Iterator[pa.RecordBatch]:
+        """``once``: of the copies of a text in a partition only the first."""
+        seen: set[bytes] = set()
         for batch in batches:
             h = batch.column(batch.schema.get_field_index("h"))
+            if once:
+                new = [x not in seen and not seen.add(x) for x in h.to_pylist()]
+                batch = batch.filter(pa.array(new, pa.bool_()))
+                h = batch.column(batch.schema.get_field_index("h"))
             for doc, found, _, _ in emit(batch, width, half):
                 size = (found["last"] - found["first"] + 1).astype(np.int32)
                 yield pa.RecordBatch.from_pydict(
@@ -136,7 +142,8 @@ def repeated_windows(docs: DataFrame, width: int, half: int, shard_bytes: int, m
     single = regions.where("n = 1").select("anchor", "kind")
     partly = found.select("anchor", "kind", "runs").unionByName(more).where(F.size("runs") > 0).join(single, ["anchor", "kind"], "left_semi")
     results = whole.unionByName(partly).groupBy("anchor", "kind").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    return rows.select("h", "first", "anchor", "kind").join(results, ["anchor", "kind"]).groupBy("h", "first").agg(F.min("runs").alias("runs"))
+    places = texts.mapInArrow(lambda batches: anchors(batches, once=True), ROWS).select("h", "first", "anchor", "kind")
+    return places.join(results, ["anchor", "kind"]).groupBy("h", "first").agg(F.min("runs").alias("runs"))
 
 
 def remove_repeats(
