@@ -311,7 +311,7 @@ def decontaminate(
         n_hit.alias("n_hit"),
         F.size("held").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("held"), ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit >= share * F.col("n_words"))).alias("contaminated"),
+        ((n_hit > 0) & (n_hit + 1e-9 >= share * F.col("n_words"))).alias("contaminated"),
         *[F.col("clean_text")] * cleaned,
     )
 
