@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, in_fold, quoted, read, sampled
+from .common import carried, checkpointed, in_fold, quoted, read, sampled
 
 # Starting words of the grammar's classes, in English, German, French and Spanish.
 INSULTS = "idiot moron stupid pathetic worthless disgusting scum trash loser clown dumm abschaum widerlich imbécile minable estúpido basura".split()
@@ -134,16 +134,21 @@ def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode()) >> 1
 
 
-def train(rows: DataFrame, toxic_rows: int, clean_rows: int, least: int = 4, ratio: float = 4.0) -> Grammar:
-    """Learn insults and the calibration from labelled rows (id, text, label).
+def train(rows: DataFrame, known: DataFrame, toxic_rows: int, clean_rows: int, least: int = 4, ratio: float = 4.0) -> Grammar:
+    """Learn insults and the calibration from rows (id, text) and labels (id, label).
 
-    At most about ``toxic_rows`` and ``clean_rows`` rows are read, chosen by a
-    hash of the id. An entry is an insult if it stands between at least
+    About ``toxic_rows`` and ``clean_rows`` labelled ids are chosen by a hash;
+    that bounds what is broadcast to pick out their texts, and the sample that
+    is kept for the passes over it. An entry is an insult if it stands between at least
     ``least`` (and 0.5% of the toxic rows) different pairs of neighbours in
     toxic texts and ``ratio`` times as often there, by texts, as in clean ones.
     """
-    toxic = sampled(rows.where("label = 1"), F.col("id"), F.lit("toxic"), toxic_rows).select("text", "label")
-    clean = sampled(rows.where("label = 0"), F.col("id"), F.lit("clean"), clean_rows).select("text", "label")
+    labelled = known.join(rows.select("id").distinct(), "id", "left_semi")
+    chosen = sampled(labelled.where("label = 1"), F.col("id"), F.lit("toxic"), toxic_rows).unionByName(
+        sampled(labelled.where("label = 0"), F.col("id"), F.lit("clean"), clean_rows)
+    )
+    sample = checkpointed(rows.join(F.broadcast(chosen), "id").select("text", "label"))
+    toxic, clean = sample.where("label = 1"), sample.where("label = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
 
     def count(texts: DataFrame, among: frozenset | None) -> DataFrame:
@@ -173,7 +178,7 @@ def train(rows: DataFrame, toxic_rows: int, clean_rows: int, least: int = 4, rat
             out = np.array(values, float).reshape(len(values), 4)
             yield pa.RecordBatch.from_pydict({**{f"f{i}": out[:, i] for i in range(4)}, "label": batch.column(1).cast(pa.float64())})
 
-    table = toxic.unionByName(clean).mapInArrow(measure, "f0 double, f1 double, f2 double, f3 double, label double").toPandas()
+    table = sample.mapInArrow(measure, "f0 double, f1 double, f2 double, f3 double, label double").toPandas()
     if n_toxic and n_clean:
         grammar.mean, grammar.coefficients = logistic(table[[f"f{i}" for i in range(4)]].to_numpy(), table["label"].to_numpy())
     else:
@@ -209,8 +214,9 @@ def score_toxicity(
     own = carried(docs, keep, ("score", "predicted"))
     known = labels.select(quoted(key).alias("id"), quoted(label).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     rows = docs if learn is None else docs.where(learn)
-    rows = rows.select(quoted(key).alias("id"), quoted(text).alias("text")).join(known.groupBy("id").agg(F.max("label").alias("label")), "id")
-    shared = docs.sparkSession.sparkContext.broadcast(train(rows, toxic_rows, clean_rows))
+    rows = rows.select(quoted(key).alias("id"), quoted(text).alias("text"))
+    known = known.groupBy("id").agg(F.max("label").alias("label"))
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows, known, toxic_rows, clean_rows))
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
