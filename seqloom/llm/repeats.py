@@ -16,16 +16,15 @@ from .common import carried, checkpointed, quoted, read, slices, utf8
 from .induced import permuted_prefixes, suffix_array
 
 SEPARATOR = 1
-ROWS = "h binary, first int, size int, anchor long, kind long"
+ROWS = "h binary, firsts array<int>, size int, anchor long, kind long"
 
 
-def emit(batch: pa.RecordBatch, width: int, half: int) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray], np.ndarray, np.ndarray]]:
-    """Text numbers and anchors of the texts of a batch (column ``t``), with the bytes of each part."""
+def emit(batch: pa.RecordBatch, width: int, half: int) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """Text numbers and anchors of the texts of a batch (column ``t``), a slice of about 1 MB at a time."""
     data, offsets = utf8(batch.column(batch.schema.get_field_index("t")))
     for low, high in slices(offsets, 1 << 20):
-        part, at = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-        found = owned(part, at, width, half)
-        yield found["doc"] + low, found, part, at
+        found = owned(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], width, half)
+        yield found["doc"] + low, found
 
 
 def shard(regions: list[bytes], width: int) -> list[np.ndarray]:
@@ -53,7 +52,7 @@ def spans_of(flags: np.ndarray) -> list[int]:
 
 
 def repeated_windows(docs: DataFrame, width: int, half: int, shard_bytes: int, most: int) -> DataFrame:
-    """(h, first, runs): for texts by hash, which of an anchor's windows stand elsewhere in the corpus.
+    """(h, found): for texts by hash, the places of anchors and which of their windows stand elsewhere in the corpus.
 
     Every window of a text is owned by an anchor, a substring in it that its
     content alone determines, so equal windows meet at equal anchors. Regions
@@ -75,14 +74,19 @@ def repeated_windows(docs: DataFrame, width: int, half: int, shard_bytes: int, m
                 new = [x not in seen and not seen.add(x) for x in h.to_pylist()]
                 batch = batch.filter(pa.array(new, pa.bool_()))
                 h = batch.column(batch.schema.get_field_index("h"))
-            for doc, found, _, _ in emit(batch, width, half):
-                size = (found["last"] - found["first"] + 1).astype(np.int32)
-                yield pa.RecordBatch.from_pydict(
-                    {"h": h.take(pa.array(doc)), "first": found["first"].astype(np.int32), "size": size, "anchor": found["anchor"], "kind": found["kind"]}
-                )
+            for doc, found in emit(batch, width, half):
+                # a text that repeats itself has the same region many times: one row, with all places
+                by = np.lexsort((found["first"], found["kind"], found["anchor"], doc))
+                doc, anchor, kind, first = doc[by], found["anchor"][by], found["kind"][by], found["first"][by].astype(np.int32)
+                new = np.ones(len(by), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (kind[1:] != kind[:-1])
+                head = np.flatnonzero(new)
+                firsts = pa.ListArray.from_arrays(pa.array(np.append(head, len(by)), pa.int32()), pa.array(first))
+                size = (found["last"] - found["first"] + 1).astype(np.int32)[by][head]
+                yield pa.RecordBatch.from_pydict({"h": h.take(pa.array(doc[head])), "firsts": firsts, "size": size, "anchor": anchor[head], "kind": kind[head]})
 
     rows = texts.mapInArrow(anchors, ROWS)
-    regions = rows.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min(F.struct("h", "first", "size")).alias("at"))
+    regions = rows.groupBy("anchor", "kind").agg(F.sum(F.size("firsts")).alias("n"), F.min(F.struct("h", F.col("firsts")[0].alias("first"), "size")).alias("at"))
     same = W.partitionBy("anchor")
     regions = regions.withColumns({"kinds": F.count("*").over(same), "all": F.sum("n").over(same)}).where(F.col("all") > 1)
     regions = checkpointed(regions.select("anchor", "kind", "n", "kinds", "at.*"))
@@ -142,8 +146,8 @@ def repeated_windows(docs: DataFrame, width: int, half: int, shard_bytes: int, m
     single = regions.where("n = 1").select("anchor", "kind")
     partly = found.select("anchor", "kind", "runs").unionByName(more).where(F.size("runs") > 0).join(single, ["anchor", "kind"], "left_semi")
     results = whole.unionByName(partly).groupBy("anchor", "kind").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    places = texts.mapInArrow(lambda batches: anchors(batches, once=True), ROWS).select("h", "first", "anchor", "kind")
-    return places.join(results, ["anchor", "kind"]).groupBy("h", "first").agg(F.min("runs").alias("runs"))
+    places = texts.mapInArrow(lambda batches: anchors(batches, once=True), ROWS).select("h", "firsts", "anchor", "kind")
+    return places.join(results, ["anchor", "kind"]).groupBy("h").agg(F.collect_set(F.struct("firsts", "runs")).alias("found"))
 
 
 def remove_repeats(
@@ -170,8 +174,7 @@ def remove_repeats(
     new = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
     own = carried(docs, keep, new)
     named = docs.select(*[quoted(c).alias(f"in_{c}") for c in own], F.coalesce(quoted(text), F.lit("")).alias("t"))
-    found = repeated_windows(named.select("t"), width, half, shard_bytes, most)
-    by_text = found.groupBy("h").agg(F.collect_list(F.struct("first", "runs")).alias("found"))
+    by_text = repeated_windows(named.select("t"), width, half, shard_bytes, most)
     rows = named.withColumn("h", F.unhex(F.md5("t"))).join(by_text, "h", "left").drop("h")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +185,7 @@ def remove_repeats(
                 raw = text.as_py().encode()
                 at, kept, removed, spans = 0, [], 0, 0
                 if each.is_valid:
-                    runs = sorted((x["first"] + a, x["first"] + b - 1 + width) for x in each.as_py() for a, b in zip(x["runs"][::2], x["runs"][1::2]))
+                    runs = sorted((f + a, f + b - 1 + width) for x in each.as_py() for f in x["firsts"] for a, b in zip(x["runs"][::2], x["runs"][1::2]))
                     merged: list[list[int]] = []
                     for a, b in runs:
                         if merged and a <= merged[-1][1]:
