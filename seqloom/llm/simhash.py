@@ -164,8 +164,9 @@ def near_duplicates(
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """One document of each component, all columns unchanged: that of the least id, nulls last, then of the least text hash.
 
-    Texts are moved once, to meet the chosen (id, text hash) pairs; of rows that
-    repeat both, one stays.
+    Texts are moved to meet the chosen (id, text hash) pairs. Of rows that repeat
+    both, one stays; they are thinned out before they are dealt by their pair, so
+    a row that is repeated very often does not fill a task.
     """
     digest = lambda: F.coalesce(F.md5(quoted(text)), F.lit(""))
     named = docs.select(quoted(key).alias("id"), quoted(text).alias("text"), digest().alias("digest"))
@@ -175,8 +176,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     row = F.struct(*[quoted(c) for c in docs.columns]).alias("row")
     rows = docs.select(row, quoted(key).alias("own_id"), digest().alias("own"))
     kept = rows.join(chosen, F.col("own_id").eqNullSafe(F.col("chosen_id")) & (F.col("own") == F.col("chosen")), "left_semi")
-    first = F.row_number().over(W.partitionBy("own_id", "own").orderBy("own"))
-    return kept.withColumn("first", first).where("first = 1").select("row.*")
+    return kept.dropDuplicates(["own_id", "own"]).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

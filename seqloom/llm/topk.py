@@ -30,7 +30,7 @@ def shard_top(queries: np.ndarray, q_ids: np.ndarray, vectors: np.ndarray, ids:
     product with the components at the current depth; a query is done when its
     kth score exceeds that bound (a tie goes on, for the smaller id).
     """
-    dims = max(queries.shape[1], vectors.shape[1])
+    dims = max(queries.shape[1], vectors.shape[1], 1)
     queries, vectors = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (queries, vectors))
     n, up, down = len(ids), np.maximum(queries, 0), np.minimum(queries, 0)
     low = np.argsort(vectors, axis=0, kind="stable")

@@ -76,6 +76,21 @@ def test_top_k_of_nothing(spark):
     assert topk.top_k(one, F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_odd_vectors(spark):
+    vectors = [(0, [1.0, 2.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 1.0]), (4, [float("-inf"), 1.0]), (5, []), (6, [-1.0]), (7, [0.0, 3.0]), (None, [9.0, 9.0]), (8, [0.0, 3.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    asked = lambda d: [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(d, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    assert asked(df) == [(0, 1, 7, 6.0), (0, 2, 8, 6.0), (0, 3, 5, 0.0), (0, 4, 6, -1.0)]
+    none = spark.createDataFrame([(0, []), (1, []), (2, [])], "vec_id long, embedding array<float>")
+    assert asked(none) == [(0, 1, 1, 0.0), (0, 2, 2, 0.0)]
+
+
+def test_a_row_repeated_very_often_stays_once(spark):
+    rows = spark.createDataFrame([(i, "one two three four five", "en", "a", 23) for i in (7, 8)], "doc_id long, text string, lang string, source string, n_chars long")
+    many = rows.crossJoin(spark.range(2000)).drop("id").unionByName(spark.createDataFrame([(None, None, None, None, None)] * 3, rows.schema))
+    assert sorted((r.doc_id or -1, r.text) for r in simhash.deduplicate(many).collect()) == [(-1, None), (7, "one two three four five")]
+
+
 @pytest.mark.parametrize("i", range(len(corpus_pipeline.STAGES)))
 def test_stages_on_odd_rows(spark, odd, i):
     name, stage = corpus_pipeline.STAGES[i]
