@@ -223,6 +223,32 @@ def test_tree_is_a_distribution_and_prunes():
     assert sizes[0] > sizes[1] > sizes[2] == 0
 
 
+@pytest.mark.parametrize("head", [0, 300, 1 << 20])
+def test_tree_in_parts_equals_the_tree_of_all_strings(spark, head):
+    import pyarrow as pa
+
+    rows = docs(spark).select("doc_id", "text").limit(60).collect()
+    texts = pa.array([r.text for r in rows])
+    keys = np.concatenate([k for *_, k in suffix_tree.parts(texts)]) >> np.uint64(suffix_tree.DOC_BITS)
+    counts = [np.unique(suffix_tree.tail(keys, n), return_counts=True) for n in range(1, suffix_tree.DEPTH + 2)]
+    tree = suffix_tree.Tree.grow(counts, len(rows), 8.0)
+    assert len(tree.states[6][0])
+    df = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")
+    for r in suffix_tree.score_texts(df, head_states=head).collect():
+        own = np.concatenate([k for *_, k in suffix_tree.parts(pa.array([r.text]))]) >> np.uint64(suffix_tree.DOC_BITS)
+        assert r.score == pytest.approx(np.log10(tree.probability(own)).sum())
+
+
+@pytest.mark.parametrize("head", [0, 1 << 20])
+def test_rare_and_long_contexts_count_whatever_the_size_of_the_corpus(spark, head):
+    learned = [*["ab " * 4_000_000], *["qxzjw"] * 5, *["amnopqrx", "bmnopqry"] * 50]
+    asked = ["qxzjw", "qxzjk", "amnopqrx", "amnopqry"]
+    df = spark.createDataFrame([(i, t, i < len(learned)) for i, t in enumerate(learned + asked)], "doc_id int, text string, own boolean")
+    got = {r.doc_id - len(learned): r.score for r in suffix_tree.score_texts(df, F.col("own"), keep=["doc_id"], head_states=head).collect()}
+    assert got[0] > got[1] + 2
+    assert got[2] > got[3] + 1
+
+
 # 8
 
 
