@@ -12,57 +12,94 @@ from .loops import cut
 LEAST_WEIGHT = 1e-7
 
 
-def start(genes: DataFrame, clusters: int) -> DataFrame:
-    """(gene_id, class_id, cluster, r): first responsibilities, from the gene's id alone, normalised."""
-    raw = genes.select("gene_id", "class_id", F.explode(F.sequence(F.lit(1), F.lit(clusters))).alias("cluster"))
-    raw = raw.withColumn("raw", (1 + (F.col("gene_id") * 7 + F.col("cluster") * 13) % 10).cast("double"))
-    return raw.select("gene_id", "class_id", "cluster", (F.col("raw") / F.sum("raw").over(W.partitionBy("gene_id"))).alias("r"))
+def fixed_start(genes: DataFrame, clusters: int) -> DataFrame:
+    """As ``random_start`` with one restart, but from the gene's id modulo 10: only for comparison with SQL."""
+    raw = genes.select("gene_id", "class_id", F.lit(0).alias("restart"), F.explode(F.sequence(F.lit(1), F.lit(clusters))).alias("cluster"))
+    return normalised(raw.withColumn("raw", (1 + (F.col("gene_id") * 7 + F.col("cluster") * 13) % 10).cast("double")))
+
+
+def random_start(genes: DataFrame, clusters: int, restarts: int, seed: int = 0) -> DataFrame:
+    """(gene_id, class_id, restart, cluster, r): first responsibilities, from a seeded hash, normalised."""
+    raw = genes.select("gene_id", "class_id", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart"))
+    raw = raw.select("*", F.explode(F.sequence(F.lit(1), F.lit(clusters))).alias("cluster"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "gene_id", "cluster", "restart"), F.lit(1 << 30))
+    return normalised(raw.withColumn("raw", (draw + 1) / F.lit(float(1 << 30))))
+
+
+def normalised(raw: DataFrame) -> DataFrame:
+    return raw.select("gene_id", "class_id", "restart", "cluster", (F.col("raw") / F.sum("raw").over(W.partitionBy("gene_id", "restart"))).alias("r"))
 
 
 def maximise(vectors: DataFrame, shares: DataFrame) -> DataFrame:
-    """(class_id, cluster, word, mean, variance, weight) from responsibilities; vectors are dense.
+    """(class_id, restart, cluster, word, mean, variance, weight) from responsibilities; vectors are dense.
 
     All sums are of r, r*x and r*x*x, so one aggregation, combined before its shuffle, serves all cells.
     """
-    sums = vectors.join(shares, "gene_id").groupBy("class_id", "cluster", "word")
+    sums = vectors.join(shares, "gene_id").groupBy("class_id", "restart", "cluster", "word")
     sums = sums.agg(F.sum("r").alias("s"), F.sum(F.col("r") * F.col("x")).alias("a"), F.sum(F.col("r") * F.col("x") * F.col("x")).alias("b"))
     mean = F.col("a") / F.col("s")
-    weight = F.col("s") / F.sum("s").over(W.partitionBy("class_id", "word"))
+    weight = F.col("s") / F.sum("s").over(W.partitionBy("class_id", "restart", "word"))
     kept = sums.where(F.col("s") >= LEAST_WEIGHT)
-    return kept.select("class_id", "cluster", "word", mean.alias("mean"), (F.col("b") / F.col("s") - mean * mean).alias("variance"), weight.alias("weight"))
+    return kept.select("class_id", "restart", "cluster", "word", mean.alias("mean"), (F.col("b") / F.col("s") - mean * mean).alias("variance"), weight.alias("weight"))
 
 
 def cluster_scores(vectors: DataFrame, model: DataFrame, key: str = "read_id", own: DataFrame | None = None) -> DataFrame:
-    """(key, class_id, cluster, score): ln of weight and density; of the gene's own class only where ``own`` is given."""
+    """(key, class_id, cluster, score): ln of weight and density; of the gene's own class only where ``own`` is given.
+
+    With a column restart in the model, for each restart.
+    """
     rows = vectors if own is None else vectors.join(own, key)
     met = rows.join(model, "word" if own is None else ["class_id", "word"])
     density = F.sum(log_density(F.col("x"), F.col("mean"), F.col("variance")))
-    return met.groupBy(key, "class_id", "cluster").agg((density + F.log(F.max("weight"))).alias("score"))
+    cells = [c for c in ("class_id", "restart", "cluster") if c in model.columns]
+    return met.groupBy(key, *cells).agg((density + F.log(F.max("weight"))).alias("score"))
+
 
+def best_restarts(models: DataFrame) -> DataFrame:
+    """Rows of each class's restart with the highest log-likelihood l, the first of equals; one that is not a number loses."""
+    rank = F.struct(F.when(F.isnan("l"), None).otherwise(F.col("l")).alias("l"), -F.col("restart"))
+    best = models.groupBy("class_id").agg(F.max_by("restart", rank).alias("restart"))
+    return models.join(best, ["class_id", "restart"], "left_semi")
 
-def expect(vectors: DataFrame, genes: DataFrame, model: DataFrame) -> DataFrame:
-    scores = cluster_scores(vectors, model, "gene_id", genes.select("gene_id", "class_id"))
-    return scores.withColumn("r", softmax(F.col("score"), W.partitionBy("gene_id"))).select("gene_id", "class_id", "cluster", "r")
 
+def fit(
+    genes: DataFrame, vectors: DataFrame, clusters: int = 3, rounds: int = 120, tolerance: float = 1e-7, restarts: int = 120, seed: int = 0, fixed: bool = False
+) -> DataFrame:
+    """The model of each class from the restart with the highest log-likelihood.
 
-def fit(genes: DataFrame, vectors: DataFrame, clusters: int = 3, rounds: int = 20, tolerance: float = 1e-7) -> DataFrame:
-    """The model after ``rounds`` of EM, or when the log-likelihood gains less than ``tolerance`` of itself.
+    Each restart of each class begins with random responsibilities and ends
+    after ``rounds`` of EM, or when its log-likelihood gains less than
+    ``tolerance`` of itself. All restarts run in the same aggregations; those
+    that have ended leave them. ``fixed``: one start, ``fixed_start``.
 
     Every round is checkpointed, so plans stay short and lost executors cost one round.
     """
-    shares, before, model = start(genes, clusters), None, None
-    for _ in range(rounds):
+    shares = fixed_start(genes, clusters) if fixed else random_start(genes, clusters, restarts, seed)
+    own, pair, read = genes.select("gene_id", "class_id"), ["class_id", "restart"], W.partitionBy("gene_id", "restart")
+    before = kept = model = None
+    for number in range(rounds):
         model = cut(maximise(vectors, shares))
-        scores = cut(cluster_scores(vectors, model, "gene_id", genes.select("gene_id", "class_id")))
-        read = W.partitionBy("gene_id")
+        scores = cut(cluster_scores(vectors, model, "gene_id", own))
         most = F.max("score").over(read)
         each = scores.withColumns({"m": most, "e": F.exp(F.col("score") - most)})
-        likelihood = each.groupBy("gene_id").agg((F.first("m") + F.log(F.sum("e"))).alias("l")).agg(F.sum("l")).first()[0]
-        shares = scores.withColumn("r", softmax(F.col("score"), read)).select("gene_id", "class_id", "cluster", "r")
-        if before is not None and likelihood is not None and likelihood - before <= tolerance * abs(before):
+        each = each.groupBy("gene_id", *pair).agg((F.first("m") + F.log(F.sum("e"))).alias("l"))
+        now = each.groupBy(*pair).agg(F.sum("l").alias("l"))
+        if before is None:
+            now = now.withColumn("ended", F.lit(rounds == 1))
+        else:
+            gains = F.col("l") - F.col("before") > tolerance * F.abs("before")
+            now = now.join(before, pair).withColumn("ended", F.lit(number == rounds - 1) | F.isnan("l") | ~F.coalesce(gains, F.lit(False)))
+        now = cut(now.select(*pair, "l", "ended"))
+        ended = now.where("ended").select(*pair, "l")
+        if not ended.isEmpty():
+            done = model.join(ended, pair).select(*pair, "cluster", "word", "mean", "variance", "weight", "l")
+            kept = cut(best_restarts(done if kept is None else kept.unionByName(done)))
+        live = now.where("not ended")
+        if live.isEmpty():
             break
-        before = likelihood
-    return model
+        before = live.select(*pair, F.col("l").alias("before"))
+        shares = scores.join(live.select(*pair), pair, "left_semi").withColumn("r", softmax(F.col("score"), read)).select("gene_id", *pair, "cluster", "r")
+    return model.drop("restart") if kept is None else kept.select("class_id", "cluster", "word", "mean", "variance", "weight")
 
 
 def class_posteriors(scores: DataFrame, key: str = "read_id") -> DataFrame:

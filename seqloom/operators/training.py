@@ -59,7 +59,7 @@ def hits(state: DataFrame, right: DataFrame) -> DataFrame:
     return marked.agg(F.count("*").alias("reads"), F.coalesce(F.sum("ok"), F.lit(0)).alias("hits"))
 
 
-def train(scores: DataFrame, right: DataFrame, rounds: int = 100, rate: float = 0.02, patience: int = 2) -> DataFrame:
+def train(scores: DataFrame, right: DataFrame, rounds: int = 1000, rate: float = 0.02, patience: int = 2) -> DataFrame:
     """Weights (method, class_id, weight) of the round with most hits.
 
     A round that does not lower the error halves and turns the rate; more than

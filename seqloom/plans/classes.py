@@ -78,7 +78,7 @@ def members(spark, d):
 def gmm_2iter(spark, d, rounds=2):
     genes = members(spark, d)
     rows = V.vectors(spark, d).select(F.col("read_id").alias("gene_id"), "word", "x")
-    return mixture.fit(genes, rows, 2, rounds), rows.withColumnRenamed("gene_id", "read_id")
+    return mixture.fit(genes, rows, 2, rounds, fixed=True), rows.withColumnRenamed("gene_id", "read_id")
 
 
 def gmm_em_2iter(spark, d):

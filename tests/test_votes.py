@@ -131,6 +131,16 @@ def test_mixture_likelihood_does_not_fall(spark):
     assert p.agg(F.min("score")).first()[0] == pytest.approx(1.0)
 
 
+def test_mixture_restarts_leave_the_fixed_point_of_equal_ids(spark):
+    genes = spark.createDataFrame([(i * 10, 0) for i in range(20)], "gene_id long, class_id int")
+    vec = spark.createDataFrame([(i * 10, w, float(i % 2 * 5 + (i * 7 % 5) / 10)) for i in range(20) for w in range(2)], "gene_id long, word int, x double")
+    means = lambda model: sorted(r.mean for r in model.where("word = 0").collect())
+    a, b = means(mixture.fit(genes, vec, 2, restarts=6))
+    assert a < 1 and b > 4.9
+    a, b = means(mixture.fit(genes, vec, 2, 20, fixed=True))
+    assert a == pytest.approx(b)
+
+
 def test_training_finds_the_good_method(spark):
     rows = [(m, r, c, float(v)) for r in range(12) for c in range(3) for m, v in (("good", c == r % 3), ("bad", c == (r + 1) % 3))]
     s = spark.createDataFrame(rows, "method string, read_id int, class_id int, score double")
