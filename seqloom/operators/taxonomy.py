@@ -30,24 +30,23 @@ def long_lineage(lineage: DataFrame) -> DataFrame:
     return lineage.select("class_id", F.explode(cells).alias("x")).select("class_id", "x.*")
 
 
-def ancestors(nodes: DataFrame, most: int = 64) -> DataFrame:
+def ancestors(nodes: DataFrame) -> DataFrame:
     """(id, ancestor, distance) of every node, itself included, up to the root.
 
     Each round doubles the distance covered, so a tree of depth d takes log2(d)
     joins; chains end at a node that is its own parent, at a parent that is no
-    node, or at null.
+    node, or at null. Raises ValueError if a node is its own ancestor further up.
     """
     edges = nodes.select("id", "parent_id").where("parent_id is not null and parent_id <> id").distinct()
-    known = edges.select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance"))
+    known = cut(edges.select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("distance")))
     reach = 1
-    while reach < most:
-        step = known.where(F.col("distance") == reach).select(F.col("id").alias("mid"), F.col("ancestor").alias("top"))
-        if step.isEmpty():
-            break
+    while not known.where(F.col("distance") == reach).isEmpty():
         # from every end of a longest chain, all that is known from there
         more = known.where(F.col("distance") == reach).alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.id"))
         more = more.select(F.col("a.id").alias("id"), F.col("b.ancestor").alias("ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        known = known.unionByName(more)
+        known = cut(known.unionByName(more))
+        if not known.where("id = ancestor").isEmpty():
+            raise ValueError("the parents of some nodes form a cycle")
         reach *= 2
     own = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
     return own.distinct().unionByName(known)

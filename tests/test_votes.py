@@ -131,6 +131,16 @@ def test_mixture_likelihood_does_not_fall(spark):
     assert p.agg(F.min("score")).first()[0] == pytest.approx(1.0)
 
 
+def test_ancestors_reach_the_root_of_a_deep_chain(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(151)], "id int, parent_id int")
+    up = taxonomy.ancestors(chain)
+    assert up.count() == 151 * 152 // 2
+    assert up.where("id = 150 and ancestor = 0 and distance = 150").count() == 1
+    ring = spark.createDataFrame([(0, 2), (1, 0), (2, 1), (3, 2)], "id int, parent_id int")
+    with pytest.raises(ValueError):
+        taxonomy.ancestors(ring)
+
+
 def test_mixture_restarts_leave_the_fixed_point_of_equal_ids(spark):
     genes = spark.createDataFrame([(i * 10, 0) for i in range(20)], "gene_id long, class_id int")
     vec = spark.createDataFrame([(i * 10, w, float(i % 2 * 5 + (i * 7 % 5) / 10)) for i in range(20) for w in range(2)], "gene_id long, word int, x double")
