@@ -7,15 +7,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import carried, checkpointed, quoted, read
 
-BITS, BLOCKS = 64, 4
-WIDTH = BITS // BLOCKS
-SEED = 42
+BITS, SEED = 64, 42
+#: Bit ranges, each of which a variant hides in turn.
+BLOCKS = ((0, 22), (22, 43), (43, 64))
+#: Fingerprints with more rows than this are broadcast to their rows instead of meeting them in a shuffle.
+HOT_ROWS, HOT_PRINTS = 1000, 10_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -56,51 +58,62 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def meet_at(fp: Column, bits: Column) -> Column:
+    return fp.bitwiseAND(F.bitwise_not(bits))
+
+
 def links(prints: DataFrame) -> DataFrame:
     """Edges (u, v) that connect all fingerprints that differ in 3 bits or fewer; every edge is such a pair.
 
-    Half the radius is one and a half: each fingerprint emits, for each of the
-    4 blocks of 16 bits, its other 48 bits with none or one of them flipped
-    (196 variants). Of two that differ in up to 3 bits, one differing bit can be
-    hidden by its block, and the rest, two at most, meet halfway; or all three
-    lie in one block, and the rest is equal. What meets at a variant is
-    verified against the least fingerprint there. Only where some member is
-    farther from it than 3 does a second level part the members: by the block
+    Half the radius is one and a half: each fingerprint emits, for each of 3
+    blocks of 22, 21 and 21 bits, its other bits with none or one of them flipped
+    (131 variants). Of two that differ in up to 3 bits, either one block holds two
+    of the bits or more and hides them, or each block holds one at most; then one
+    is hidden and the rest, two at most, meet halfway. What meets at a variant is
+    verified against the least fingerprint there, which gives one edge a member.
+
+    Members that are farther from the least than 3 may still be linked to each
+    other. Their groups are parted at a second level, but only those whose
+    members the first level has left in more than one component: by the block
     without one bit (so that all that remain together differ in 3 at most) and,
     where the rest is equal, with one of the block's other bits flipped too.
     Either way a group adds one edge for each member, never all pairs.
     """
     variants = []
-    for b in range(BLOCKS):
-        own = range(b * WIDTH, (b + 1) * WIDTH)
-        hidden = F.lit(signed(sum(1 << i for i in own))).alias("own")
-        for flip in [0, *(1 << i for i in range(BITS) if i not in own)]:
+    for b, (low, high) in enumerate(BLOCKS):
+        hidden = F.lit(signed(sum(1 << i for i in range(low, high)))).alias("own")
+        for flip in [0, *(1 << i for i in range(BITS) if not low <= i < high)]:
             variants.append(F.struct(F.lit(b).alias("block"), hidden, F.lit(signed(flip)).alias("flip")))
     rows = prints.select("fp", F.explode(F.array(*variants)).alias("x")).select(
         "fp",
         F.col("x.block").cast("byte").alias("block"),
-        F.col("fp").bitwiseAND(F.bitwise_not("x.own")).bitwiseXOR(F.col("x.flip")).alias("variant"),
+        meet_at(F.col("fp"), F.col("x.own")).bitwiseXOR(F.col("x.flip")).alias("variant"),
     )
     meet = W.partitionBy("block", "variant")
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("least")))
     rows = rows.withColumn("least", F.min("fp").over(meet))
-    rows = rows.withColumn("far", F.max(F.bit_count(F.col("fp").bitwiseXOR(F.col("least")))).over(meet))
+    rows = rows.withColumn("far", F.max(apart).over(meet))
     met = checkpointed(rows.where("fp <> least or far > 3"))
-    near = met.where("far <= 3").select(F.col("fp").alias("u"), F.col("least").alias("v"))
-    # second level: hide one bit of the block, and where the rest is equal flip another bit too, or none
+    near = checkpointed(met.where((F.col("fp") != F.col("least")) & (apart <= 3)).select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct())
+    wide = met.where("far > 3").select("fp", "block", "variant")
+    if wide.isEmpty():
+        return near
+    rooted = wide.join(components(near), F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    parted = rooted.groupBy("block", "variant").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("block", "variant")
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    base = F.col("block").cast("int") * WIDTH
-    each = F.sequence(F.lit(0), F.lit(WIDTH - 1))
-    own = F.call_function("shiftleft", F.lit((1 << WIDTH) - 1).cast("long"), base)
-    exact = F.col("fp").bitwiseAND(F.bitwise_not(own)) == F.col("variant")
+    of_block = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), F.col("block").cast("int") + 1)
+    own = of_block([signed(sum(1 << i for i in range(*r))) for r in BLOCKS])
+    bits = F.transform(F.sequence(of_block([r[0] for r in BLOCKS]), of_block([r[1] - 1 for r in BLOCKS])), bit)
+    exact = meet_at(F.col("fp"), F.col("own")) == F.col("variant")
     none = F.array(F.lit(0).cast("long"))
-    wide = met.where("far > 3").select("fp", "block", "variant", F.transform(each, lambda i: bit(base + i)).alias("bits"), own.alias("own"), exact.alias("exact"))
-    wide = wide.select("*", F.explode("bits").alias("hidden"))
-    wide = wide.select("*", F.explode(F.when(F.col("exact"), F.concat(none, "bits")).otherwise(none)).alias("flip")).where("flip <> hidden")
-    inner = F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.bitwise_not("hidden")).bitwiseAND(F.col("own"))
-    fine = wide.select("fp", "block", "variant", "hidden", inner.alias("inner"))
-    fine = fine.withColumn("least", F.min("fp").over(W.partitionBy("block", "variant", "hidden", "inner")))
-    close = fine.where((F.col("fp") != F.col("least")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= 3))
-    return near.unionByName(close.select(F.col("fp").alias("u"), F.col("least").alias("v"))).distinct()
+    left = rooted.join(parted, ["block", "variant"]).select("fp", "root", "block", "variant", own.alias("own"), bits.alias("bits"))
+    left = left.select("*", F.explode("bits").alias("hidden"))
+    left = left.select("*", F.explode(F.when(exact, F.concat(none, "bits")).otherwise(none)).alias("flip")).where("flip <> hidden")
+    inner = meet_at(F.col("fp").bitwiseXOR(F.col("flip")), F.col("hidden")).bitwiseAND(F.col("own"))
+    fine = left.select("fp", "root", "block", "variant", "hidden", inner.alias("inner"))
+    fine = fine.withColumn("least", F.min(F.struct("fp", "root")).over(W.partitionBy("block", "variant", "hidden", "inner")))
+    close = fine.where((F.col("root") != F.col("least.root")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= 3))
+    return near.unionByName(close.select(F.col("fp").alias("u"), F.col("least.fp").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -146,7 +159,7 @@ def near_duplicates(
     own = carried(docs, keep, ("fp", "component_id", "component_root"))
     named = docs.select(*[quoted(c).alias(f"in_{c}") for c in own], quoted(key).alias("id"), quoted(text).alias("text"))
     rows = checkpointed(fingerprints(named, "text", shingle=shingle).drop("text"))
-    prints = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least_id")))
+    prints = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("n")))
     roots = components(links(prints.select("fp")))
     linked = prints.join(roots.withColumnRenamed("node", "fp"), "fp")
     by_root = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -156,8 +169,14 @@ def near_duplicates(
         F.col("fp").alias("p"),
         F.when(alone, F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("root", "fp").alias("component_root"),
+        "n",
     )
-    found = rows.join(of, F.col("fp") == F.col("p"), "left")
+    # a fingerprint with a great share of the rows would fill one task of the join: the few such go to every task
+    total = prints.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = checkpointed(of.where(F.col("n") > max(HOT_ROWS, total // HOT_PRINTS)).drop("n"))
+    often = rows.join(F.broadcast(hot), F.col("fp") == F.col("p"), "left")
+    rare = often.where(F.col("p").isNull()).drop(*hot.columns).join(of.drop("n"), F.col("fp") == F.col("p"), "left")
+    found = often.where(F.col("p").isNotNull()).unionByName(rare)
     return found.select(*[quoted(f"in_{c}").alias(c) for c in own], "fp", "component_id", "component_root")
 
 
