@@ -17,6 +17,16 @@ AMBIGUOUS = {"Y": "TC", "R": "AG", "W": "TA", "S": "CG", "K": "TG", "M": "CA", "
 CODONS = {a + b + c: CODON_TABLE[16 * i + 4 * j + k] for i, a in enumerate(NUCLEOTIDES) for j, b in enumerate(NUCLEOTIDES) for k, c in enumerate(NUCLEOTIDES)}
 
 
+def overlapping(seq: Column, letters: int) -> Column:
+    """All substrings of so many letters, in order; one pass over the sequence, whatever its length."""
+    return F.regexp_extract_all(seq, F.lit(rf"(?s)(?=(.{{{letters}}}))"), F.lit(1))
+
+
+def in_turn(seq: Column, letters: int) -> Column:
+    """Substrings of so many letters side by side; what is left over at the end is dropped."""
+    return F.regexp_extract_all(seq, F.lit(rf"(?s).{{{letters}}}"), F.lit(0))
+
+
 def scrub(text: Column) -> Column:
     """Without NUL, space, carriage return, tab and line feed."""
     return F.regexp_replace(text, r"[\x00\x20\r\t\n]", "")
@@ -85,9 +95,7 @@ def codon(triple: Column) -> Column:
 
 def translated(seq: Column, stop: bool = True, unknown: str = "X") -> Column:
     """The first reading frame in amino acids, up to its first stop codon; a partial codon is dropped."""
-    starts = F.sequence(F.lit(1), F.length(seq) - 2, F.lit(3))
-    letters = F.transform(starts, lambda i: F.coalesce(codon(F.substr(seq, i, F.lit(3))), F.lit(unknown)))
-    protein = F.when(F.length(seq) < 3, F.when(seq.isNotNull(), "")).otherwise(F.array_join(letters, ""))
+    protein = F.array_join(F.transform(in_turn(seq, 3), lambda c: F.coalesce(codon(c), F.lit(unknown))), "")
     return F.split_part(protein, F.lit("*"), F.lit(1)) if stop else protein
 
 

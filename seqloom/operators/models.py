@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import VARIANCE_FLOOR, floored, log_density
+from .loops import cut
 
 
 def grid(reads: DataFrame, classes: DataFrame) -> DataFrame:
@@ -51,7 +52,9 @@ def bayes_scores(vectors: DataFrame, model: DataFrame, reads: DataFrame, domain:
 
     Each class has one constant (all words absent); present words add the
     difference. Words that a class lacks have mean 0 and the least variance.
+    The model is read several times and computed once.
     """
+    model = cut(model)
     v = floored(F.col("variance"))
     at_zero = log_density(F.lit(0.0), F.col("mean"), F.col("variance"))
     absent = -0.5 * math.log(2 * math.pi * VARIANCE_FLOOR)
@@ -85,6 +88,46 @@ def nearest_gene(reads: DataFrame, vectors: DataFrame, genes: DataFrame, gene_ve
     return full.select("read_id", "class_id", F.when(some_apart, zero_or).otherwise(F.col("s")).alias("score"))
 
 
+def nearest_gene_dense(reads: DataFrame, genes: DataFrame, mode: str = "min", block: int = 4096) -> DataFrame:
+    """As ``nearest_gene``, for arrays over a small domain of words: reads (read_id, cells), genes (gene_id, class_id, cells).
+
+    Both sides are dealt in blocks of about ``block`` rows; each block of reads
+    meets each block of genes as a product of two matrices, of which only the
+    least (greatest) value of each read and class leaves the task.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    reads, genes = cut(reads.select("read_id", "cells")), cut(genes.select("gene_id", "class_id", "cells"))
+    (r_count,), (g_count,) = reads.agg(F.count("*")).first(), genes.agg(F.count("*")).first()
+    # no more pairs of blocks than tasks are worth, and enough to keep every core busy
+    across, down = max(1, -(-r_count // block)), max(1, -(-g_count // block))
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = reads.select(place("read_id", across).alias("a"), every(down).alias("b"), "read_id", "cells")
+    right = genes.select(every(across).alias("a"), place("gene_id", down).alias("b"), "class_id", "cells")
+    kind_r, kind_c = reads.schema["read_id"].dataType.simpleString(), genes.schema["class_id"].dataType.simpleString()
+    ufunc = np.minimum if mode == "min" else np.maximum
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+    def best(r: pa.Table, g: pa.Table) -> pa.Table:
+        if not r.num_rows or not g.num_rows:
+            return pa.table({"read_id": r["read_id"].slice(0, 0), "class_id": g["class_id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        g = g.sort_by("class_id")
+        ids = g["class_id"].combine_chunks().dictionary_encode()
+        first = np.flatnonzero(np.diff(ids.indices.to_numpy(), prepend=-1))
+        found = ufunc.reduceat(matrix(r["cells"]) @ matrix(g["cells"]).T, first, axis=1)
+        n, m = found.shape
+        of_read, of_class = pa.array(np.repeat(np.arange(n), m)), pa.array(np.tile(first, n))
+        return pa.table({"read_id": r["read_id"].take(of_read), "class_id": g["class_id"].take(of_class), "score": found.ravel()})
+
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(best, f"read_id {kind_r}, class_id {kind_c}, score double")
+    return met.groupBy("read_id", "class_id").agg((F.min if mode == "min" else F.max)("score").alias("score"))
+
+
 def sparse_scores(read_words: DataFrame, read_lengths: DataFrame, class_words: DataFrame, class_lengths: DataFrame) -> DataFrame:
     """Shared distinct words times ln(class length / read length); pairs that share none have no row."""
     shared = read_words.select("read_id", "word").join(class_words.select("class_id", "word"), "word")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import AMINO_ACIDS
+from ..functions.sequence import AMINO_ACIDS, overlapping
 
 
 def word_rows(rows: DataFrame, keys: Sequence[str], prefix: int, seq: str = "seq", protein: bool = False) -> DataFrame:
@@ -15,9 +15,7 @@ def word_rows(rows: DataFrame, keys: Sequence[str], prefix: int, seq: str = "seq
 
     Words of a protein that hold a letter of no amino acid are skipped.
     """
-    starts = F.when(F.length(seq) > prefix, F.sequence(F.lit(1), F.length(seq) - prefix))
-    words = F.transform(starts, lambda i: F.substr(F.col(seq), i, F.lit(prefix + 1)))
-    out = rows.select(*keys, F.explode(words).alias("word"))
+    out = rows.select(*keys, F.explode(overlapping(F.col(seq), prefix + 1)).alias("word"))
     return out.where(~F.col("word").rlike(f"[^{AMINO_ACIDS}]")) if protein else out
 
 

@@ -46,7 +46,9 @@ def nb_gene_score(spark, d):
 def nn_min_d2(spark, d):
     """Least similarity of a read's 3-letter words to those of a class's genes."""
     rows, members = V.reads(spark, d), V.genes(spark, d)
-    found = models.nearest_gene(rows, words.word_frequencies(rows, ["read_id"], 2), members, words.word_frequencies(members, ["gene_id"], 2))
+    mine = models.full_vectors(rows, "read_id", words.word_frequencies(rows, ["read_id"], 2), BASES_4, 2)
+    theirs = models.full_vectors(members, "gene_id", words.word_frequencies(members, ["gene_id"], 2), BASES_4, 2)
+    found = models.nearest_gene_dense(mine, theirs.join(members.select("gene_id", "class_id"), "gene_id"))
     return rounded(found, 9, "score")
 
 

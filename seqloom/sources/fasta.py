@@ -20,14 +20,18 @@ def read_fasta(spark: SparkSession, path: str | list[str], labels_only: bool = F
     first record, and records without a label, are no records.
     """
     raw = spark.read.option("lineSep", "\n>").option("recursiveFileLookup", recursive).text(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
+    out = parse_records(raw.select(F.col("_metadata.file_path").alias("path"), "value"))
+    return out.drop("seq") if labels_only else out
+
+
+def parse_records(raw: DataFrame) -> DataFrame:
+    """(path, label, short_label, seq) of (path, value): the text of each record, from its label on."""
     # only the first record of a file still has its mark
     value = F.regexp_replace("value", r"^>", "")
     label = F.regexp_replace(F.split_part(value, F.lit("\n"), F.lit(1)), "\r$", "")
     rest = F.regexp_replace(value, r"^[^\n]*\n?", "")
     rows = raw.select("path", label.alias("label"), rest.alias("rest")).where("label <> ''")
-    out = rows.select("path", "label", short_label(F.col("label")).alias("short_label"), scrub(F.col("rest")).alias("seq"))
-    return out.drop("seq") if labels_only else out
+    return rows.select("path", "label", short_label(F.col("label")).alias("short_label"), scrub(F.col("rest")).alias("seq"))
 
 
 def is_fasta(spark: SparkSession, path: str) -> DataFrame:

@@ -20,8 +20,13 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_lineage_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(class_key, place, rank, taxid, name) of lineage files, from the strain up; lines of other forms are left out."""
+    return parse_lineage_lines(lines(spark, path))
+
+
+def parse_lineage_lines(rows: DataFrame) -> DataFrame:
+    """As ``read_lineage_lines``, from lines (path, place, value)."""
     part = lambda i: F.regexp_extract("value", LINE, i)
-    rows = lines(spark, path).where(F.col("value").rlike(LINE))
+    rows = rows.where(F.col("value").rlike(LINE))
     return rows.select(class_key(F.col("path")).alias("class_key"), "place", part(1).alias("rank"), part(2).cast("long").alias("taxid"), part(3).alias("name"))
 
 
@@ -45,33 +50,48 @@ def write_lineages(ancestry: DataFrame, path: str) -> None:
     ordered.select("id", text.alias("value")).write.mode("overwrite").partitionBy("id").text(path)
 
 
-def dump(spark: SparkSession, path: str) -> DataFrame:
+def dump(raw: DataFrame) -> DataFrame:
     """Rows of a taxonomy dump as arrays: fields are parted by tab, bar, tab."""
-    raw = spark.read.text(path).select(F.regexp_replace("value", r"\t\|\s*$", "").alias("value"))
-    return raw.select(F.split("value", r"\t\|\t").alias("f"))
+    return raw.select(F.split(F.regexp_replace("value", r"\t\|\s*$", ""), r"\t\|\t").alias("f"))
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    return parse_nodes(spark.read.text(path))
+
+
+def parse_nodes(raw: DataFrame) -> DataFrame:
     f = F.col("f")
-    return dump(spark, path).select(f[0].cast("long").alias("id"), f[1].cast("long").alias("parent_id"), f[2].alias("rank"))
+    return dump(raw).select(f[0].cast("long").alias("id"), f[1].cast("long").alias("parent_id"), f[2].alias("rank"))
 
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """(id, name): scientific names only."""
+    return parse_names(spark.read.text(path))
+
+
+def parse_names(raw: DataFrame) -> DataFrame:
     f = F.col("f")
-    rows = dump(spark, path).select(f[0].cast("long").alias("id"), f[1].alias("name"), F.element_at(f, -1).alias("kind"))
+    rows = dump(raw).select(f[0].cast("long").alias("id"), f[1].alias("name"), F.element_at(f, -1).alias("kind"))
     return rows.where("kind = 'scientific name'").select("id", "name")
 
 
 def read_gi_taxids(spark: SparkSession, path: str) -> DataFrame:
+    return parse_gi_taxids(spark.read.text(path))
+
+
+def parse_gi_taxids(raw: DataFrame) -> DataFrame:
     parts = F.split("value", r"\s+")
-    return spark.read.text(path).where("value <> ''").select(parts[0].alias("gi"), parts[1].cast("long").alias("taxid"))
+    return raw.where("value <> ''").select(parts[0].alias("gi"), parts[1].cast("long").alias("taxid"))
 
 
 def read_label_map(spark: SparkSession, path: str, classes: DataFrame | None = None) -> DataFrame:
     """(label, taxid): the second field is a taxid, or the name of a class (class_key, taxid)."""
+    return parse_label_map(spark.read.text(path), classes)
+
+
+def parse_label_map(raw: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where("trim(value) <> ''").select(parts[0].alias("label"), F.get(parts, F.lit(1)).alias("second"))
+    rows = raw.where("trim(value) <> ''").select(parts[0].alias("label"), F.get(parts, F.lit(1)).alias("second"))
     number = F.when(F.col("second").rlike(r"^\d+$"), F.col("second").cast("long"))
     if classes is None:
         return rows.select("label", number.alias("taxid"))

@@ -93,7 +93,12 @@ def read_profiles(spark: SparkSession, path: str | list[str], prefixes: dict[str
     A stored word length that differs from the session's is an error; 0 in the
     session takes any.
     """
-    rows = lines(spark, path).select("path", "value").where(F.col("value").contains(":"))
+    return parse_profiles(lines(spark, path), prefixes)
+
+
+def parse_profiles(rows: DataFrame, prefixes: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """As ``read_profiles``, from lines (path, value)."""
+    rows = rows.select("path", "value").where(F.col("value").contains(":"))
     key = F.split_part("value", F.lit(":"), F.lit(1))
     body = F.trim(F.regexp_replace("value", r"^[^:]*:", ""))
     table = F.size(F.split(body, r"\s+")) > 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from ..operators.taxonomy import RANKS
@@ -69,5 +69,10 @@ def filled_template(template: str, manifest: DataFrame) -> DataFrame:
     return manifest.select("genome", text.alias("value"))
 
 
-def read_manifest(spark, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", schema="genome string, reads long")
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return parse_manifest(spark.read.text(path))
+
+
+def parse_manifest(raw: DataFrame) -> DataFrame:
+    parts = F.split("value", "\t")
+    return raw.where("value <> ''").select(parts[0].alias("genome"), F.get(parts, F.lit(1)).cast("long").alias("reads"))

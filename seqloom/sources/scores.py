@@ -11,8 +11,12 @@ from ..operators.rules import matched_by_place
 
 def read_pairs(spark: SparkSession, path: str, value: str, kind: str) -> DataFrame:
     """(strain, value) from tab-separated lines."""
+    return parse_pairs(spark.read.text(path), value, kind)
+
+
+def parse_pairs(raw: DataFrame, value: str, kind: str) -> DataFrame:
     parts = F.split("value", "\t")
-    return spark.read.text(path).where("value <> ''").select(class_key(parts[0]).alias("strain"), F.get(parts, F.lit(1)).cast(kind).alias(value))
+    return raw.where("value <> ''").select(class_key(parts[0]).alias("strain"), F.get(parts, F.lit(1)).cast(kind).alias(value))
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
