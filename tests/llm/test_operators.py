@@ -207,48 +207,100 @@ def test_unigram_baseline_is_exact(spark):
             assert got[i].score < 0
 
 
+class PlainTree:
+    """A suffix tree over the bytes of words in dictionaries."""
+
+    def __init__(self, words, nats):
+        self.counts, self.nats = {}, nats
+        for word, n in words.items():
+            for context, symbol in self.steps(word):
+                for d in range(len(context) + 1):
+                    own = self.counts.setdefault(context[:d], Counter())
+                    own[symbol] += n
+
+    @staticmethod
+    def steps(word):
+        for i in range(max(1, len(word) + 1) if word else 1):
+            yield (word[:i][::-1] + b"\x09")[: suffix_tree.DEPTH], (word + b" ")[i] if word else 0x0A
+
+    def is_state(self, context):
+        own, above = self.counts.get(context, Counter()), self.counts.get(context[:-1], Counter())
+        c, up = own.total(), above.total()
+        return c > 1 and sum(n * math.log(n / c / (above[s] / up)) for s, n in own.items()) >= self.nats
+
+    def probability(self, context, symbol):
+        root = self.counts.get(b"", Counter())
+        p = (root[symbol] + 0.5) / (root.total() + 128)
+        for d in range(1, len(context) + 1):
+            if self.is_state(context[:d]):
+                own = self.counts[context[:d]]
+                p = (own[symbol] + len(own) * p) / (own.total() + len(own))
+        return p
+
+    def score(self, word):
+        return sum(math.log10(self.probability(*step)) for step in self.steps(word))
+
+
+def words_of(text):
+    return [*(text or "").encode().lower().split(), b""]
+
+
+@pytest.mark.parametrize("head", [0, 300, 1 << 18])
+def test_tree_equals_a_plain_one(spark, head):
+    rows = [(r.doc_id, r.text) for r in docs(spark).select("doc_id", "text").limit(60).collect()]
+    rows += [(10**6, None), (10**6 + 1, "a" * 40 + " " + "a" * 39 + "b" + " qabcdefghijklr xabcdefghijklz" * 9), (10**6 + 2, "\x00 \x00\x00 \x01a"), (10**6 + 3, "")] * 3
+    learns = [i % 3 > 0 for i in range(len(rows))]
+    df = spark.createDataFrame([(*r, x) for r, x in zip(rows, learns)], "doc_id long, text string, own boolean")
+    tree = PlainTree(Counter(w for r, x in zip(rows, learns) if x for w in words_of(r[1])), 8.0)
+    assert any(len(c) == d and tree.is_state(c) for c in tree.counts for d in (5, 12))
+    want = {r: sum(tree.score(w) for w in words_of(r[1])) for r in rows}
+    got = suffix_tree.score_texts(df, F.col("own"), head_words=head).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id, r.text])
+
+
 def test_tree_is_a_distribution_and_prunes():
-    import pyarrow as pa
-
-    texts = pa.array(["ab ab  cab abc", "", None, " hello world hello", "aa aa aa"] * 3)
-    keys = np.concatenate([k for *_, k in suffix_tree.parts(texts)]) >> np.uint64(suffix_tree.DOC_BITS)
-    counts = [np.unique(suffix_tree.tail(keys, n), return_counts=True) for n in range(1, suffix_tree.DEPTH + 2)]
-    sizes = []
-    for divergence in (0.0, 2.0, 1e9):
-        tree = suffix_tree.Tree.grow(counts, 15, divergence)
-        sizes.append(sum(len(s[0]) for s in tree.states))
-        for k in keys[:10]:
-            every = np.array([(k & ~np.uint64(255)) | np.uint64(b) for b in range(256)], np.uint64)
-            assert tree.probability(every).sum() == pytest.approx(1)
-    assert sizes[0] > sizes[1] > sizes[2] == 0
-
-
-@pytest.mark.parametrize("head", [0, 300, 1 << 20])
-def test_tree_in_parts_equals_the_tree_of_all_strings(spark, head):
-    import pyarrow as pa
-
-    rows = docs(spark).select("doc_id", "text").limit(60).collect()
-    texts = pa.array([r.text for r in rows])
-    keys = np.concatenate([k for *_, k in suffix_tree.parts(texts)]) >> np.uint64(suffix_tree.DOC_BITS)
-    counts = [np.unique(suffix_tree.tail(keys, n), return_counts=True) for n in range(1, suffix_tree.DEPTH + 2)]
-    tree = suffix_tree.Tree.grow(counts, len(rows), 8.0)
-    assert len(tree.states[6][0])
-    df = spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string")
-    for r in suffix_tree.score_texts(df, head_states=head).collect():
-        own = np.concatenate([k for *_, k in suffix_tree.parts(pa.array([r.text]))]) >> np.uint64(suffix_tree.DOC_BITS)
-        assert r.score == pytest.approx(np.log10(tree.probability(own)).sum())
-
-
-@pytest.mark.parametrize("head", [0, 1 << 20])
-def test_rare_and_long_contexts_count_whatever_the_size_of_the_corpus(spark, head):
-    learned = [*["ab " * 4_000_000], *["qxzjw"] * 5, *["amnopqrx", "bmnopqry"] * 50]
-    asked = ["qxzjw", "qxzjk", "amnopqrx", "amnopqry"]
+    texts = ["ab ab  cab abc", "", None, " hello world hello", "aa aa aa"] * 3
+    words = Counter(w for t in texts for w in words_of(t))
+    n = np.array(list(words.values()))
+    of, _, high, low = suffix_tree.keys_of(list(words))
+    for nats in (0.0, 2.0, 1e9):
+        tree = suffix_tree.Tree.grow(suffix_tree.short_keys(high, low), n[of], nats)
+        assert sum(len(x[0]) for x in tree.levels) == 0 if nats > 2 else any(len(x[0]) for x in tree.levels)
+        for context in {(int(a), int(b) >> 8) for a, b in zip(high, low)}:
+            a = np.full(256, context[0], np.uint64)
+            b = (np.full(256, context[1], np.uint64) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+            times = np.array([sum(int(k) for x, y, k in zip(high, low, n[of]) if x == a[0] and y == z) for z in b])
+            assert suffix_tree.branch(tree, a, b, times, nats).sum() == pytest.approx(1)
+
+
+def test_words_are_told_apart_by_their_letters(spark):
+    line = "a"
+    for _ in range(10):
+        line += line.translate(str.maketrans("ab", "ba"))
+    twin = line.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, line, True), (2, twin, False)], "doc_id int, text string, own boolean")
+    for head in (0, 100):
+        got = {r.doc_id: r for r in suffix_tree.score_texts(df, F.col("own"), keep=["doc_id"], head_words=head).collect()}
+        assert (got[1].n_known, got[2].n_known) == (2, 1)
+        assert got[2].base_score == pytest.approx(math.log10(0.1 / 2.3) + math.log10(1.1 / 2.3))
+
+
+def test_rare_and_long_contexts_count_whatever_the_size_of_the_corpus(spark):
+    learned = [*["ab " * 4_000_000], *["qxzjw"] * 5, *["amnopqrstuvx", "bmnopqrstuvy"] * 50]
+    asked = ["qxzjw", "qxzjk", "amnopqrstuvx", "amnopqrstuvy"]
     df = spark.createDataFrame([(i, t, i < len(learned)) for i, t in enumerate(learned + asked)], "doc_id int, text string, own boolean")
-    got = {r.doc_id - len(learned): r.score for r in suffix_tree.score_texts(df, F.col("own"), keep=["doc_id"], head_states=head).collect()}
+    got = {r.doc_id - len(learned): r.score for r in suffix_tree.score_texts(df, F.col("own"), keep=["doc_id"], head_words=2).collect()}
     assert got[0] > got[1] + 2
     assert got[2] > got[3] + 1
 
 
+def test_long_texts_are_taken_in_pieces():
+    text = b"Ab c\x0bdef  gh\n" * 50 + b"x" * 40
+    assert sum(suffix_tree.tokens(text, most=7), []) == [*text.lower().split(), b""]
+
+
 # 8
 
 
