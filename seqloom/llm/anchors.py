@@ -48,7 +48,7 @@ def least_in_window(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
-def owned(data: np.ndarray, offsets: np.ndarray, width: int, half: int) -> dict[str, np.ndarray]:
+def owned(data: np.ndarray, offsets: np.ndarray, width: int, half: int, place_bits: int = PLACE_BITS) -> dict[str, np.ndarray]:
     """For each anchor of the texts its hash and the windows of ``width`` bytes that it owns.
 
     A window is owned by that substring of ``half`` bytes in it whose hash is least
@@ -61,10 +61,13 @@ def owned(data: np.ndarray, offsets: np.ndarray, width: int, half: int) -> dict[
     n = len(data)
     if n < width:
         return {k: np.zeros(0, np.int64) for k in ("doc", "first", "last", "anchor", "kind")}
-    at = np.arange(n - half + 1)
-    low = np.uint64((1 << PLACE_BITS) - 1)
-    packed = (hashes.of(at, at + half) & ~low) | at.astype(np.uint64)
-    owner = (least_in_window(packed, width - half + 1) & low).astype(np.int64)
+    low = np.uint64((1 << place_bits) - 1)
+    owners = []
+    for a in range(0, n - width + 1, max(1, (1 << place_bits) - width)):  # places fit their bits
+        at = np.arange(a, min(n - half + 1, a + (1 << place_bits) - half))
+        packed = (hashes.of(at, at + half) & ~low) | (at - a).astype(np.uint64)
+        owners.append((least_in_window(packed, width - half + 1) & low).astype(np.int64) + a)
+    owner = np.concatenate([o[: (1 << place_bits) - width] for o in owners])
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(owner)]
     inside = np.flatnonzero(np.arange(len(owner)) + width <= offsets[doc + 1])
     owner, doc = owner[inside], doc[inside]

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows up to which a table of label values is sent to every task.
+FEW = 10_000
+#: A key with more rows than this, and than one in so many of all, is hot.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +69,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, how: str = "inner", ways: int = 64) -> DataFrame:
+    """An equi-join that deals the few keys in ``hot`` out in several ways.
+
+    Their rows go by the partition in which they stand on the left, and are
+    repeated on the right. Only the hot keys are broadcast; callers take those
+    with more than a fixed share of all rows, which bounds their number.
+    """
+    marked = F.broadcast(hot.select(*on, F.lit(True).alias("hot_")))
+    way = F.when(F.col("hot_"), F.pmod(F.spark_partition_id(), F.lit(ways))).otherwise(0)
+    every = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))
+    a = left.join(marked, on, "left").withColumn("way_", way).drop("hot_")
+    b = right.join(marked, on, "left").withColumn("way_", F.explode(every)).drop("hot_")
+    return a.join(b, [*on, "way_"], how).drop("way_")
+
+
+def hot_rows(total: int) -> int:
+    """Rows beyond which a key is hot: at most HOT_KEYS keys have so many."""
+    return max(HOT_ROWS, total // HOT_KEYS)
+
+
 def in_fold(key: Column, folds: int, fold: int) -> Column:
     """crc32 of the key as text, modulo ``folds``, is ``fold``; false for a null key."""
     return F.coalesce(F.crc32(key.cast("string")) % folds == fold, F.lit(False))
@@ -73,18 +97,15 @@ def in_fold(key: Column, folds: int, fold: int) -> Column:
 def sampled(rows: DataFrame, key: Column, stratum: Column, bound: int) -> DataFrame:
     """About ``bound`` rows of each stratum, or all if there are fewer.
 
-    Rows are taken by a hash of their key, so reruns agree and nothing is
-    shuffled but one count for each stratum. Strata are label values: few.
+    Rows are taken by a hash of their key, so reruns agree; with few strata
+    nothing is shuffled but one count for each.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(stratum.alias("s")).count().collect() if r[0] is not None}
-    large = {k: bound / n for k, n in counts.items() if n > bound}
-    if not large:
-        return rows
-    share = F.lit(1.0)
-    for value, part in large.items():
-        share = F.when(stratum == F.lit(value), F.lit(float(part))).otherwise(share)
+    sizes = checkpointed(rows.groupBy(stratum.alias("stratum_")).agg(F.count("*").alias("size_")).where("stratum_ is not null"))
+    # label values are few; should they be many, Spark chooses the join
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW else sizes
     draw = F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.where(draw < share)
+    marked = rows.withColumn("stratum_", stratum).join(sizes, "stratum_", "left")
+    return marked.where(F.coalesce(draw * F.col("size_") < bound, F.lit(True))).select(*[quoted(c) for c in rows.columns])
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,11 +120,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int) -> Iterable[tuple[int, int]]:
-    """Ranges of texts of at most ``most`` bytes together, or of one longer text."""
+def slices(offsets: np.ndarray, most: int, texts: int = 1 << 16) -> Iterable[tuple[int, int]]:
+    """Ranges of at most ``texts`` texts, of at most ``most`` bytes together or of one longer text."""
     at, n = 0, len(offsets) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-        to = min(to, n)
+        to = min(to, n, at + texts)
         yield at, to
         at = to

@@ -181,8 +181,8 @@ def suffixes(text: np.ndarray) -> np.ndarray:
     return order
 
 
-def scan(phrases: Phrases, column: pa.Array, shard_bytes: int) -> Iterator[tuple[int, int, int, list[int]]]:
-    """(words, hit words, items that occur) of each text, texts in order."""
+def scan(phrases: Phrases, column: pa.Array, shard_bytes: int) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+    """(words, numbers of hit words, items that occur) of each text, texts in order."""
     data, offsets = utf8(column)
     shortest = int(phrases.sizes.min()) if len(phrases.sizes) else 0
     for low, high in slices(offsets, shard_bytes):
@@ -215,27 +215,20 @@ def scan(phrases: Phrases, column: pa.Array, shard_bytes: int) -> Iterator[tuple
                     hit[w + size] -= 1
                     items.setdefault(int(doc[w]), set()).update(phrases.holders[r])
         covered = np.cumsum(hit)[:-1] > 0
-        n_hit = np.bincount(doc[covered], minlength=high - low)
+        edges = np.searchsorted(doc, np.arange(high - low + 1))
         for i in range(high - low):
-            yield int(n_words[i]), int(n_hit[i]), sorted(items.get(i, ())), (start, end, doc, covered, low, i)
+            yield int(n_words[i]), np.flatnonzero(covered[edges[i] : edges[i + 1]]), sorted(items.get(i, ()))
 
 
-def removal(text: str, of: tuple) -> str:
-    """The text without its hit words and what stands between two of them."""
-    start, end, doc, covered, _, i = of
-    low, high = np.searchsorted(doc, [i, i + 1])
+def removal(text: str, hits: list[int]) -> str:
+    """The text without the words of these numbers, in order, and what stands between two neighbours of them."""
     raw = text.encode()
-    shift = start[low] - next(k for k, b in enumerate(raw) if IN_WORD[FOLD[b]]) if high > low else 0
-    out, at, j = [], 0, low
-    while j < high:
-        if covered[j]:
-            to = j
-            while to + 1 < high and covered[to + 1]:
-                to += 1
-            out.append(raw[at : start[j] - shift])
-            at, j = int(end[to] - shift), to
-        j += 1
-    return b"".join([*out, raw[at:]]).decode()
+    start, end, _, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    places = np.array(hits)
+    first = np.flatnonzero(np.diff(places, prepend=-2) > 1)
+    last = np.append(first[1:], len(places)) - 1
+    edges = [0, *(int(e) for i, j in zip(first, last) for e in (start[places[i]], end[places[j]])), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
 
 
 def decontaminate(
@@ -273,13 +266,9 @@ def decontaminate(
     spec = benchmark.select(F.coalesce(quoted(item).cast("string"), F.lit("")).alias("item"), F.coalesce(quoted("text"), F.lit("")).alias("t"))
     total = spec.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    if blocks > 1 and cleaned:
-        raise ValueError("clean texts are made in one block: raise block_bytes")
     base = docs.select(*[quoted(c).alias(f"in_{c}") for c in own], quoted(text).alias("scanned"))
     # with more blocks than one, hit words of the blocks are united by their places
     base = base.withColumn("hits", F.array().cast("array<int>")).withColumn("held", F.array().cast("array<string>")).withColumn("n_words", F.lit(0).cast("long"))
-    if cleaned:
-        base = base.withColumn("clean_text", F.lit(None).cast("string"))
     for b in range(blocks):
         rows = spec.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
         phrases = spark.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in rows], width))
@@ -288,22 +277,26 @@ def decontaminate(
             for batch in batches:
                 column = batch.column(batch.schema.get_field_index("scanned"))
                 hits, held = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("hits", "held"))
-                n, clean = [], []
-                for i, (n_words, n_hit, items, of) in enumerate(scan(phrases.value, column, shard_bytes)):
+                n = []
+                for i, (n_words, hit, items) in enumerate(scan(phrases.value, column, shard_bytes)):
                     n.append(n_words)
-                    if n_hit:
-                        low, high = np.searchsorted(of[2], [of[5], of[5] + 1])
-                        hits[i] = sorted({*hits[i], *map(int, np.flatnonzero(of[3][low:high]))})
+                    if len(hit):
+                        hits[i] = sorted({*hits[i], *hit.tolist()})
                         held[i] = sorted({*held[i], *(phrases.value.names[x] for x in items)})
-                    if cleaned:
-                        clean.append(removal(column[i].as_py(), of) if n_hit else column[i].as_py())
                 new = {"hits": pa.array(hits, pa.list_(pa.int32())), "held": pa.array(held, pa.list_(pa.string())), "n_words": pa.array(n, pa.int64())}
-                if cleaned:
-                    new["clean_text"] = pa.array(clean, pa.string())
                 arrays = [new.get(f.name, batch.column(j)) for j, f in enumerate(batch.schema)]
                 yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
         base = base.mapInArrow(run, base.schema)
+    if cleaned:
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, hits = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("scanned", "hits"))
+                clean = [removal(t, h) if h else t for t, h in zip(texts, hits)]
+                yield batch.append_column("clean_text", pa.array(clean, pa.string()))
+
+        base = base.mapInArrow(cut, base.withColumn("clean_text", F.lit(None).cast("string")).schema)
     n_hit = F.size("hits").cast("long")
     return base.select(
         *[quoted(f"in_{c}").alias(c) for c in own],

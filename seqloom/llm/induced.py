@@ -1,14 +1,11 @@
-"""Suffix arrays by induced sorting, a bucket at a time, and permuted common prefixes."""
+"""Suffix arrays by induced sorting, and permuted common prefixes."""
 
 from __future__ import annotations
 
 import numpy as np
 
-from .anchors import Hashes
-from .decontaminate import suffixes
-
-#: Up to so many symbols a recursion level is sorted by buckets; beyond, by doubling ranks.
-MOST_BUCKETS = 2048
+#: Levels whose buckets hold so many suffixes on average are induced a bucket at a time, others one suffix after the other.
+LEAST_BUCKET = 64
 
 
 def smaller_than_next(s: np.ndarray) -> np.ndarray:
@@ -67,36 +64,82 @@ def induce(s: np.ndarray, is_s: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
     return order
 
 
+def induce_singly(s: np.ndarray, is_s: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
+    """As ``induce``, one suffix after the other; the lists are read while they fill."""
+    size = np.bincount(s)
+    ends = np.cumsum(size)
+    seeds = leftmost[np.argsort(s[leftmost], kind="stable")]
+    count = np.bincount(s[leftmost], minlength=len(size))
+    order = np.full(len(s), -1)
+    order[np.arange(len(seeds)) + np.repeat(ends - np.cumsum(count), count)] = seeds
+    # the symbol before each suffix, where that one's type is asked for; -1 also stands for no suffix (the last place)
+    before, type_before = np.append(np.roll(s, 1).astype(np.int64), -1), np.append(np.roll(is_s, 1), False)
+    before[0] = -1
+    larger, smaller = np.where(type_before, -1, before).tolist(), np.where(type_before, before, -1).tolist()
+    order, at = order.tolist(), (ends - size).tolist()
+    for j in order:
+        c = larger[j]
+        if c >= 0:
+            k = at[c]
+            order[k] = j - 1
+            at[c] = k + 1
+    at = (ends - 1).tolist()
+    for j in reversed(order):
+        c = smaller[j]
+        if c >= 0:
+            k = at[c]
+            order[k] = j - 1
+            at[c] = k - 1
+    order[0] = len(s) - 1
+    return np.array(order, np.int64)
+
+
+def substring_ranks(symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The number of smaller ones for each substring; a few symbols at a time, more as fewer are left that look equal."""
+    rank, open_, at, step = np.zeros(len(start), np.int64), np.arange(len(start)), 0, 4
+    while len(open_):
+        places = np.arange(at, at + step)[:, None]
+        inside = places < length[open_]
+        columns = np.where(inside, symbols[np.where(inside, start[open_] + places, 0)], 0)
+        by = np.lexsort([*columns[::-1], rank[open_]])
+        open_, columns = open_[by], columns[:, by]
+        old = rank[open_]
+        fresh = np.append(True, old[1:] != old[:-1])
+        new = fresh | np.append(True, (columns[:, 1:] != columns[:, :-1]).any(axis=0))
+        place = np.arange(len(open_))
+        rank[open_] = old + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(fresh, place, 0))
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at += step
+        open_ = open_[tied & (length[open_] > at)]
+        step = min(2 * step, max(4, (1 << 20) // max(1, len(open_))), 1024)
+    return rank
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffixes in order; the last symbol is 0 and stands nowhere else."""
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int64)
     s = s.astype(np.uint16 if s.max() < 1 << 16 else np.int64)
+    sort = induce if LEAST_BUCKET * int(s.max()) < n else induce_singly
     is_s = smaller_than_next(s)
     is_leftmost = np.zeros(n, bool)
     is_leftmost[1:] = is_s[1:] & ~is_s[:-1]
     leftmost = np.flatnonzero(is_leftmost)
     if len(leftmost) > 1:
-        order = induce(s, is_s, leftmost)
-        order = order[is_leftmost[order]]
         # names: equal substrings from one leftmost position to the next have one name
-        nxt = np.append(leftmost[1:], n - 1)
-        length = np.zeros(n, np.int64)
-        length[leftmost] = nxt - leftmost + 1
-        mark = Hashes(s).of(order, order + length[order])
-        new = np.ones(len(order), bool)
-        new[1:] = (mark[1:] != mark[:-1]) | (length[order[1:]] != length[order[:-1]])
-        name = np.cumsum(new) - 1
-        if name[-1] + 1 == len(order):
-            leftmost = order
+        length = np.diff(np.append(leftmost, n - 1)) + 1
+        rank = substring_ranks(2 * s.astype(np.int64) + is_s + 1, leftmost, length)  # of equal symbols, the larger type is less
+        by = np.argsort(rank, kind="stable")
+        name = np.cumsum(np.diff(rank[by], prepend=-1) > 0) - 1
+        if name[-1] + 1 == len(leftmost):
+            leftmost = leftmost[by]
         else:
-            named = np.empty(n, np.int64)
-            named[order] = name
-            reduced = named[leftmost]
-            below = suffix_array(reduced) if name[-1] < MOST_BUCKETS else suffixes(reduced)
-            leftmost = leftmost[below]
-    return induce(s, is_s, leftmost)
+            reduced = np.empty(len(leftmost), np.int64)
+            reduced[by] = name
+            leftmost = leftmost[suffix_array(reduced)]
+    return sort(s, is_s, leftmost)
 
 
 def permuted_prefixes(s: np.ndarray, order: np.ndarray, stop: int) -> tuple[np.ndarray, np.ndarray]:

@@ -132,13 +132,16 @@ class Model:
 
 
 def train(rows: DataFrame, bound: int) -> Model:
-    """Fit on about ``bound`` rows (id, text, lang) of each language; calibrate on the same rows.
+    """Fit on four fifths of about ``bound`` rows (id, text, lang) of each language; calibrate on the last fifth.
 
     Counts are summed by Spark; their number is bounded by that of the sampled
     characters. The limit of a language is its mean cross-entropy over its own
-    texts plus four standard deviations.
+    held-back texts plus four standard deviations; a language without such texts
+    has no limit.
     """
-    sample = sampled(rows.where("lang is not null"), F.col("id"), F.col("lang"), bound)
+    every = sampled(rows.where("lang is not null"), F.col("id"), F.col("lang"), bound)
+    fold = F.pmod(F.xxhash64(F.lit("calibration"), F.col("id").cast("string")), F.lit(5))
+    sample, held = every.where(fold != 0), every.where(fold == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +169,7 @@ def train(rows: DataFrame, bound: int) -> Model:
             own = cost[use, lang[use]]
             yield pa.RecordBatch.from_pydict({"j": pa.array(lang[use], pa.int64()), "a": own, "b": own**2})
 
-    sums = sample.select("lang", "text").mapInArrow(calibrate, "j long, a double, b double").groupBy("j")
+    sums = held.select("lang", "text").mapInArrow(calibrate, "j long, a double, b double").groupBy("j")
     for j, n, a, b in sums.agg(F.count("*"), F.sum("a"), F.sum("b")).collect():
         model.spread[j] = max(1e-3, (max(0.0, b / n - (a / n) ** 2)) ** 0.5)
         model.limit[j] = a / n + 4 * model.spread[j]

@@ -8,11 +8,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .anchors import owned
-from .common import carried, checkpointed, quoted, read, slices, utf8
+from .common import HOT_ROWS, carried, checkpointed, hot_rows, quoted, read, slices, spread_join, utf8
 from .induced import permuted_prefixes, suffix_array
 
 SEPARATOR = 1
@@ -87,9 +86,9 @@ def repeated_windows(docs: DataFrame, width: int, half: int, shard_bytes: int, m
 
     rows = texts.mapInArrow(anchors, ROWS)
     regions = rows.groupBy("anchor", "kind").agg(F.sum(F.size("firsts")).alias("n"), F.min(F.struct("h", F.col("firsts")[0].alias("first"), "size")).alias("at"))
-    same = W.partitionBy("anchor")
-    regions = regions.withColumns({"kinds": F.count("*").over(same), "all": F.sum("n").over(same)}).where(F.col("all") > 1)
-    regions = checkpointed(regions.select("anchor", "kind", "n", "kinds", "at.*"))
+    # an anchor of very many regions is summed before it is dealt, and split by the join
+    shared = regions.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    regions = checkpointed(regions.join(shared.select("anchor", "kinds"), "anchor").select("anchor", "kind", "n", "kinds", "at.*"))
 
     several = regions.where("kinds > 1")
     shards = max(1, -(-(several.agg(F.sum(F.col("size") + width)).first()[0] or 0) // shard_bytes))
@@ -147,7 +146,9 @@ def repeated_windows(docs: DataFrame, width: int, half: int, shard_bytes: int, m
     partly = found.select("anchor", "kind", "runs").unionByName(more).where(F.size("runs") > 0).join(single, ["anchor", "kind"], "left_semi")
     results = whole.unionByName(partly).groupBy("anchor", "kind").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     places = texts.mapInArrow(lambda batches: anchors(batches, once=True), ROWS).select("h", "firsts", "anchor", "kind")
-    return places.join(results, ["anchor", "kind"]).groupBy("h").agg(F.collect_set(F.struct("firsts", "runs")).alias("found"))
+    total = regions.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = checkpointed(regions.where(F.col("n") > hot_rows(total)).select("anchor", "kind"))
+    return spread_join(places, results, ["anchor", "kind"], hot).groupBy("h").agg(F.collect_set(F.struct("firsts", "runs")).alias("found"))
 
 
 def remove_repeats(
@@ -175,7 +176,10 @@ def remove_repeats(
     own = carried(docs, keep, new)
     named = docs.select(*[quoted(c).alias(f"in_{c}") for c in own], F.coalesce(quoted(text), F.lit("")).alias("t"))
     by_text = repeated_windows(named.select("t"), width, half, shard_bytes, most)
-    rows = named.withColumn("h", F.unhex(F.md5("t"))).join(by_text, "h", "left").drop("h")
+    hashed = named.withColumn("h", F.unhex(F.md5("t")))
+    copies = checkpointed(hashed.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS))
+    hot = copies.where(F.col("n") > hot_rows(docs.count())).select("h")
+    rows = spread_join(hashed, by_text, ["h"], hot, "left").drop("h")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

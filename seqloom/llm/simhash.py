@@ -11,13 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import carried, checkpointed, quoted, read
+from .common import carried, checkpointed, hot_rows, quoted, read
 
 BITS, SEED = 64, 42
 #: Bit ranges, each of which a variant hides in turn.
 BLOCKS = ((0, 22), (22, 43), (43, 64))
-#: Fingerprints with more rows than this are broadcast to their rows instead of meeting them in a shuffle.
-HOT_ROWS, HOT_PRINTS = 1000, 10_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -197,7 +195,7 @@ def near_duplicates(
     )
     # a fingerprint with a great share of the rows would fill one task of the join: the few such go to every task
     total = prints.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = checkpointed(of.where(F.col("n") > max(HOT_ROWS, total // HOT_PRINTS)).drop("n"))
+    hot = checkpointed(of.where(F.col("n") > hot_rows(total)).drop("n"))
     often = rows.join(F.broadcast(hot), F.col("fp") == F.col("p"), "left")
     rare = often.where(F.col("p").isNull()).drop(*hot.columns).join(of.drop("n"), F.col("fp") == F.col("p"), "left")
     found = often.where(F.col("p").isNotNull()).unionByName(rare)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
@@ -27,10 +28,44 @@ WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.!?;:,\n]")
 STEMS = range(4, 9)
 
-#: Transducers: for each state the next state by class of word; "" is any other word.
-NEGATED = {0: {"negation": 3, "": 0}, 1: {"negation": 3, "": 0}, 2: {"negation": 3, "": 1}, 3: {"negation": 3, "": 2}}
-REPORTED = {0: {"report": 1, "": 0}, 1: {"": 1}}
-AIMED = {0: {"target": 1, "": 0}, 1: {"": 1}}
+#: Transducers: the next state by class of word ("" is any other word), and what a state says.
+#: The first two say that the word just read matches, the others what holds for it; a target holds for its whole clause.
+INSULT = ({0: {"insult": 1, "": 0}, 1: {"insult": 1, "": 0}}, {1})
+THREAT = ({0: {"threat": 1, "": 0}, 1: {"threat": 1, "": 0}}, {1})
+NEGATED = ({0: {"negation": 3, "": 0}, 1: {"negation": 3, "": 0}, 2: {"negation": 3, "": 1}, 3: {"negation": 3, "": 2}}, {1, 2, 3})
+REPORTED = ({0: {"report": 1, "": 0}, 1: {"": 1}}, {1})
+AIMED = ({0: {"target": 1, "": 0}, 1: {"": 1}}, {1})
+KINDS = ("insult", "threat", "target", "negation", "report", "")
+#: Events are numbered insult 0 or threat 4, plus negated 2, plus reported 1; in an aimed clause 8 more.
+EVENTS = 16
+
+
+def composed() -> tuple[list[dict[str, int]], list[int | None], list[bool]]:
+    """The product of the five transducers: moves, the event that a state emits on entry, and whether its clause is aimed."""
+    machines = (INSULT, THREAT, NEGATED, REPORTED, AIMED)
+    states, numbers, moves = [(0,) * len(machines)], {(0,) * len(machines): 0}, []
+    for state in states:  # grows as states are reached
+        out = {}
+        for kind in KINDS:
+            to = tuple(steps[s].get(kind, steps[s][""]) for (steps, _), s in zip(machines, state))
+            if to not in numbers:
+                numbers[to] = len(states)
+                states.append(to)
+            out[kind] = numbers[to]
+        moves.append(out)
+    says = [[s in said for (_, said), s in zip(machines, state)] for state in states]
+    events = [4 * threat + 2 * negated + reported if insult or threat else None for insult, threat, negated, reported, _ in says]
+    return moves, events, [aimed for *_, aimed in says]
+
+
+def first_arcs() -> np.ndarray:
+    """Weights of the events before anything is learned: a threat counts only in an aimed clause, negation and report halve."""
+    out = np.zeros(EVENTS)
+    for event in range(EVENTS):
+        threat, aimed = event >> 2 & 1, event >> 3
+        damp = 0.5 ** (event >> 1 & 1) * 0.5 ** (event & 1)
+        out[event] = damp * ((3.0 if aimed else 0.0) if threat else (1.5 if aimed else 1.0))
+    return out
 
 
 def entries(word: str) -> list[str]:
@@ -40,18 +75,16 @@ def entries(word: str) -> list[str]:
 
 @dataclass
 class Grammar:
-    """Classes of words with the weights of insults, and how matched clauses become a score."""
+    """Classes of words with the weights of insults, the weights of the composed automaton's events, and how clauses become a score."""
 
     insults: dict[str, float]
-    negated: float = 0.5
-    reported: float = 0.5
-    aimed: float = 1.5
-    threat: float = 3.0
+    arcs: np.ndarray = field(default_factory=first_arcs)
     mean: np.ndarray | None = None
     coefficients: np.ndarray | None = None
 
     def __post_init__(self):
         self.classes = {w: c for c, ws in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("threat", THREATS)) for w in ws}
+        self.moves, self.events, self.aimed = composed()
 
     def automaton(self) -> ahocorasick.Automaton:
         out = ahocorasick.Automaton()
@@ -66,35 +99,48 @@ class Grammar:
             return self.insults[word]
         return next((self.insults[e] for e in reversed(entries(word)) if e in self.insults), 0.0)
 
-    def clause(self, words: list[str]) -> float:
-        """The composed transducers over one clause: insults and threats, damped or raised by their states."""
-        negated = reported = aimed = 0
-        insult = threat = 0.0
+    def emitted(self, words: Iterable[str]) -> dict[int, float]:
+        """The composed automaton over one clause: the sums of its events' weights of words, by event."""
+        state, found = 0, {}
         for word in words:
             kind = self.classes.get(word, "")
-            negated = NEGATED[negated].get(kind, NEGATED[negated][""])
-            reported = REPORTED[reported].get(kind, REPORTED[reported][""])
-            aimed = AIMED[aimed].get(kind, AIMED[aimed][""])
-            damp = (self.negated if negated else 1.0) * (self.reported if reported else 1.0)
-            if kind == "threat":
-                threat += self.threat * damp
-            elif not kind:
-                insult += self.weight(word) * damp
-        return insult * (self.aimed if aimed else 1.0) + (threat if aimed else 0.0)
-
-    def features(self, text: str, automaton: ahocorasick.Automaton) -> tuple[float, float, float, float]:
-        """Sum and maximum of the matched clauses' scores, their number, and the sum by length."""
-        text, scores, done = text.lower(), [], -1
+            weight = 1.0 if kind == "threat" else 0.0 if kind else self.weight(word)
+            state = self.moves[state]["insult" if weight and not kind else kind]
+            event = self.events[state]
+            if event is not None:
+                found[event] = found.get(event, 0.0) + weight
+        return {event + 8 * self.aimed[state]: x for event, x in found.items()}
+
+    def clause(self, words: Iterable[str]) -> float:
+        return sum(x * self.arcs[event] for event, x in self.emitted(words).items())
+
+    def clauses(self, text: str, automaton: ahocorasick.Automaton) -> Iterator[dict[int, float]]:
+        """Events of each clause with a match, whatever its length; ``text`` is in lower case."""
+        done, marks, next_mark = -1, None, 0
         for end, (length, stem) in automaton.iter(text) if len(automaton) else ():
             start = end + 1 - length
             if start < done or start and text[start - 1].isalpha() or not stem and end + 1 < len(text) and text[end + 1].isalpha():
                 continue
-            low = max((text.rfind(c, max(0, start - 2000), start) for c in ".!?;:,\n"), default=-1)
-            cut = CLAUSE.search(text, end + 1, end + 2001)
-            done = cut.start() if cut else min(len(text), end + 2001)
-            score = self.clause(WORD.findall(text[max(low + 1, start - 2000) : done]))
-            if score > 0:
-                scores.append(score)
+            if marks is None:
+                marks = [m.start() for m in CLAUSE.finditer(text)]
+            next_mark = bisect.bisect_left(marks, end + 1, next_mark)
+            low = bisect.bisect_left(marks, start)
+            low = marks[low - 1] + 1 if low else 0
+            done = marks[next_mark] if next_mark < len(marks) else len(text)
+            yield self.emitted(m[0] for m in WORD.finditer(text, low, done))
+
+    def event_sums(self, text: str, automaton: ahocorasick.Automaton) -> np.ndarray:
+        out = np.zeros(EVENTS)
+        for found in self.clauses(text.lower(), automaton):
+            for event, x in found.items():
+                out[event] += x
+        return out
+
+    def features(self, text: str, automaton: ahocorasick.Automaton) -> tuple[float, float, float, float]:
+        """Sum and maximum of the matched clauses' scores, their number, and the sum by length."""
+        text = text.lower()
+        scores = [sum(x * self.arcs[event] for event, x in found.items()) for found in self.clauses(text, automaton)]
+        scores = [x for x in scores if x > 0]
         total = sum(scores)
         return np.log1p(total), np.log1p(max(scores, default=0.0)), np.log1p(len(scores)), np.log1p(1000 * total / (len(text) + 200))
 
@@ -116,6 +162,28 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarr
     return mean, w
 
 
+def learned_arcs(sums: np.ndarray, y: np.ndarray, first: np.ndarray, ridge: float = 20.0) -> np.ndarray:
+    """Weights of the events from texts' event sums and labels.
+
+    A slope for the first weights as a whole is fitted, then each event's
+    deviation from it, with a ridge that holds what labels do not tell; no
+    weight is below 0 or over 6.
+    """
+    x = np.log1p(sums)
+    mean, (_, slope) = logistic((x @ first)[:, None], y)
+    if slope <= 0:
+        return first
+    base = slope * (x @ first - mean[0])
+    z = np.column_stack([np.ones(len(x)), x - x.mean(axis=0)])
+    w = np.zeros(z.shape[1])
+    penalty = ridge * np.diag([0.001] + [1.0] * x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(base + z @ w, -30, 30)))
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + penalty, z.T @ (y - p) - penalty @ w)
+        w = w + np.clip(step, -2, 2)
+    return np.clip(first + w[1:] / slope, 0.0, 6.0)
+
+
 def contexts(batches: Iterator[pa.RecordBatch], among: frozenset | None) -> Iterator[pa.RecordBatch]:
     """Entries of the words of texts with a hash of the neighbouring words; copies of a text add nothing."""
     for batch in batches:
@@ -169,18 +237,24 @@ def train(rows: DataFrame, known: DataFrame, toxic_rows: int, clean_rows: int, l
             most[stem] = max(n, most.get(stem, 0))
     insults = {e: w for e, w in insults.items() if not e.endswith("*") or inside[e] >= 1.5 * most.get(e, 0)}
     grammar = Grammar(insults)
-    shared = rows.sparkSession.sparkContext.broadcast(grammar)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = shared.value.automaton()
-        for batch in batches:
-            values = [shared.value.features(t.as_py() or "", machine) for t in batch.column(0)]
-            out = np.array(values, float).reshape(len(values), 4)
-            yield pa.RecordBatch.from_pydict({**{f"f{i}": out[:, i] for i in range(4)}, "label": batch.column(1).cast(pa.float64())})
+    def measured(of: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Values of every text of the sample by a method of the grammar, and the labels."""
+        shared = rows.sparkSession.sparkContext.broadcast(grammar)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = shared.value.automaton()
+            for batch in batches:
+                values = [getattr(shared.value, of)(t.as_py() or "", machine) for t in batch.column(0)]
+                out = np.array(values, float).reshape(len(values), width)
+                yield pa.RecordBatch.from_pydict({**{f"f{i}": out[:, i] for i in range(width)}, "label": batch.column(1).cast(pa.float64())})
+
+        table = sample.mapInArrow(run, ", ".join([*(f"f{i} double" for i in range(width)), "label double"])).toPandas()
+        return table[[f"f{i}" for i in range(width)]].to_numpy(), table["label"].to_numpy()
 
-    table = sample.mapInArrow(measure, "f0 double, f1 double, f2 double, f3 double, label double").toPandas()
     if n_toxic and n_clean:
-        grammar.mean, grammar.coefficients = logistic(table[[f"f{i}" for i in range(4)]].to_numpy(), table["label"].to_numpy())
+        grammar.arcs = learned_arcs(*measured("event_sums", EVENTS), grammar.arcs)
+        grammar.mean, grammar.coefficients = logistic(*measured("features", 4))
     else:
         grammar.mean, grammar.coefficients = np.zeros(4), np.array([-3.0, 1.0, 1.0, 0.0, 0.0])
     return grammar
@@ -200,6 +274,10 @@ def score_toxicity(
 ) -> DataFrame:
     """A toxicity score of every whole text, from the clauses that a finite-state grammar matches.
 
+    Insult, threat, negation, reported-speech and target transducers are
+    composed into one automaton, which runs over every clause with a match,
+    whatever its length. The weights of its events are learned from the labels.
+
     Learns from labelled rows where ``learn`` (a condition on the documents;
     default: all) holds, at most about ``toxic_rows`` and ``clean_rows`` of
     them; a score uses the text alone.
