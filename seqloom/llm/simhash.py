@@ -79,7 +79,12 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all fingerprints that differ in 3 bits or fewer; every edge is such a pair.
+    """Edges (u, v) that connect all fingerprints that differ in 3 bits or fewer; every edge is such a pair."""
+    return linked(prints)[0]
+
+
+def linked(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges of ``links``, and (node, root): the components of all fingerprints with an edge, by their least node.
 
     Half the radius is one and a half: each fingerprint emits, for each of 3
     blocks of 22, 21 and 21 bits, its other bits with none or one of them flipped.
@@ -107,7 +112,7 @@ def links(prints: DataFrame) -> DataFrame:
             first.append(choice(b, hidden, flip, either))
     rows = prints.select("fp", F.col("fp").alias("root"), F.col("fp").alias("value"), F.explode(F.array(*first)).alias("x"))
     rows = dealt(rows.where(F.col("x.either") | (F.col("fp").bitwiseAND(F.col("x.flip")) != 0)))
-    meet, ranges, edges = W.partitionBy("place", "variant"), list(BLOCKS), None
+    meet, ranges, edges, roots = W.partitionBy("place", "variant"), list(BLOCKS), None, None
     while True:
         rows = rows.withColumn("least", F.min(F.struct("fp", "root")).over(meet))
         rows = rows.withColumn("apart", F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))))
@@ -115,12 +120,20 @@ def links(prints: DataFrame) -> DataFrame:
         found = rows.where("apart <= 3 and root <> least.root")
         found = checkpointed(found.select(F.col("fp").alias("u"), F.col("least.fp").alias("v"), "root", F.col("least.root").alias("to")).distinct())
         edges = found.select("u", "v") if edges is None else edges.unionByName(found.select("u", "v"))
-        wide = rows.where("far").select("fp", "root", "place", "value", "variant")
+        rooted = wide = rows.where("far").select("fp", "root", "place", "value", "variant")
+        if roots is None or not found.isEmpty():
+            moved = components(found.select(F.col("root").alias("u"), F.col("to").alias("v")))
+            if roots is None:
+                roots = moved
+            else:
+                now = moved.select(F.col("node").alias("root"), F.col("root").alias("now"))
+                kept = roots.join(now, "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+                roots = checkpointed(kept.unionByName(moved.join(roots, "node", "left_anti")))
+            rooted = wide.join(moved.withColumnRenamed("root", "now"), F.col("root") == F.col("node"), "left")
+            rooted = rooted.select("fp", F.coalesce("now", "root").alias("root"), "place", "value", "variant")
         if len(ranges) == BITS or wide.isEmpty():
-            return edges.distinct()
+            return edges.distinct(), roots
         # only what the edges so far leave in several components is parted again
-        moved = components(found.select(F.col("root").alias("u"), F.col("to").alias("v"))).withColumnRenamed("root", "now")
-        rooted = wide.join(moved, F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("now", "root")).drop("node", "now")
         sides = rooted.groupBy("place", "variant").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.max(F.col("value") == F.col("fp")).alias("plain")).where("a <> z")
         # at first, two members that have both flipped a bit need each other only where the first block is hidden
         sides = sides.where("plain or place = 0") if len(ranges) == len(BLOCKS) else sides
@@ -182,12 +195,12 @@ def near_duplicates(
     named = docs.select(*[quoted(c).alias(f"in_{c}") for c in own], quoted(key).alias("id"), quoted(text).alias("text"))
     rows = checkpointed(fingerprints(named, "text", shingle=shingle).drop("text"))
     prints = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("n")))
-    roots = components(links(prints.select("fp")))
-    linked = prints.join(roots.withColumnRenamed("node", "fp"), "fp")
-    by_root = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = linked.join(by_root, "root").select("fp", "component_id", "root")
+    _, roots = linked(prints.select("fp"))
+    rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp")
+    by_root = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    rooted = rooted.join(by_root, "root").select("fp", "component_id", "root")
     alone = F.col("root").isNull()
-    of = prints.join(linked, "fp", "left").select(
+    of = prints.join(rooted, "fp", "left").select(
         F.col("fp").alias("p"),
         F.when(alone, F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("root", "fp").alias("component_root"),

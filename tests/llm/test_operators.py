@@ -360,12 +360,12 @@ def test_links_of_dense_groups(spark):
         for b in nodes[:i]:
             if far(a, b) <= 3:
                 want.join(a, b)
-    edges = simhash.links(spark.createDataFrame([(p,) for p in nodes], "fp long"))
+    edges, roots = simhash.linked(spark.createDataFrame([(p,) for p in nodes], "fp long"))
     for u, v in edges.collect():
         assert far(u, v) <= 3
         got.join(u, v)
     assert all(want.find(n) == got.find(n) for n in nodes)
-    roots = dict(map(tuple, simhash.components(edges).collect()))
+    roots = {r.node: r.root for r in roots.collect()}
     assert all(roots.get(n, n) == want.find(n) for n in nodes)
 
 
