@@ -13,6 +13,8 @@ from .common import carried, quoted, read
 KINDS = ("email", "ip", "card", "phone")
 ADDED = tuple(f"{k}_like" for k in KINDS)
 LABELERS = ("rule", "gazetteer", "context", "shape", "check")
+FEATURES = ("digits", "marked", "line_start", "long", "parted", "touching")
+BITS, VOTES = len(LABELERS) + len(FEATURES), (1 << len(LABELERS)) - 1
 
 # The contract's patterns, in forms that neither try a run of letters or digits
 # from each of its places nor recurse once for each repeated group.
@@ -35,7 +37,6 @@ CONTEXT = {
 }
 
 FOUND = "array<struct<start:int,end:int,match:string,before:string>>"
-SPANS = "array<struct<kind:int,strict:boolean,start:int,end:int,votes:int>>"
 
 
 def located(text: Column, pattern: str, needed: Column) -> Column:
@@ -79,61 +80,84 @@ def byte_parts(match: Column) -> Column:
     return F.forall(F.split(match, r"\."), lambda x: (F.length(part(x)) <= 3) & (part(x).cast("int") <= 255))
 
 
-def votes(kind: str, x: Column, rule: Column, gazetteer: Column, shape: Column, check: Column) -> Column:
-    """The labelers' votes as bits, in the order of LABELERS."""
-    context = x["before"].rlike(CONTEXT[kind])
+def bits(tests: Iterable[Column]) -> Column:
     total = F.lit(0)
-    for i, vote in enumerate((rule, gazetteer, context, shape, check)):
-        total = total + F.when(vote, 1 << i).otherwise(0)
+    for i, test in enumerate(tests):
+        total = total + F.when(test, 1 << i).otherwise(0)
     return total.cast("int")
 
 
+def evidence(kind: str, x: Column, rule: Column, gazetteer: Column, shape: Column, check: Column) -> Column:
+    """The labelers' votes, then features of the span and of what stands before it, in the order of LABELERS and FEATURES."""
+    match, before = x["match"], x["before"]
+    return bits(
+        (
+            rule,
+            gazetteer,
+            before.rlike(CONTEXT[kind]),
+            shape,
+            check,
+            2 * F.length(digits(match)) > F.length(match),
+            before.rlike(r"[:=<(\[\"']\x20?$"),
+            (before == "") | before.rlike(r"\n\x20*$"),
+            F.length(match) > 20,
+            match.rlike(r"[\x20()\[\]-]"),
+            before.rlike(r"[A-Za-z0-9_]$"),
+        )
+    )
+
+
 def candidates(text: Column) -> Column:
-    """All spans that any labeler looks at, strict ones (the contract's) and others."""
+    """All spans that the labelers look at: what the patterns find, whether or not it meets the contract (strict), and looser forms.
 
-    def spans(kind: str, found: Column, strict: Column | None, rule, gazetteer, shape, check, keep=None) -> Column:
+    No labeler repeats another: the rule is the contract's (for looser forms it
+    votes no), the gazetteer knows domains, networks, issuers and country codes,
+    the shape is a usual length, and the check is of how the span is written.
+    """
+
+    def spans(kind: str, found: Column, rule, gazetteer, shape, check, keep=None) -> Column:
         k = KINDS.index(kind)
         found = found if keep is None else F.filter(found, lambda x: keep(x["match"]))
 
         def span(x: Column) -> Column:
             m = x["match"]
-            is_strict = F.lit(False) if strict is None else rule(m)
-            bits = votes(kind, x, is_strict, gazetteer(m), shape(m), check(m))
-            return F.struct(F.lit(k).alias("kind"), is_strict.alias("strict"), x["start"].alias("start"), x["end"].alias("end"), bits.alias("votes"))
+            strict = F.lit(False) if rule is None else rule(m)
+            return F.struct(F.lit(k).alias("kind"), strict.alias("strict"), x["start"].alias("start"), x["end"].alias("end"), evidence(kind, x, strict, gazetteer(m), shape(m), check(m)).alias("bits"))
 
         return F.transform(found, span)
 
-    yes = F.lit(True)
     number = lambda m: F.length(digits(m))
-    at = text.contains("@")
-    many = text.rlike("[0-9]")
-    strict_email = spans("email", located(text, EMAIL, at), yes, lambda m: yes, lambda m: m.rlike(DOMAINS), lambda m: F.length(m) <= 80, lambda m: ~m.contains(".."))
-    loose_email = spans("email", located(text, EMAIL_LIKE, text.rlike(r"[\[(]at[\])]")), None, None, lambda m: m.rlike(DOMAINS), lambda m: F.length(m) <= 80, lambda m: ~m.contains(".."))
-    ip = spans("ip", located(text, IP, many), yes, byte_parts, lambda m: m.rlike(r"^(10|127|172|192)\."), lambda m: F.length(m).between(7, 15), byte_parts)
-    card = spans(
-        "card",
-        located(text, CARD, text.rlike("[0-9][0-9 -]{14}[0-9]")),
-        yes,
-        lambda m: luhn(digits(m)),
-        lambda m: m.rlike(ISSUERS),
-        lambda m: number(m) == 16,
-        lambda m: luhn(digits(m)),
-        lambda m: number(m).between(16, 19),
+    short = lambda m: F.length(m) <= 80
+    written = lambda m: m.rlike(r"^[A-Za-z][A-Za-z0-9._+-]*[A-Za-z0-9]\x20?[@\[(]") & ~m.contains("..")
+    domain = lambda m: m.rlike(DOMAINS)
+    dialled = lambda m: number(m).between(10, 13)
+    grouped = lambda m: m.rlike(r"^\+?[0-9]{0,3}[\x20.-]?\(?[0-9]{1,4}\)?(?:[\x20.-][0-9]{2,4}){1,5}$")
+    at, many, plus = text.contains("@"), text.rlike("[0-9]"), text.contains("+")
+    return F.concat(
+        spans("email", located(text, EMAIL, at), lambda m: F.lit(True), domain, short, written),
+        spans("email", located(text, EMAIL_LIKE, text.rlike(r"[\[(]at[\])]")), None, domain, short, written),
+        spans("ip", located(text, IP, many), byte_parts, lambda m: m.rlike(r"^(10|127|172|192)\."), lambda m: F.length(m).between(7, 15), lambda m: ~m.rlike(r"(^|\.)0[0-9]|^0\.")),
+        spans(
+            "card",
+            located(text, CARD, text.rlike("[0-9][0-9 -]{14}[0-9]")),
+            lambda m: luhn(digits(m)),
+            lambda m: m.rlike(ISSUERS),
+            lambda m: number(m) == 16,
+            lambda m: m.rlike(r"^(?:[0-9]{16,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}(?:[\x20-]?[0-9]{1,3})?)$"),
+            lambda m: number(m).between(16, 19),
+        ),
+        spans("phone", located(text, PHONE, plus), lambda m: number(m).between(8, 15), lambda m: m.rlike(r"^\+(1|33|34|44|49)\b"), dialled, grouped),
+        spans("phone", located(text, PHONE_LIKE, many), None, lambda m: m.rlike(r"^\(?[2-9]"), dialled, grouped),
     )
-    plus = text.contains("+")
-    phone = spans("phone", located(text, PHONE, plus), yes, lambda m: yes, lambda m: m.rlike(r"^\+(1|33|34|44|49)\b"), lambda m: number(m) >= 10, lambda m: m.rlike(r"[ ().-]"), lambda m: number(m).between(8, 15))
-    loose_phone = spans("phone", located(text, PHONE_LIKE, many), None, None, lambda m: m.rlike(r"^\(?[2-9]"), lambda m: number(m) == 10, lambda m: m.rlike(r"[ ().-]"))
-    ip_kept = F.filter(ip, lambda x: x["strict"])
-    return F.concat(strict_email, loose_email, ip_kept, card, phone, loose_phone)
 
 
 def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 50) -> dict[tuple[int, int], float]:
     """Posterior of each (kind, votes) by expectation-maximisation over labelers' hit and false-alarm rates.
 
-    Starts from the rule's votes; one rate of true spans for each kind, one pair
+    Starts from the share of labelers that vote yes; one rate of true spans for each kind, one pair
     of rates for each labeler and kind (priors keep rates off 0 and 1).
     """
-    post = {key: 0.9 if key[1] & 1 else 0.2 for key in counts}
+    post = {key: (key[1].bit_count() + 0.5) / (len(LABELERS) + 1) for key in counts}
     for _ in range(rounds):
         for kind in range(len(KINDS)):
             own = [k for k in counts if k[0] == kind]
@@ -153,20 +177,21 @@ def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 50) -> dict[
     return post
 
 
-def classifier(counts: dict[tuple[int, int], int], post: dict[tuple[int, int], float], steps: int = 400, rate: float = 0.5) -> list[list[float]]:
-    """Probability of every kind and votes: logistic weights fitted to the posteriors, span by span."""
-    width = len(KINDS) + len(LABELERS)
-    x_of = lambda kind, v: [float(kind == j) for j in range(len(KINDS))] + [float(v >> i & 1) for i in range(len(LABELERS))]
-    weights, total = [0.0] * width, sum(counts.values()) or 1
-    predict = lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(weights, x))))))
-    for _ in range(steps):
-        gradient = [1e-3 * w for w in weights]
-        for key, n in counts.items():
-            x = x_of(*key)
-            error = predict(x) - post[key]
-            gradient = [g + n / total * error * v for g, v in zip(gradient, x)]
-        weights = [w - rate * g for w, g in zip(weights, gradient)]
-    return [[predict(x_of(kind, v)) for v in range(1 << len(LABELERS))] for kind in range(len(KINDS))]
+def classifier(counts: dict[tuple[int, int], int], post: dict[tuple[int, int], float], steps: int = 300, rate: float = 1.0) -> list[list[float]]:
+    """For each kind the weights of votes and features, and last a constant: logistic, fitted to the posteriors span by span."""
+    out = []
+    for kind in range(len(KINDS)):
+        rows = [([float(b >> i & 1) for i in range(BITS)] + [1.0], n, post[kind, b & VOTES]) for (k, b), n in counts.items() if k == kind]
+        total, weights = sum(n for _, n, _ in rows) or 1, [0.0] * (BITS + 1)
+        for _ in range(steps):
+            gradient = [1e-3 * w for w in weights]
+            for x, n, y in rows:
+                z = sum(w for w, v in zip(weights, x) if v)
+                error = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y) * n / total
+                gradient = [g + error * v for g, v in zip(gradient, x)]
+            weights = [w - rate * g for w, g in zip(weights, gradient)]
+        out.append(weights)
+    return out
 
 
 def find_personal_data(
@@ -174,13 +199,15 @@ def find_personal_data(
 ) -> DataFrame:
     """Personal data in every whole text: the contract's spans, and others that a classifier accepts.
 
-    Five labelers vote on every candidate span: the strict rule, a gazetteer,
-    the words before it, its shape and a check. One pass counts the vote
-    patterns (at most 32 a kind) over all documents; expectation-maximisation
-    over these counts estimates how reliable each labeler is, and a logistic
-    classifier is fitted to the posteriors. A second pass keeps the strict
-    spans, and adds candidates that the classifier gives ``threshold`` or more,
-    as kinds email_like, card_like, phone_like.
+    Five labelers vote on every candidate span, those included that fail the
+    contract: the strict rule, a gazetteer, the words before it, its shape and
+    how it is written. One pass counts the patterns of votes and of six features
+    of the span and its neighbourhood (at most 2048 a kind) over all documents;
+    expectation-maximisation over the votes estimates how reliable each labeler
+    is, and for each kind a logistic classifier over votes and features is
+    fitted to the posteriors. A second pass keeps the strict spans, and adds
+    candidates that the classifier gives ``threshold`` or more, as kinds
+    email_like, ip_like, card_like, phone_like.
 
     Returns ``keep`` (all input columns by default), n_email, n_ip, n_card,
     n_phone (strict spans), n_added, base_sha256, spans, found (kind, start,
@@ -193,11 +220,22 @@ def find_personal_data(
     own = carried(docs, keep, new)
     whole = F.coalesce(F.col("t"), F.lit(""))
     seen = docs.select(quoted(text).alias("t")).select(F.explode(candidates(whole)).alias("x"))
-    counts = {(r[0], r[1]): r[2] for r in seen.groupBy("x.kind", "x.votes").count().collect()}
-    accept = classifier(counts, reliabilities(counts))
-    table = F.array(*[F.array(*[F.lit(p >= threshold) for p in row]) for row in accept])
+    counts = {(r[0], r[1]): r[2] for r in seen.groupBy("x.kind", "x.bits").count().collect()}
+    votes: dict[tuple[int, int], int] = {}
+    for (kind, b), n in counts.items():
+        votes[kind, b & VOTES] = votes.get((kind, b & VOTES), 0) + n
+    weights = classifier(counts, reliabilities(votes))
+    of_kind = lambda x, i: F.element_at(F.array(*[F.lit(w[i]) for w in weights]), x["kind"] + 1)
+    least = math.log(threshold / (1 - threshold))
+
+    def accepted(x: Column) -> Column:
+        total = of_kind(x, BITS)
+        for i in range(BITS):
+            total = total + F.when(x["bits"].bitwiseAND(1 << i) != 0, of_kind(x, i)).otherwise(0.0)
+        return total >= least
+
     rows = docs.select(*[quoted(c).alias(f"in_{c}") for c in own], quoted(text).alias("t")).withColumn("every", candidates(whole))
-    taken = F.filter("every", lambda x: x["strict"] | F.element_at(F.element_at(table, x["kind"] + 1), x["votes"] + 1))
+    taken = F.filter("every", lambda x: x["strict"] | accepted(x))
     names = F.array(*[F.lit(k) for k in (*KINDS, *ADDED)])
     place = lambda x: x["kind"] + F.when(x["strict"], 0).otherwise(len(KINDS))
     ordered = F.array_sort(F.transform(taken, lambda x: F.struct(place(x).alias("k"), x["start"].alias("start"), x["end"].alias("end"))))

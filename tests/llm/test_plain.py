@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import anchors, common, decontaminate, induced, langid, repeats, toxicity
+from seqloom.llm import anchors, common, decontaminate, induced, langid, pii, repeats, toxicity
 
 # language identification
 
@@ -183,3 +183,26 @@ def test_hot_passages_and_copies(spark):
             if seen[t[i : i + 400]] > 1:
                 gone.update(range(i, i + 400))
         assert r.n_removed == len(gone)
+
+
+# personal data
+
+
+def test_added_spans_are_personal_data(spark):
+    rng = random.Random(11)
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    made = []
+    for i in range(240):
+        made.append((f"mail me: {name()} [at] {name()} [dot] com today", "email_like"))
+        made.append((f"call ({rng.randint(200, 999)}) {number(3)}-{number(4)} now", "phone_like"))
+        made.append((f"version 1.{rng.randint(300, 900)}.{rng.randint(300, 900)}.7 is out", None))
+        made.append((f"order {'9' * 3}{number(12)}3 was sent", None))
+        made.append((f"write to {name()}@{name()}.com or +1 (555) 010-{number(4)}, from {rng.randint(1, 255)}.{rng.randint(0, 255)}.1.9", ""))
+        made.append((f"the {name()} of {name()} +{number(2)} {name()}", None))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id int, text string")
+    got = {r.doc_id: [x.split(":")[0] for x in r.spans.split(",") if "_like" in x] for r in pii.find_personal_data(df, keep=["doc_id"]).collect()}
+    for kind in ("email_like", "phone_like"):
+        planted = [i for i, (_, k) in enumerate(made) if k == kind]
+        assert sum(got[i] == [kind] for i in planted) >= 0.9 * len(planted)
+    assert not any(got[i] for i, (_, k) in enumerate(made) if k is None)
