@@ -28,6 +28,20 @@ def grid(reads: DataFrame, classes: DataFrame) -> DataFrame:
     return reads.select("read_id", F.explode(F.array(*[F.lit(i).cast(kind) for i in ids])).alias("class_id"))
 
 
+def packed(cells: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value): the values of all words of each key as an array in the order of the words."""
+    rows = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("word", F.col(value).alias("v_")))).alias("a_"))
+    return rows.select(key, F.transform("a_", lambda s: s["v_"]).alias(value))
+
+
+def against(reads: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every read with every class's row; classes are read once for their ids, and joined by them."""
+    ids = sorted(r[0] for r in classes.select("class_id").distinct().collect())
+    kind = classes.schema["class_id"].dataType
+    every = F.explode(F.array(*[F.lit(i).cast(kind) for i in ids])).alias("class_id")
+    return reads.select("*", every).join(classes, "class_id")
+
+
 def bayes_model(genes: DataFrame, vectors: DataFrame, pseudocount: float = 0.0) -> DataFrame:
     """(class_id, word, mean, variance) of the genes (gene_id, class_id) of each class.
 
@@ -42,9 +56,18 @@ def bayes_model(genes: DataFrame, vectors: DataFrame, pseudocount: float = 0.0)
 
 
 def bayes_scores_direct(vectors: DataFrame, model: DataFrame) -> DataFrame:
-    """Naive Bayes log densities where every vector has every word (dense vectors)."""
-    cells = vectors.join(model, "word")
-    return cells.groupBy("read_id", "class_id").agg(F.sum(log_density(F.col("x"), F.col("mean"), F.col("variance"))).alias("score"))
+    """Naive Bayes log densities where every vector and every class has every word (dense vectors).
+
+    Vectors and classes are packed into arrays in the order of the words; each
+    vector meets each class once, not once for each word.
+    """
+    v = floored(F.col("variance"))
+    cells = packed(model.select("class_id", "word", F.struct("mean", (1 / (2 * v)).alias("scale")).alias("c")), "class_id", "c")
+    constants = model.groupBy("class_id").agg(F.sum(-0.5 * F.log(2 * math.pi * v)).alias("constant"))
+    classes = cut(cells.join(constants, "class_id"))
+    far = F.zip_with("x", "c", lambda x, c: (x - c["mean"]) * (x - c["mean"]) * c["scale"])
+    met = against(packed(vectors, "read_id", "x"), classes)
+    return met.select("read_id", "class_id", (F.col("constant") - F.aggregate(far, F.lit(0.0), lambda a, b: a + b)).alias("score"))
 
 
 def bayes_scores(vectors: DataFrame, model: DataFrame, reads: DataFrame, domain: int) -> DataFrame:
@@ -190,10 +213,15 @@ def likelihood_weights(genes: DataFrame, vectors: DataFrame, model: DataFrame, d
 
 
 def difference_scores(read_cells: DataFrame, model: DataFrame) -> DataFrame:
-    """Twice the sum over pairs of the absolute difference between read and class."""
-    pairs = read_cells.select("read_id", F.explode(differences(F.col("cells"))).alias("p")).select("read_id", "p.*")
-    met = pairs.join(model, ["x", "y"]).groupBy("read_id", "class_id")
-    return met.agg((2 * F.sum(F.abs(F.col("d") - F.col("value")))).alias("score"))
+    """Twice the sum over pairs of the absolute difference between read and class; a class has all pairs.
+
+    A read's differences meet each class's once, as arrays in the order of the pairs.
+    """
+    values = F.array_sort(F.collect_list(F.struct("x", "y", "value")))
+    classes = cut(model.groupBy("class_id").agg(values.alias("a_")).select("class_id", F.transform("a_", lambda s: s["value"]).alias("values")))
+    mine = read_cells.select("read_id", F.transform(differences(F.col("cells")), lambda p: p["d"]).alias("d"))
+    apart = F.zip_with("d", "values", lambda a, b: F.abs(a - b))
+    return against(mine, classes).select("read_id", "class_id", (2 * F.aggregate(apart, F.lit(0.0), lambda a, b: a + b)).alias("score"))
 
 
 def count_prior(classes: DataFrame, counts: DataFrame) -> DataFrame:
