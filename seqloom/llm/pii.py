@@ -154,10 +154,10 @@ def candidates(text: Column) -> Column:
 def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 50) -> dict[tuple[int, int], float]:
     """Posterior of each (kind, votes) by expectation-maximisation over labelers' hit and false-alarm rates.
 
-    Starts from the share of labelers that vote yes; one rate of true spans for each kind, one pair
+    Starts from the share of labelers that vote yes, the rule counted twice; one rate of true spans for each kind, one pair
     of rates for each labeler and kind (priors keep rates off 0 and 1).
     """
-    post = {key: (key[1].bit_count() + 0.5) / (len(LABELERS) + 1) for key in counts}
+    post = {key: (key[1].bit_count() + (key[1] & 1) + 0.5) / (len(LABELERS) + 2) for key in counts}
     for _ in range(rounds):
         for kind in range(len(KINDS)):
             own = [k for k in counts if k[0] == kind]
