@@ -267,3 +267,33 @@ def find_personal_data(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(read(spark, sf_dir, "documents"), keep=["doc_id"]).drop("found")
+
+
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the contract's patterns alone find, for the comparison with SQL."""
+    return query(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256")
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS (
+  SELECT r, 0 AS k, 'email' AS kind, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS gaps,
+    regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS ms FROM d
+  UNION ALL SELECT r, 1, 'ip', string_split_regex(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') FROM d
+  UNION ALL SELECT r, 2, 'card', string_split_regex(t, '[0-9]([\x20-]?[0-9])+'), regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+') FROM d
+  UNION ALL SELECT r, 3, 'phone', string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]'), regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d),
+e AS (SELECT r, k, kind, i, gaps[i] AS gap, ms[i] AS m FROM (SELECT *, unnest(generate_series(1, len(ms))) AS i FROM f)),
+s AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY r, k ORDER BY i) AS z, regexp_replace(m, '[^0-9]', '', 'g') AS n FROM e),
+x AS (SELECT r, k, kind, CAST(z - length(m) AS BIGINT) AS a, CAST(z AS BIGINT) AS z FROM s WHERE CASE k
+  WHEN 0 THEN true
+  WHEN 1 THEN len(list_filter(string_split(m, '.'), lambda v: length(ltrim(v, '0')) > 3 OR coalesce(TRY_CAST(ltrim(v, '0') AS BIGINT), 0) > 255)) = 0
+  WHEN 2 THEN length(n) BETWEEN 16 AND 19 AND list_sum(list_transform(generate_series(0, length(n) - 1), lambda j: CASE
+      WHEN j % 2 = 0 THEN CAST(n[length(n) - j] AS INTEGER)
+      ELSE 2 * CAST(n[length(n) - j] AS INTEGER) // 10 + 2 * CAST(n[length(n) - j] AS INTEGER) % 10 END)) % 10 = 0
+  ELSE length(n) BETWEEN 8 AND 15 END),
+n AS (SELECT r, count(*) FILTER (WHERE k = 0) AS n_email, count(*) FILTER (WHERE k = 1) AS n_ip, count(*) FILTER (WHERE k = 2) AS n_card,
+  count(*) FILTER (WHERE k = 3) AS n_phone, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY k, a) AS listed FROM x GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(listed, '')) AS base_sha256
+FROM d LEFT JOIN n USING (r)
+"""

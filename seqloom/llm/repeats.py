@@ -215,3 +215,23 @@ def remove_repeats(
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5(b[i:i + 399]) AS s FROM (
+  SELECT r, b, unnest(generate_series(1, octet_length(b) - 399)) AS i FROM d WHERE octet_length(b) >= 400)),
+m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS n FROM w) WHERE n > 1),
+g AS (SELECT r, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS run
+  FROM (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400, true) AS fresh FROM m)),
+spans AS (SELECT r, min(i) AS a, max(i) + 399 AS z FROM g GROUP BY r, run),
+pieces AS (
+  SELECT r, a AS place, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS low, a - 1 AS high FROM spans
+  UNION ALL SELECT r, max(z) + 1, max(z) + 1, 9223372036854775807 FROM spans GROUP BY r),
+kept AS (SELECT r, sha256(unhex(string_agg(hex(b[low:least(high, octet_length(b))]), '' ORDER BY place))) AS digest
+  FROM pieces JOIN d USING (r) GROUP BY r),
+counts AS (SELECT r, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, coalesce(digest, sha256(b)) AS kept_sha256
+FROM d LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
+"""

@@ -32,7 +32,7 @@ def test_query_equals_sql(name, same_rows):
 
 
 def test_ten_queries_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert [n.split("_")[0] for n in queries.QUERIES if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
 
 
 # 1
