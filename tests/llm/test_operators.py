@@ -1,5 +1,6 @@
 """The ten operators against SQL, brute force, or held-out accuracy, on the smallest tables."""
 
+import functools
 import hashlib
 import math
 import random
@@ -208,26 +209,33 @@ def test_unigram_baseline_is_exact(spark):
 
 
 class PlainTree:
-    """A suffix tree over the bytes of words in dictionaries."""
+    """A suffix tree over the bytes of texts in dictionaries."""
 
-    def __init__(self, words, nats):
+    def __init__(self, texts, nats):
         self.counts, self.nats = {}, nats
-        for word, n in words.items():
-            for context, symbol in self.steps(word):
+        for words in texts:
+            for context, symbol in self.steps(words):
                 for d in range(len(context) + 1):
-                    own = self.counts.setdefault(context[:d], Counter())
-                    own[symbol] += n
+                    self.counts.setdefault(context[:d], Counter())[symbol] += 1
 
     @staticmethod
-    def steps(word):
-        for i in range(max(1, len(word) + 1) if word else 1):
-            yield (word[:i][::-1] + b"\x09")[: suffix_tree.DEPTH], (word + b" ")[i] if word else 0x0A
-
+    def steps(words):
+        before = b""
+        for word in words:
+            for i, symbol in enumerate(word + b" " if word else b"\n"):
+                own = word[:i][::-1]
+                if i < suffix_tree.HEAD:
+                    own += b" " + before[-suffix_tree.TAIL :][::-1]
+                yield (own + b"\x09")[: suffix_tree.DEPTH], symbol
+            before = word
+
+    @functools.cache
     def is_state(self, context):
         own, above = self.counts.get(context, Counter()), self.counts.get(context[:-1], Counter())
         c, up = own.total(), above.total()
         return c > 1 and sum(n * math.log(n / c / (above[s] / up)) for s, n in own.items()) >= self.nats
 
+    @functools.cache
     def probability(self, context, symbol):
         root = self.counts.get(b"", Counter())
         p = (root[symbol] + 0.5) / (root.total() + 128)
@@ -237,8 +245,8 @@ class PlainTree:
                 p = (own[symbol] + len(own) * p) / (own.total() + len(own))
         return p
 
-    def score(self, word):
-        return sum(math.log10(self.probability(*step)) for step in self.steps(word))
+    def score(self, words):
+        return sum(math.log10(self.probability(*step)) for step in self.steps(words))
 
 
 def words_of(text):
@@ -251,9 +259,9 @@ def test_tree_equals_a_plain_one(spark, head):
     rows += [(10**6, None), (10**6 + 1, "a" * 40 + " " + "a" * 39 + "b" + " qabcdefghijklr xabcdefghijklz" * 9), (10**6 + 2, "\x00 \x00\x00 \x01a"), (10**6 + 3, "")] * 3
     learns = [i % 3 > 0 for i in range(len(rows))]
     df = spark.createDataFrame([(*r, x) for r, x in zip(rows, learns)], "doc_id long, text string, own boolean")
-    tree = PlainTree(Counter(w for r, x in zip(rows, learns) if x for w in words_of(r[1])), 8.0)
+    tree = PlainTree([words_of(r[1]) for r, x in zip(rows, learns) if x], 8.0)
     assert any(len(c) == d and tree.is_state(c) for c in tree.counts for d in (5, 12))
-    want = {r: sum(tree.score(w) for w in words_of(r[1])) for r in rows}
+    want = {r: tree.score(words_of(r[1])) for r in rows}
     got = suffix_tree.score_texts(df, F.col("own"), head_words=head).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -262,9 +270,13 @@ def test_tree_equals_a_plain_one(spark, head):
 
 def test_tree_is_a_distribution_and_prunes():
     texts = ["ab ab  cab abc", "", None, " hello world hello", "aa aa aa"] * 3
-    words = Counter(w for t in texts for w in words_of(t))
-    n = np.array(list(words.values()))
-    of, _, high, low = suffix_tree.keys_of(list(words))
+    units = Counter()
+    for words in map(words_of, texts):
+        units.update(b"w" + w for w in words)
+        units.update(b"j" + j for j in suffix_tree.joints(words, b""))
+    n = np.array(list(units.values()))
+    of, _, high, low = suffix_tree.keys_of(list(units))
+    assert n[of].sum() == sum(len(w) + 1 for t in texts for w in words_of(t))
     for nats in (0.0, 2.0, 1e9):
         tree = suffix_tree.Tree.grow(suffix_tree.short_keys(high, low), n[of], nats)
         assert sum(len(x[0]) for x in tree.levels) == 0 if nats > 2 else any(len(x[0]) for x in tree.levels)
