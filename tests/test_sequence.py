@@ -117,17 +117,47 @@ def test_closed_bayes_form_equals_the_direct_one(spark):
             assert got[read, cls] == pytest.approx(total, rel=1e-9)
 
 
-def test_gene_finder_frames():
+def gene_model(gene, reverse=False):
+    """Emissions that expect the codons of one gene, on one strand."""
     par = genefinder.Parameters.uniform()
-    seq = "ATG" + "GCTGAAACC" * 12 + "TAA" + "GGCA" * 5
-    path = genefinder.viterbi(seq, par)
-    assert len(path) == len(seq) and path.min() >= 0 and path.max() < genefinder.STATES
-    found = genefinder.frames(seq, path)
-    assert all(a < b and len(bases) > 60 for a, b, _, bases in found)
+    table = np.full((6, 16, 4), 0.02)
+    for i in range(3, len(gene)):
+        before = ["ACGT".index(c) for c in gene[i - 2 : i]]
+        table[(i - 3) % 6, 4 * before[0] + before[1], "ACGT".index(gene[i])] = 0.9
+    par.match[:], par.match_r[:] = (1e-4, table) if reverse else (table, 1e-4)
+    par.noncoding[:] = 0.15
+    par.transitions |= {"GE": 0.01, "GG": 0.99}
+    return par
+
+
+def test_gene_finder_frames():
+    gene, tail = "ATG" + "GCTGAAACCCGTCATTTC" * 6 + "TAA", "GGCATCCA"
+    par, whole = gene_model(gene), "AETRHF" * 6
+
+    def found(seq, model=par):
+        return [(a, b, strand, genefinder.protein(bases, strand)) for a, b, strand, bases in genefinder.frames(seq, genefinder.viterbi(seq, model))]
+
+    # stop codons out of frame (TGA in GCTGAA) don't end it
+    assert found(gene + tail) == [(3, 111, 1, whole)]
+    assert found("GGCACCCT" + gene + tail) == [(11, 119, 1, whole)]
+    assert found(gene[:60] + "C" + gene[60:] + tail) == [(3, 112, 1, whole)]
+    assert found(gene[:60] + gene[61:] + tail) == [(3, 110, 1, whole[:19] + "X" + whole[20:])]
+    assert not found("GGCATCCA" * 20)
+    complement = str.maketrans("ACGT", "TGCA")
+    minus = gene[::-1].translate(complement)
+    assert found(minus + "GT" * 20, gene_model(minus, reverse=True)) == [(3, 111, -1, whole)]
+    path = genefinder.viterbi(gene, par)
+    assert len(path) == len(gene) and path.min() >= 0 and path.max() < genefinder.STATES
     assert genefinder.protein("ATGAAA", 1) == "MK" and genefinder.protein("TTTCAT", -1) == "MK"
     assert genefinder.viterbi("N" * 40, par)[20] == genefinder.NONCODING
 
 
+def test_insertions_that_spell_stop_codons():
+    assert genefinder.spells("CCTCCAACC", 2, 5, 1, genefinder.STOPS)
+    assert genefinder.spells("CTACCAC", 2, 5, 2, genefinder.STOPS) and not genefinder.spells("CTACCCC", 2, 5, 2, genefinder.STOPS)
+    assert genefinder.spells("CCTCCTACC", 2, 5, 4, genefinder.STOPS_R) and not genefinder.spells("CCTCCAACC", 2, 5, 3, genefinder.STOPS)
+
+
 def test_gene_finder_parameters_round_trip():
     par = genefinder.Parameters.uniform()
     main = "\n".join(f"{k} {v}" for k, v in par.transitions.items()) + "\nMI\n" + " ".join(["0.25"] * 16) + "\nII\n" + " ".join(["0.25"] * 16) + "\nPI\n" + " ".join(map(str, par.initial))
