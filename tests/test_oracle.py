@@ -12,7 +12,7 @@ def test_query_equals_sql(name, same_rows):
 
 def test_every_sql_has_a_query():
     assert set(catalogue.SQL) <= set(catalogue.QUERIES)
-    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"taxon_bloom", "orf_viterbi"}
+    assert set(catalogue.QUERIES) - set(catalogue.SQL) == {"orf_viterbi"}
 
 
 def test_entry_runs(spark):
