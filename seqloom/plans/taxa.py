@@ -182,7 +182,7 @@ def score_unpivot(spark, d):
     s = V.scores(spark, d).where("method = 'd2'")
     taxid = F.when(F.col("class_id") < 2, 500).otherwise(500 + F.col("class_id")).cast("long")
     cls = V.classes(spark, d).select("class_id", taxid.alias("taxid"))
-    names = list(range(10))
+    names = sorted(r.class_id for r in cls.select("class_id").collect())
     lines = score_tables.score_lines(s, "read_id", names, "d2")
     head = "\t".join(["method d2", *["500" if i < 2 else str(500 + i) for i in names]])
     lines = lines.withColumn("value", F.when(F.col("place") == 0, head).otherwise(F.col("value")))

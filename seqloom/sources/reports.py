@@ -45,10 +45,11 @@ def filter_counts(rows: DataFrame) -> DataFrame:
 
 def exons(genes: DataFrame, order: str, first: int = 1) -> DataFrame:
     """(genome, gene, start, end): places of a genome's genes laid end to end, numbered from ``first``."""
+    genes = genes.select("genome", order, F.length("seq").alias("size"))  # sequences stay where they are
     over = W.partitionBy("genome").orderBy(order)
-    upto = F.sum(F.length("seq")).over(over.rowsBetween(W.unboundedPreceding, W.currentRow))
+    upto = F.sum("size").over(over.rowsBetween(W.unboundedPreceding, W.currentRow))
     gene = F.concat(F.lit("gene_"), (F.row_number().over(over) - 1 + first).cast("string"))
-    return genes.select("genome", order, gene.alias("gene"), (upto - F.length("seq") + 1).alias("start"), upto.alias("end"))
+    return genes.select("genome", order, gene.alias("gene"), (upto - F.col("size") + 1).alias("start"), upto.alias("end"))
 
 
 def gtf_lines(placed: DataFrame) -> DataFrame:
