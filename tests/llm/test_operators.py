@@ -75,15 +75,23 @@ def test_secret_rules(spark):
 
 def test_random_strings_are_told_from_identifiers(spark):
     rng = random.Random(2)
-    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    keys = ["".join(rng.choice(symbols) for _ in range(32)) + "7q" for _ in range(40)]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda symbols, n: "".join(rng.choice(symbols) for _ in range(n))
+    keys = [key(letters + "0123456789", 32) for _ in range(40)] + [key(letters + "0123456789", 18) for _ in range(40)] + [key(letters, 20) for _ in range(40)]
     plain = [f"the_{a}_of_{b}_in_version_{i}" for i, (a, b) in enumerate(zip(["reading", "station", "thing"] * 14, ["content", "others", "measure"] * 14))]
     df = docs(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, f"is {k} here") for i, k in enumerate(keys + plain)], "doc_id long, text string"))
     got = {r.doc_id - 10**6: r.n_random for r in secrets.find_secrets(df, keep=["doc_id"]).where("doc_id >= 1000000").collect()}
-    assert sum(got[i] for i in range(len(keys))) >= 0.95 * len(keys)
+    assert sum(got[i] for i in range(len(keys))) >= 0.9 * len(keys)
     assert sum(got[i] for i in range(len(keys), len(got))) <= 0.05 * len(plain)
 
 
+def test_parts_beside_rule_spans_are_judged():
+    text = "token=abcdef/" + "0" * 30 + " " + "x" * 20 + "f" * 24 + "y" * 15
+    base = secrets.base_spans(text)
+    parts = [text[a:b] for a, b in secrets.left_over(text, base)]
+    assert parts == ["x" * 20] and [k for *_, k in base] == ["assign", "hex", "hex"]
+
+
 # 3
 
 
