@@ -14,7 +14,9 @@ KINDS = ("email", "ip", "card", "phone")
 ADDED = tuple(f"{k}_like" for k in KINDS)
 LABELERS = ("rule", "gazetteer", "context", "shape", "check")
 FEATURES = ("digits", "marked", "line_start", "long", "parted", "touching")
-BITS, VOTES = len(LABELERS) + len(FEATURES), (1 << len(LABELERS)) - 1
+#: Labelers that may abstain; a bit for each, after the votes, says that it voted.
+ABSTAINING = ("rule", "gazetteer", "context")
+BITS, VOTES = len(LABELERS) + len(ABSTAINING) + len(FEATURES), (1 << len(LABELERS) + len(ABSTAINING)) - 1
 
 # The contract's patterns, in forms that neither try a run of letters or digits
 # from each of its places nor recurse once for each repeated group.
@@ -28,6 +30,7 @@ PHONE_LIKE = r"(?<![0-9A-Za-z+().-])(?<!\+[0-9]{1,3}[\x20.-])(?:\([0-9]{3}\)\x20
 
 # Gazetteers and context words (fixed values).
 DOMAINS = r"(?i)(?:\.|[\])]\x20?)(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
+FILES = r"(?i)\.(png|jpe?g|gif|svg|css|js|py|txt|html?)$"
 ISSUERS = r"^(4|5[1-5]|2[2-7]|3[47]|6)"
 CONTEXT = {
     "email": r"(?i)(mail|contact|write|kontakt|schreib|courriel|correo|contacto|adresse)",
@@ -35,6 +38,8 @@ CONTEXT = {
     "card": r"(?i)(card|visa|credit|debit|karte|carte|tarjeta|pay)",
     "phone": r"(?i)(tel|phone|call|mobile|fax|anruf|ruf|appel|llam|m[oó]vil)",
 }
+# Words that name something else when they end just before a span (fixed values).
+ELSE = r"(?i)(version|order|invoice|isbn|serial|sku|build|release|item|bestellung|rechnung|commande|facture|pedido|factura)[\x20:#.]*$"
 
 FOUND = "array<struct<start:int,end:int,match:string,before:string>>"
 
@@ -87,16 +92,23 @@ def bits(tests: Iterable[Column]) -> Column:
     return total.cast("int")
 
 
-def evidence(kind: str, x: Column, rule: Column, gazetteer: Column, shape: Column, check: Column) -> Column:
-    """The labelers' votes, then features of the span and of what stands before it, in the order of LABELERS and FEATURES."""
+def evidence(kind: str, x: Column, rule: Column | None, known: Column, unknown: Column, shape: Column, check: Column) -> Column:
+    """The labelers' votes, whether those that may abstain voted, then features of the span and of what stands before it.
+
+    In the order of LABELERS, ABSTAINING and FEATURES. Null tests count as false.
+    """
     match, before = x["match"], x["before"]
+    named, other = before.rlike(CONTEXT[kind]), before.rlike(ELSE)
     return bits(
         (
-            rule,
-            gazetteer,
-            before.rlike(CONTEXT[kind]),
+            F.lit(False) if rule is None else rule,
+            known,
+            named & ~other,
             shape,
             check,
+            F.lit(rule is not None),
+            known | unknown,
+            named | other,
             2 * F.length(digits(match)) > F.length(match),
             before.rlike(r"[:=<(\[\"']\x20?$"),
             (before == "") | before.rlike(r"\n\x20*$"),
@@ -110,69 +122,104 @@ def evidence(kind: str, x: Column, rule: Column, gazetteer: Column, shape: Colum
 def candidates(text: Column) -> Column:
     """All spans that the labelers look at: what the patterns find, whether or not it meets the contract (strict), and looser forms.
 
-    No labeler repeats another: the rule is the contract's (for looser forms it
-    votes no), the gazetteer knows domains, networks, issuers and country codes,
-    the shape is a usual length, and the check is of how the span is written.
+    No labeler repeats another: the rule is the contract's and abstains on
+    looser forms; the gazetteer knows domains and file endings, networks,
+    issuers and country codes, and abstains on what it doesn't list; the words
+    before a span speak for its kind or for something else, or abstain; the
+    shape is a usual length, and the check is of how the span is written.
     """
 
-    def spans(kind: str, found: Column, rule, gazetteer, shape, check, keep=None) -> Column:
+    def spans(kind: str, found: Column, rule, known, unknown, shape, check) -> Column:
         k = KINDS.index(kind)
-        found = found if keep is None else F.filter(found, lambda x: keep(x["match"]))
 
         def span(x: Column) -> Column:
             m = x["match"]
-            strict = F.lit(False) if rule is None else rule(m)
-            return F.struct(F.lit(k).alias("kind"), strict.alias("strict"), x["start"].alias("start"), x["end"].alias("end"), evidence(kind, x, strict, gazetteer(m), shape(m), check(m)).alias("bits"))
+            strict = None if rule is None else rule(m)
+            votes = evidence(kind, x, strict, known(m), unknown(m), shape(m), check(m))
+            return F.struct(F.lit(k).alias("kind"), (F.lit(False) if rule is None else strict).alias("strict"), x["start"].alias("start"), x["end"].alias("end"), votes.alias("bits"))
 
         return F.transform(found, span)
 
+    like = lambda pattern: lambda m: m.rlike(pattern)
     number = lambda m: F.length(digits(m))
     short = lambda m: F.length(m) <= 80
     written = lambda m: m.rlike(r"^[A-Za-z][A-Za-z0-9._+-]*[A-Za-z0-9]\x20?[@\[(]") & ~m.contains("..")
-    domain = lambda m: m.rlike(DOMAINS)
     dialled = lambda m: number(m).between(10, 13)
-    grouped = lambda m: m.rlike(r"^\+?[0-9]{0,3}[\x20.-]?\(?[0-9]{1,4}\)?(?:[\x20.-][0-9]{2,4}){1,5}$")
+    grouped = like(r"^\+?[0-9]{0,3}[\x20.-]?\(?[0-9]{1,4}\)?(?:[\x20.-][0-9]{2,4}){1,5}$")
     at, many, plus = text.contains("@"), text.rlike("[0-9]"), text.contains("+")
+    sixteen = text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")
     return F.concat(
-        spans("email", located(text, EMAIL, at), lambda m: F.lit(True), domain, short, written),
-        spans("email", located(text, EMAIL_LIKE, text.rlike(r"[\[(]at[\])]")), None, domain, short, written),
-        spans("ip", located(text, IP, many), byte_parts, lambda m: m.rlike(r"^(10|127|172|192)\."), lambda m: F.length(m).between(7, 15), lambda m: ~m.rlike(r"(^|\.)0[0-9]|^0\.")),
+        spans("email", located(text, EMAIL, at), lambda m: F.lit(True), like(DOMAINS), like(FILES), short, written),
+        spans("email", located(text, EMAIL_LIKE, text.rlike(r"[\[(]at[\])]")), None, like(DOMAINS), like(FILES), short, written),
+        spans(
+            "ip",
+            located(text, IP, many),
+            byte_parts,
+            like(r"^(10|127|172|192)\."),
+            like(r"^(0+|22[4-9]|2[3-9][0-9]|[3-9][0-9]{2})\."),
+            lambda m: F.length(m).between(7, 15),
+            lambda m: ~m.rlike(r"(^|\.)0[0-9]|^0\."),
+        ),
         spans(
             "card",
-            located(text, CARD, text.rlike("[0-9][0-9 -]{14}[0-9]")),
+            F.filter(located(text, CARD, sixteen), lambda x: number(x["match"]).between(16, 19)),
             lambda m: luhn(digits(m)),
-            lambda m: m.rlike(ISSUERS),
+            like(ISSUERS),
+            like(r"^[01789]"),
             lambda m: number(m) == 16,
-            lambda m: m.rlike(r"^(?:[0-9]{16,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}(?:[\x20-]?[0-9]{1,3})?)$"),
-            lambda m: number(m).between(16, 19),
+            like(r"^(?:[0-9]{16,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}(?:[\x20-]?[0-9]{1,3})?)$"),
         ),
-        spans("phone", located(text, PHONE, plus), lambda m: number(m).between(8, 15), lambda m: m.rlike(r"^\+(1|33|34|44|49)\b"), dialled, grouped),
-        spans("phone", located(text, PHONE_LIKE, many), None, lambda m: m.rlike(r"^\(?[2-9]"), dialled, grouped),
+        spans("phone", located(text, PHONE, plus), lambda m: number(m).between(8, 15), like(r"^\+(1|33|34|44|49)\b"), like(r"^\+0"), dialled, grouped),
+        spans("phone", located(text, PHONE_LIKE, many), None, like(r"^\(?[2-9]"), like(r"^\(?[01]"), dialled, grouped),
     )
 
 
+def cast(votes: int, i: int) -> bool:
+    """Whether labeler ``i`` voted."""
+    name = LABELERS[i]
+    return name not in ABSTAINING or bool(votes >> len(LABELERS) + ABSTAINING.index(name) & 1)
+
+
 def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 50) -> dict[tuple[int, int], float]:
     """Posterior of each (kind, votes) by expectation-maximisation over labelers' hit and false-alarm rates.
 
-    Starts from the share of labelers that vote yes, the rule counted twice; one rate of true spans for each kind, one pair
-    of rates for each labeler and kind (priors keep rates off 0 and 1).
+    Starts from the share of yes among the votes cast, each weighed by how much
+    its labeler tells spans apart (the variance of its votes, 0.02 at least, so
+    that where all agree they are believed). There is one rate of true spans for each kind and one pair of rates for each labeler and kind,
+    over the spans on which it voted; who abstains says nothing. Priors keep
+    rates off 0 and 1. A labeler is never worse than chance: where its hits
+    would fall below its false alarms both are its common rate, so that no
+    labeler can turn the two classes around.
     """
-    post = {key: (key[1].bit_count() + (key[1] & 1) + 0.5) / (len(LABELERS) + 2) for key in counts}
+    labelers = range(len(LABELERS))
+    voters = {votes: [i for i in labelers if cast(votes, i)] for _, votes in counts}
+    weight = {}
+    for kind, i in ((kind, i) for kind in range(len(KINDS)) for i in labelers):
+        voted = [(k, n) for k, n in counts.items() if k[0] == kind and i in voters[k[1]]]
+        yes = sum(n for k, n in voted if k[1] >> i & 1) / (sum(n for _, n in voted) or 1)
+        weight[kind, i] = max(0.02, yes * (1 - yes))
+    post = {}
+    for kind, votes in counts:
+        own = [(weight[kind, i], votes >> i & 1) for i in voters[votes]]
+        post[kind, votes] = sum(w * yes for w, yes in own) / sum(w for w, _ in own)
     for _ in range(rounds):
         for kind in range(len(KINDS)):
             own = [k for k in counts if k[0] == kind]
-            true = sum(counts[k] * post[k] for k in own)
-            false = sum(counts[k] * (1 - post[k]) for k in own)
+            true, false = sum(counts[k] * post[k] for k in own), sum(counts[k] * (1 - post[k]) for k in own)
             share = (true + 1) / (true + false + 2)
-            hit, alarm = [], []
-            for i in range(len(LABELERS)):
-                hit.append((sum(counts[k] * post[k] for k in own if k[1] >> i & 1) + 8) / (true + 10))
-                alarm.append((sum(counts[k] * (1 - post[k]) for k in own if k[1] >> i & 1) + 2) / (false + 10))
+            rates = []
+            for i in labelers:
+                voted = [k for k in own if i in voters[k[1]]]
+                yes = [k for k in voted if k[1] >> i & 1]
+                t, f = sum(counts[k] * post[k] for k in voted), sum(counts[k] * (1 - post[k]) for k in voted)
+                a, b = sum(counts[k] * post[k] for k in yes), sum(counts[k] * (1 - post[k]) for k in yes)
+                hit, alarm = (a + 8) / (t + 10), (b + 2) / (f + 10)
+                rates.append((hit, alarm) if hit >= alarm else ((a + b + 10) / (t + f + 20),) * 2)
             for k in own:
                 log = math.log(share / (1 - share))
-                for i in range(len(LABELERS)):
-                    on = k[1] >> i & 1
-                    log += math.log((hit[i] if on else 1 - hit[i]) / (alarm[i] if on else 1 - alarm[i]))
+                for i in voters[k[1]]:
+                    hit, alarm = rates[i]
+                    log += math.log(hit / alarm if k[1] >> i & 1 else (1 - hit) / (1 - alarm))
                 post[k] = 1 / (1 + math.exp(-max(-30.0, min(30.0, log))))
     return post
 
@@ -201,8 +248,9 @@ def find_personal_data(
 
     Five labelers vote on every candidate span, those included that fail the
     contract: the strict rule, a gazetteer, the words before it, its shape and
-    how it is written. One pass counts the patterns of votes and of six features
-    of the span and its neighbourhood (at most 2048 a kind) over all documents;
+    how it is written; the first three may abstain. One pass counts the patterns
+    of votes and of six features of the span and its neighbourhood (at most
+    16,384 a kind) over all documents;
     expectation-maximisation over the votes estimates how reliable each labeler
     is, and for each kind a logistic classifier over votes and features is
     fitted to the posteriors. A second pass keeps the strict spans, and adds
