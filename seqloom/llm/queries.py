@@ -3,7 +3,7 @@
 ``base...`` are the columns of an operator's query that SQL can state where it can't state them all.
 """
 
-from . import decontaminate, extraction, langid, mixing, pii, repeats, secrets, simhash, suffix_tree, topk, toxicity
+from . import decontaminate, extraction, langid, lexical, mixing, pii, repeats, secrets, simhash, suffix_tree, topk, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_repeats": repeats.query,
     "op10_top_k": topk.query,
     "op11_main_text": extraction.query,
+    "op12_ranked_search": lexical.query,
     "base2_secrets": secrets.base_query,
     "base5_personal_data": pii.base_query,
     "base7_unigram": suffix_tree.base_query,
@@ -27,6 +28,7 @@ SQL = {
     "op9_repeats": repeats.SQL,
     "op10_top_k": topk.SQL,
     "op11_main_text": extraction.SQL,
+    "op12_ranked_search": lexical.SQL,
     "base2_secrets": secrets.BASE_SQL,
     "base5_personal_data": pii.BASE_SQL,
     "base7_unigram": suffix_tree.BASE_SQL,
