@@ -3,7 +3,7 @@
 ``base...`` are the columns of an operator's query that SQL can state where it can't state them all.
 """
 
-from . import decontaminate, extraction, langid, lexical, mixing, pii, repeats, secrets, simhash, suffix_tree, topk, toxicity
+from . import decontaminate, extraction, langid, lexical, mixing, negatives, pii, repeats, secrets, simhash, suffix_tree, topk, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_top_k": topk.query,
     "op11_main_text": extraction.query,
     "op12_ranked_search": lexical.query,
+    "op13_hard_negatives": negatives.query,
     "base2_secrets": secrets.base_query,
     "base5_personal_data": pii.base_query,
     "base7_unigram": suffix_tree.base_query,
@@ -29,6 +30,7 @@ SQL = {
     "op10_top_k": topk.SQL,
     "op11_main_text": extraction.SQL,
     "op12_ranked_search": lexical.SQL,
+    "op13_hard_negatives": negatives.SQL,
     "base2_secrets": secrets.BASE_SQL,
     "base5_personal_data": pii.BASE_SQL,
     "base7_unigram": suffix_tree.BASE_SQL,
