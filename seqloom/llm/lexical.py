@@ -79,8 +79,10 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            sizes = per_text(term_starts(data, offsets)[1], offsets)
-            yield pa.RecordBatch.from_pydict({"n": [int((sizes > 0).sum())], "l": [int(sizes.sum())]})
+            for a, b in slices(offsets, shard_bytes):
+                own = offsets[a : b + 1] - offsets[a]
+                sizes = per_text(term_starts(data[offsets[a] : offsets[b]], own)[1], own)
+                yield pa.RecordBatch.from_pydict({"n": [int((sizes > 0).sum())], "l": [int(sizes.sum())]})
 
     total = rows.select("t").mapInArrow(measure, "n long, l long").agg(F.sum("n"), F.sum("l")).first()
     count, length = total[0] or 0, total[1] or 0
