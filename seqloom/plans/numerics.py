@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import neighbours
-from .views import table
+from ..operators import neighbours, solvers
+from ..operators.words import count_words
+from .views import GENES, genes, table, words_cte
 
 
 def whole(vector: str, dims: int | None = None) -> Column:
@@ -67,15 +68,70 @@ def knn_tree_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return true.join(rough, ["query_id", "rank"], "left").select("query_id", "rank", "true_distance", F.coalesce(fits, F.lit(False)).alias("fits"))
 
 
+def two_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A system with a row a document: 1 and its counts of two words, against its number of characters."""
+    counts = count_words(genes(spark, sf_dir), ["gene_id"], 1).where("word IN ('AC', 'GT')").select(F.col("gene_id").alias("row"), F.col("word").alias("col"), F.col("n").alias("value"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), F.col("n_chars").alias("value"))
+    ones = docs.select("row", F.lit("one").alias("col"), F.lit(1).cast("long").alias("value"))
+    return ones.unionByName(counts), docs
+
+
+def lsqr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix, side = two_words(spark, sf_dir)
+    return solvers.lsqr(matrix, side).x.select(F.col("col").alias("term"), F.round("x", 4).alias("coefficient"))
+
+
+def cg_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of regions, nations and customers as a resistor network: potentials back from the currents that they cause."""
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    up = nation.select((1000 + F.col("n_nationkey")).cast("long").alias("a"), (10 + F.col("n_regionkey")).cast("long").alias("b"))
+    up = up.unionByName(customer.select((1000000 + F.col("c_custkey")).alias("a"), (1000 + F.col("c_nationkey")).cast("long").alias("b")))
+    links = up.unionByName(up.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = links.groupBy("a").agg(F.count("*").alias("n"))
+    matrix = links.select(F.col("a").alias("row"), F.col("b").alias("col"), F.lit(-1.0).alias("value"))
+    matrix = matrix.unionByName(degree.select(F.col("a").alias("row"), F.col("a").alias("col"), (1.0 + F.col("n")).alias("value")))
+    side = matrix.groupBy("row").agg(F.sum(F.col("value") * (F.col("col") % 10)).alias("value"))
+    return solvers.conjugate_gradients(matrix, side).x.select(F.col("col").alias("id"), (F.round("x", 6) + 0.0).alias("x"))
+
+
+def qr_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of line items by quantity and discount."""
+    names = ["one", "l_quantity", "l_discount"]
+    columns = [F.lit(1.0), F.col("l_quantity"), F.col("l_discount")]
+    fit = solvers.least_squares(table(spark, sf_dir, "lineitem"), columns, F.col("l_extendedprice"))
+    rows = [(n, float(x)) for n, x in zip(names, fit.coefficients)]
+    return spark.createDataFrame(rows, "term string, coefficient double").withColumn("coefficient", F.round("coefficient", 4))
+
+
+def plane_sql(source: str, a: str, b: str, y: str, names: tuple[str, str]) -> str:
+    """The normal equations of y on 1, a and b, centred, as three rows."""
+    return f"""s AS (SELECT avg({a}) AS ma, avg({b}) AS mb, avg({y}) AS my, var_pop({a}) AS aa, var_pop({b}) AS bb,
+  covar_pop({a}, {b}) AS ab, covar_pop({a}, {y}) AS ay, covar_pop({b}, {y}) AS yb FROM {source}),
+c AS (SELECT *, (bb * ay - ab * yb) / (aa * bb - ab * ab) AS ca, (aa * yb - ab * ay) / (aa * bb - ab * ab) AS cb FROM s)
+SELECT 'one' AS term, round(my - ca * ma - cb * mb, 4) AS coefficient FROM c
+UNION ALL SELECT '{names[0]}', round(ca, 4) FROM c UNION ALL SELECT '{names[1]}', round(cb, 4) FROM c"""
+
+
 QUERIES = {
     "knn_tree": knn_tree,
     "knn_tree_wide": knn_tree_wide,
     "radius_tree": radius_tree,
     "knn_tree_approximate": knn_tree_approximate,
+    "lsqr_words": lsqr_words,
+    "cg_tree": cg_tree,
+    "qr_fit": qr_fit,
 }
 SQL = {
     "knn_tree": f"WITH {points_cte('3')}, {distance_cte(EUCLID, 'true')} SELECT query_id, rank, id, distance FROM r WHERE rank <= 5",
     "knn_tree_wide": f"WITH {points_cte()}, {distance_cte(CITY)} SELECT query_id, rank, id, distance FROM r WHERE rank <= 5",
     "radius_tree": f"WITH {points_cte('4')}, {distance_cte(CHESS)} SELECT query_id, id, distance FROM d WHERE distance <= 24",
     "knn_tree_approximate": f"WITH {points_cte('3')}, {distance_cte(EUCLID)} SELECT query_id, rank, distance AS true_distance, true AS fits FROM r WHERE rank <= 5",
+    "lsqr_words": f"""WITH {GENES}, {words_cte("genes", "gene_id", 2, "w")},
+x AS (SELECT doc_id, n_chars AS y, coalesce(f.n, 0) AS a, coalesce(g.n, 0) AS b FROM documents
+  LEFT JOIN w f ON f.gene_id = doc_id AND f.word = 'AC' LEFT JOIN w g ON g.gene_id = doc_id AND g.word = 'GT'),
+{plane_sql("x", "a", "b", "y", ("AC", "GT"))}""",
+    "cg_tree": """WITH i AS (SELECT DISTINCT 10 + n_regionkey AS id FROM nation UNION SELECT 1000 + n_nationkey FROM nation
+  UNION SELECT 1000 + c_nationkey FROM customer UNION SELECT 1000000 + c_custkey FROM customer)
+SELECT CAST(id AS BIGINT) AS id, CAST(id % 10 AS DOUBLE) AS x FROM i""",
+    "qr_fit": f"""WITH {plane_sql("lineitem", "l_quantity", "l_discount", "l_extendedprice", ("l_quantity", "l_discount"))}""",
 }
