@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import neighbours, solvers
+from ..operators import neighbours, ranks, solvers, statistics
 from ..operators.words import count_words
 from .views import GENES, genes, table, words_cte
 
@@ -103,6 +103,99 @@ def qr_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "term string, coefficient double").withColumn("coefficient", F.round("coefficient", 4))
 
 
+def global_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return ranks.ranks(rows, "l_extendedprice")
+
+
+def group_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities within their return flag, around the mean rank; there are few quantities, each in very many rows."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return ranks.ranks(rows, "l_quantity", ["l_returnflag"], centered=True)
+
+
+def row_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = points(spark, sf_dir).select(F.col("id").alias("vec_id"), F.posexplode(ranks.row_ranks(F.col("vector"))).alias("pos", "rank"))
+    return rows
+
+
+def sample_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_extendedprice") / 1000).alias("x"))
+    found = statistics.moments(rows, "x", ["l_returnflag"])
+    return found.select("l_returnflag", "n", *[F.round(c, 6).alias(c) for c in ("mean", "variance", "skewness", "kurtosis", "deviation")])
+
+
+SHARES = (0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0)
+
+
+def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = statistics.percentiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", SHARES, ["l_returnflag"])
+    return found.select("l_returnflag", "share", F.round("x", 6).alias("x"))
+
+
+def median_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.median(table(spark, sf_dir, "customer"), "c_acctbal").select(F.round("median", 6).alias("median"))
+
+
+def covariance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = statistics.correlation_matrix(points(spark, sf_dir), "vector")
+    return found.select("i", "j", F.round("covariance", 5).alias("covariance"), (F.round("correlation", 7) + 0.0).alias("correlation"))
+
+
+def spearman_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = statistics.rank_correlation_matrix(points(spark, sf_dir), "vector")
+    return found.select("i", "j", (F.round("correlation", 7) + 0.0).alias("correlation"))
+
+
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open and other orders by priority."""
+    rows = table(spark, sf_dir, "orders")
+    return rows.select(F.col("o_orderpriority").alias("priority"), (F.col("o_orderstatus") == "O").alias("open"), (F.col("o_totalprice") / 1000).alias("x"))
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.select("priority", *[(F.round(c, 6) + 0.0).alias(c) if c not in ("n", "m", "above") else F.col(c) for c in names])
+
+
+def rank_sum_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.rank_sum_test(priced(spark, sf_dir), "x", F.col("open"), ["priority"]), "n", "m", "u", "z")
+
+
+def signed_rank_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.signed_rank_test(priced(spark, sf_dir), "x", 250.0, ["priority"]), "n", "w", "z")
+
+
+def sign_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.sign_test(priced(spark, sf_dir), "x", 250.0, ["priority"]), "n", "above")
+
+
+def variance_ratio_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.variance_ratio_test(priced(spark, sf_dir), "x", F.col("open"), ["priority"]), "f", "df1", "df2")
+
+
+def mean_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.mean_test(priced(spark, sf_dir), "x", F.col("open"), ["priority"]), "t", "df")
+
+
+def pooled_mean_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.mean_test(priced(spark, sf_dir), "x", F.col("open"), ["priority"], equal_variances=True), "t", "df")
+
+
+def variance_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.variance_test(priced(spark, sf_dir), "x", 20000.0, ["priority"]), "chi2", "df")
+
+
+def normality_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.normality_test(priced(spark, sf_dir), "x", ["priority"]), "n", "jb", "p")
+
+
+PRICED = "x AS (SELECT o_orderpriority AS priority, o_orderstatus = 'O' AS open, o_totalprice / 1000 AS x FROM orders)"
+LONG_POINTS = "l AS (SELECT id, CAST(unnest(generate_series(1, len(v))) - 1 AS INTEGER) AS i, unnest(v) AS x FROM p)"
+SAMPLES = """s AS (SELECT priority, CAST(count(*) FILTER (WHERE open) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE NOT open) AS DOUBLE) AS m,
+  avg(x) FILTER (WHERE open) AS mx, avg(x) FILTER (WHERE NOT open) AS my, var_samp(x) FILTER (WHERE open) AS vx, var_samp(x) FILTER (WHERE NOT open) AS vy
+  FROM x GROUP BY priority)"""
+
+
 def plane_sql(source: str, a: str, b: str, y: str, names: tuple[str, str]) -> str:
     """The normal equations of y on 1, a and b, centred, as three rows."""
     return f"""s AS (SELECT avg({a}) AS ma, avg({b}) AS mb, avg({y}) AS my, var_pop({a}) AS aa, var_pop({b}) AS bb,
@@ -120,6 +213,22 @@ QUERIES = {
     "lsqr_words": lsqr_words,
     "cg_tree": cg_tree,
     "qr_fit": qr_fit,
+    "global_ranks": global_ranks,
+    "group_ranks": group_ranks,
+    "row_ranks": row_ranks,
+    "sample_moments": sample_moments,
+    "exact_percentiles": exact_percentiles,
+    "median_balance": median_balance,
+    "covariance_matrix": covariance_matrix,
+    "spearman_matrix": spearman_matrix,
+    "rank_sum_test": rank_sum_test,
+    "signed_rank_test": signed_rank_test,
+    "sign_test": sign_test,
+    "variance_ratio_test": variance_ratio_test,
+    "mean_test": mean_test,
+    "pooled_mean_test": pooled_mean_test,
+    "variance_test": variance_test,
+    "normality_test": normality_test,
 }
 SQL = {
     "knn_tree": f"WITH {points_cte('3')}, {distance_cte(EUCLID, 'true')} SELECT query_id, rank, id, distance FROM r WHERE rank <= 5",
@@ -134,4 +243,40 @@ x AS (SELECT doc_id, n_chars AS y, coalesce(f.n, 0) AS a, coalesce(g.n, 0) AS b
   UNION SELECT 1000 + c_nationkey FROM customer UNION SELECT 1000000 + c_custkey FROM customer)
 SELECT CAST(id AS BIGINT) AS id, CAST(id % 10 AS DOUBLE) AS x FROM i""",
     "qr_fit": f"""WITH {plane_sql("lineitem", "l_quantity", "l_discount", "l_extendedprice", ("l_quantity", "l_discount"))}""",
+    "global_ranks": """SELECT l_orderkey, l_linenumber, l_extendedprice,
+  rank() OVER (ORDER BY l_extendedprice) - 1 + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS rank FROM lineitem""",
+    "group_ranks": """SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1
+  + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 - (count(*) OVER (PARTITION BY l_returnflag) - 1) / 2 AS rank FROM lineitem""",
+    "row_ranks": f"""WITH {points_cte()}, {LONG_POINTS}
+SELECT id AS vec_id, i AS pos, rank() OVER (PARTITION BY id ORDER BY x) - 1 + (count(*) OVER (PARTITION BY id, x) - 1) / 2 AS rank FROM l""",
+    "sample_moments": """WITH x AS (SELECT l_returnflag, l_extendedprice / 1000 AS x FROM lineitem),
+m AS (SELECT l_returnflag, count(*) AS n, avg(x) AS mean, var_samp(x) AS variance FROM x GROUP BY l_returnflag)
+SELECT l_returnflag, n, round(mean, 6) AS mean, round(variance, 6) AS variance, round(avg(pow((x - mean) / sqrt(variance), 3)), 6) AS skewness,
+  round(avg(pow((x - mean) / sqrt(variance), 4)) - 3, 6) AS kurtosis, round(avg(abs(x - mean)), 6) AS deviation FROM x JOIN m USING (l_returnflag) GROUP BY l_returnflag, n, mean, variance""",
+    "exact_percentiles": f"""WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, {list(SHARES)}) AS xs FROM lineitem GROUP BY l_returnflag)
+SELECT l_returnflag, CAST(unnest({list(SHARES)}) AS DOUBLE) AS share, round(unnest(xs), 6) AS x FROM q""",
+    "median_balance": "SELECT round(median(c_acctbal), 6) AS median FROM customer",
+    "covariance_matrix": f"""WITH {points_cte()}, {LONG_POINTS}
+SELECT a.i AS i, b.i AS j, round(covar_samp(a.x, b.x), 5) AS covariance, round(corr(a.x, b.x), 7) + 0 AS correlation FROM l a JOIN l b USING (id) GROUP BY a.i, b.i""",
+    "spearman_matrix": f"""WITH {points_cte()}, {LONG_POINTS},
+r AS (SELECT id, i, rank() OVER (PARTITION BY i ORDER BY x) + (count(*) OVER (PARTITION BY i, x) - 1) / 2 AS x FROM l)
+SELECT a.i AS i, b.i AS j, round(corr(a.x, b.x), 7) + 0 AS correlation FROM r a JOIN r b USING (id) GROUP BY a.i, b.i""",
+    "rank_sum_test": f"""WITH {PRICED}, r AS (SELECT priority, open, rank() OVER (PARTITION BY priority ORDER BY x) + (count(*) OVER (PARTITION BY priority, x) - 1) / 2 AS r,
+  count(*) OVER (PARTITION BY priority, x) AS t FROM x),
+s AS (SELECT priority, count(*) FILTER (WHERE open) AS n, count(*) FILTER (WHERE NOT open) AS m, coalesce(sum(r) FILTER (WHERE open), 0) AS r, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM r GROUP BY priority),
+u AS (SELECT *, r - n * (n + 1) / 2 AS u, CAST(n AS DOUBLE) * m / 12 * (n + m + 1 - ties / (CAST(n + m AS DOUBLE) * (n + m - 1))) AS v FROM s)
+SELECT priority, n, m, round(u, 6) AS u, round((u - CAST(n AS DOUBLE) * m / 2) / sqrt(v), 6) AS z FROM u""",
+    "signed_rank_test": f"""WITH {PRICED}, d AS (SELECT priority, abs(x - 250) AS d, x > 250 AS up FROM x WHERE x <> 250),
+r AS (SELECT priority, up, rank() OVER (PARTITION BY priority ORDER BY d) + (count(*) OVER (PARTITION BY priority, d) - 1) / 2 AS r, count(*) OVER (PARTITION BY priority, d) AS t FROM d),
+s AS (SELECT priority, count(*) AS n, coalesce(sum(r) FILTER (WHERE up), 0) AS w, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM r GROUP BY priority)
+SELECT priority, n, round(w, 6) AS w, round((w - CAST(n AS DOUBLE) * (n + 1) / 4) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM s""",
+    "sign_test": f"WITH {PRICED} SELECT priority, count(*) AS n, count(*) FILTER (WHERE x > 250) AS above FROM x WHERE x <> 250 GROUP BY priority",
+    "variance_ratio_test": f"WITH {PRICED}, {SAMPLES} SELECT priority, round(vx / vy, 6) AS f, n - 1 AS df1, m - 1 AS df2 FROM s",
+    "mean_test": f"""WITH {PRICED}, {SAMPLES} SELECT priority, round((mx - my) / sqrt(vx / n + vy / m), 6) AS t,
+  round(pow(vx / n + vy / m, 2) / (vx * vx / (n * n * (n - 1)) + vy * vy / (m * m * (m - 1))), 6) AS df FROM s""",
+    "pooled_mean_test": f"""WITH {PRICED}, {SAMPLES} SELECT priority, round((mx - my) / sqrt(((n - 1) * vx + (m - 1) * vy) / (n + m - 2) * (1 / n + 1 / m)), 6) AS t, n + m - 2 AS df FROM s""",
+    "variance_test": f"WITH {PRICED} SELECT priority, round((count(*) - 1) * var_samp(x) / 20000, 6) AS chi2, CAST(count(*) - 1 AS DOUBLE) AS df FROM x GROUP BY priority",
+    "normality_test": f"""WITH {PRICED}, m AS (SELECT priority, count(*) AS n, avg(x) AS mean, sqrt(var_pop(x)) AS sd FROM x GROUP BY priority),
+j AS (SELECT priority, n, n / 6 * (pow(avg(pow((x - mean) / sd, 3)), 2) + pow(avg(pow((x - mean) / sd, 4)) - 3, 2) / 4) AS jb FROM x JOIN m USING (priority) GROUP BY priority, n)
+SELECT priority, n, round(jb, 6) AS jb, round(exp(-jb / 2), 6) AS p FROM j""",
 }
