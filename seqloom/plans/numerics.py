@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import neighbours, ranks, solvers, statistics
+from ..operators import neighbours, ranks, solvers, splines, statistics, transforms
 from ..operators.words import count_words
 from .views import GENES, genes, table, words_cte
 
@@ -196,6 +196,51 @@ SAMPLES = """s AS (SELECT priority, CAST(count(*) FILTER (WHERE open) AS DOUBLE)
   FROM x GROUP BY priority)"""
 
 
+KERNEL = (1.0, 4.0, 6.0, 4.0, 1.0)
+BASES = "ACGT"
+PATTERN = (1.0, -0.5, -0.5) * 4
+
+
+def convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances of customers in order of their keys, smoothed over five."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_acctbal").alias("x"))
+    return transforms.convolve(rows, KERNEL, chunk=1 << 12).select("pos", (F.round("x", 4) + 0.0).alias("x"))
+
+
+def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gene_id, base, pos, x): 1 where a sequence has a base."""
+    rows = genes(spark, sf_dir).select("gene_id", F.posexplode(F.split("seq", "")).alias("pos", "base"))
+    return rows.where("base <> ''").withColumn("x", F.lit(1.0))
+
+
+def period_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The power of each sequence at period 3, over its four bases' indicators."""
+    power = transforms.power_at(indicators(spark, sf_dir), 3, ["gene_id", "base"])
+    return power.groupBy("gene_id").agg((F.round(F.sum("power"), 4) + 0.0).alias("power"))
+
+
+def shifted_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well a triplet pattern fits the A of each sequence at its best shift."""
+    found = transforms.correlate(indicators(spark, sf_dir).where("base = 'A'"), PATTERN, ["gene_id"])
+    return found.groupBy("gene_id").agg(F.max(F.round("x", 6)).alias("x"))
+
+
+def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Fourier transform of suppliers' balances in order of their keys."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pos"), (F.col("s_acctbal") / 1000).alias("x"))
+    found = transforms.fourier(rows)
+    return found.select("pos", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+
+
+def daily_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The natural spline through each day's mean order total, at noon of the days before the last."""
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    rows = table(spark, sf_dir, "orders").select(day.alias("x"), (F.col("o_totalprice") / 1000).alias("y"))
+    spline = splines.natural_spline(rows, cell_rows=256)
+    asked = spline.pieces.select((F.col("x0") + 0.5).alias("x"))
+    return spline.at(asked).select("x", F.round("value", 5).alias("value"), (F.round("curvature", 5) + 0.0).alias("curvature"))
+
+
 def plane_sql(source: str, a: str, b: str, y: str, names: tuple[str, str]) -> str:
     """The normal equations of y on 1, a and b, centred, as three rows."""
     return f"""s AS (SELECT avg({a}) AS ma, avg({b}) AS mb, avg({y}) AS my, var_pop({a}) AS aa, var_pop({b}) AS bb,
@@ -229,6 +274,11 @@ QUERIES = {
     "pooled_mean_test": pooled_mean_test,
     "variance_test": variance_test,
     "normality_test": normality_test,
+    "convolution": convolution,
+    "period_three": period_three,
+    "shifted_correlation": shifted_correlation,
+    "spectrum": spectrum,
+    "daily_spline": daily_spline,
 }
 SQL = {
     "knn_tree": f"WITH {points_cte('3')}, {distance_cte(EUCLID, 'true')} SELECT query_id, rank, id, distance FROM r WHERE rank <= 5",
@@ -279,4 +329,26 @@ SELECT priority, n, round(w, 6) AS w, round((w - CAST(n AS DOUBLE) * (n + 1) / 4
     "normality_test": f"""WITH {PRICED}, m AS (SELECT priority, count(*) AS n, avg(x) AS mean, sqrt(var_pop(x)) AS sd FROM x GROUP BY priority),
 j AS (SELECT priority, n, n / 6 * (pow(avg(pow((x - mean) / sd, 3)), 2) + pow(avg(pow((x - mean) / sd, 4)) - 3, 2) / 4) AS jb FROM x JOIN m USING (priority) GROUP BY priority, n)
 SELECT priority, n, round(jb, 6) AS jb, round(exp(-jb / 2), 6) AS p FROM j""",
+    "convolution": f"""WITH k AS (SELECT CAST(unnest(generate_series(0, 4)) AS BIGINT) AS j, CAST(unnest({list(KERNEL)}) AS DOUBLE) AS w)
+SELECT c_custkey + j AS pos, round(sum(w * c_acctbal), 4) + 0 AS x FROM customer, k GROUP BY c_custkey + j""",
+    "period_three": f"""WITH {GENES}, b AS (SELECT gene_id, i - 1 AS pos, substr(seq, i, 1) AS base FROM (SELECT gene_id, seq, unnest(generate_series(1, length(seq))) AS i FROM genes)),
+p AS (SELECT gene_id, base, sum(cos(2 * pi() * (pos % 3) / 3)) AS re, sum(sin(2 * pi() * (pos % 3) / 3)) AS im FROM b GROUP BY gene_id, base)
+SELECT gene_id, round(sum(re * re + im * im), 4) + 0 AS power FROM p GROUP BY gene_id""",
+    "shifted_correlation": f"""WITH {GENES}, k AS (SELECT unnest(generate_series(0, {len(PATTERN) - 1})) AS j, CAST(unnest({list(PATTERN)}) AS DOUBLE) AS w),
+b AS (SELECT gene_id, i - 1 AS pos FROM (SELECT gene_id, seq, unnest(generate_series(1, length(seq))) AS i FROM genes) WHERE substr(seq, i, 1) = 'A'),
+c AS (SELECT gene_id, pos - j AS pos, sum(w) AS x FROM b, k GROUP BY gene_id, pos - j)
+SELECT gene_id, max(round(x, 6)) AS x FROM c GROUP BY gene_id""",
+    "spectrum": """WITH n AS (SELECT max(s_suppkey) + 1 AS n FROM supplier), k AS (SELECT unnest(generate_series(0, (SELECT n - 1 FROM n))) AS k)
+SELECT CAST(k AS BIGINT) AS pos, round(sum(s_acctbal / 1000 * cos(2 * pi() * (s_suppkey * k % n) / n)), 4) + 0 AS re,
+  round(-sum(s_acctbal / 1000 * sin(2 * pi() * (s_suppkey * k % n) / n)), 4) + 0 AS im FROM supplier, k, n GROUP BY k""",
+    "daily_spline": """WITH RECURSIVE p AS (SELECT CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x, avg(o_totalprice / 1000) AS y FROM orders GROUP BY 1),
+k AS (SELECT row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n, x, y, lag(x) OVER (ORDER BY x) AS x0, lag(y) OVER (ORDER BY x) AS y0,
+  lead(x) OVER (ORDER BY x) AS x2, lead(y) OVER (ORDER BY x) AS y2 FROM p),
+e AS (SELECT i, n, x - x0 AS h, x2 - x AS g, 6 * ((y2 - y) / (x2 - x) - (y - y0) / (x - x0)) AS r FROM k),
+f AS (SELECT CAST(1 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS c, CAST(0 AS DOUBLE) AS d
+  UNION ALL SELECT e.i, e.g / (2 * (e.h + e.g) - e.h * f.c), (e.r - e.h * f.d) / (2 * (e.h + e.g) - e.h * f.c) FROM f JOIN e ON e.i = f.i + 1 WHERE e.i < e.n),
+m AS (SELECT n AS i, CAST(0 AS DOUBLE) AS m FROM k WHERE i = n
+  UNION ALL SELECT f.i, f.d - f.c * m.m FROM m JOIN f ON f.i = m.i - 1)
+SELECT k.x + 0.5 AS x, round(k.y + 0.5 * ((x2 - x) * -(2 * a.m + b.m) / 6 + (y2 - y) / (x2 - x)) + a.m / 8 + (b.m - a.m) / (6 * (x2 - x)) / 8, 5) AS value,
+  round(a.m + (b.m - a.m) / (x2 - x) / 2, 5) + 0 AS curvature FROM k JOIN m a ON a.i = k.i JOIN m b ON b.i = k.i + 1""",
 }
