@@ -85,15 +85,15 @@ def ancestry_lines(nodes: DataFrame, names: DataFrame, ids: DataFrame) -> DataFr
 
 
 def rank_means(votes: DataFrame, lineage: DataFrame) -> DataFrame:
-    """(read_id, rank, taxid, score): genus: mean of its classes' votes; above: unweighted mean of the child taxa's means."""
-    rows = votes.join(lineage, "class_id")
-    level = rows.groupBy("read_id", *RANKS[1:]).agg(F.avg("vote").alias("score"))
+    """(read_id, rank, taxid, score): genus: mean of its classes' votes; above: unweighted mean of the child taxa's scores; taxon 0 scores 0."""
+    known = lambda rank, score: F.when(F.col(rank) == 0, 0.0).otherwise(score).alias("score")
+    level = votes.join(lineage, "class_id").groupBy("read_id", *RANKS[1:]).agg(F.avg("vote").alias("mean")).select("read_id", *RANKS[1:], known("genus", F.col("mean")))
     out = level.select("read_id", F.lit("genus").alias("rank"), F.col("genus").alias("taxid"), "score")
     for rank in RANKS[2:]:
         upper = RANKS[RANKS.index(rank) :]
-        level = level.groupBy("read_id", *upper).agg(F.avg("score").alias("score"))
+        level = level.groupBy("read_id", *upper).agg(F.avg("score").alias("mean")).select("read_id", *upper, known(rank, F.col("mean")))
         out = out.unionByName(level.select("read_id", F.lit(rank).alias("rank"), F.col(rank).alias("taxid"), "score"))
-    return out.withColumn("score", F.when(F.col("taxid") == 0, 0.0).otherwise(F.col("score")))
+    return out
 
 
 def sibling_test(rows: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -115,39 +115,48 @@ def sibling_test(rows: DataFrame, group: list[str], value: str) -> DataFrame:
 
 
 def include_taxa(votes: DataFrame, shortlisted: DataFrame, lineage: DataFrame, bloom: float, top: str = "phylum") -> tuple[DataFrame, DataFrame]:
-    """Shortlist with whole taxa added, and (read_id, taxid, score) of the tested taxa.
-
-    Bottom up, for each shortlisted member: a right-tailed one-sample t-test of
-    its siblings' votes against its own; with p < ``bloom`` and a positive
-    sibling mean the member's whole genus is shortlisted. The same at each
-    higher rank with the means of child taxa, up to ``top``.
+    """Shortlist with whole taxa added, and (read_id, taxid, score) of every tested taxon, taken or not.
+
+    Taxa with a shortlisted member are tested, bottom up to ``top``. For each
+    shortlisted class of a genus a right-tailed one-sample t-test compares its
+    siblings' votes with its own; with p < ``bloom`` for one of them, and a
+    positive mean vote of the whole genus, the genus is shortlisted whole. The
+    same holds at each higher rank with its child taxa's scores, but never for
+    taxon 0.
+
+    A genus scores the mean of its votes. Above, a taxon without shortlisted
+    members scores the mean of its children's scores, one with them the
+    greatest of 0, that mean, and, if it was taken in, the scores of the
+    children whose tests took it in (all of them, so that no order of classes
+    matters). Taxon 0 scores 0. Scores of taxon 0 are not returned.
     """
     full = cut(votes.join(lineage, "class_id"))
-    listed = shortlisted.select("read_id", "class_id").withColumn("hit", F.lit(True))
-    scores = None
+    short = shortlisted.select("read_id", "class_id").distinct()
+    first = full.join(short.withColumn("hit", F.lit(True)), ["read_id", "class_id"], "left")
+    level = first.select("read_id", *RANKS[1:], F.col("vote").alias("value"), F.coalesce("hit", F.lit(False)).alias("hit"))
+    scores, taken = None, None
     for rank in RANKS[1 : RANKS.index(top) + 1]:
         upper = RANKS[RANKS.index(rank) :]
-        if rank == "genus":
-            members = full.join(listed, ["read_id", "class_id"], "left").select("read_id", *upper, F.col("vote").alias("value"), "hit")
-        else:
-            below = RANKS[RANKS.index(rank) - 1]
-            marked = full.join(listed, ["read_id", "class_id"], "left")
-            hits = marked.groupBy("read_id", below, *upper).agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("hit"))
-            members = hits.join(means, ["read_id", below, *upper]).withColumnRenamed("score", "value").where(F.col(below) != 0)
-        tested = sibling_test(members, ["read_id", *upper], "value").where("hit")
-        p = right_tail(F.col("t"), F.col("siblings").cast("double") - 1)
-        taken = tested.withColumn("p", p).where((F.col("p") < bloom) & (F.col("sibling_mean") > 0))
-        whole = cut(taken.select("read_id", rank).distinct())
-        added = full.select("read_id", "class_id", rank).join(whole, ["read_id", rank], "left_semi").select("read_id", "class_id")
-        listed = cut(listed.select("read_id", "class_id").unionByName(added).distinct()).withColumn("hit", F.lit(True))
-        if rank == "genus":
-            means = full.groupBy("read_id", *upper).agg(F.avg("vote").alias("score"))
-        else:
-            means = cut(means.groupBy("read_id", *upper).agg(F.avg("score").alias("score")))
-        here = means.join(whole, ["read_id", rank], "left_semi").select("read_id", F.col(rank).alias("taxid"), "score")
-        scores = here if scores is None else scores.unionByName(here)
-    best = scores.groupBy("read_id", "taxid").agg(F.max("score").alias("score"))
-    return listed.select("read_id", "class_id").join(votes, ["read_id", "class_id"]), best
+        tested = sibling_test(level, ["read_id", *upper], "value")
+        p = right_tail(F.when(F.col("hit"), F.col("t")), F.col("siblings").cast("double") - 1)
+        tested = tested.withColumn("takes", F.coalesce(p < bloom, F.lit(False)))
+        groups = tested.groupBy("read_id", *upper).agg(
+            F.avg("value").alias("mean"), F.bool_or("hit").alias("hit"), F.bool_or("takes").alias("takes"), F.max(F.when(F.col("takes"), F.col("value"))).alias("most")
+        )
+        taking = F.col("takes") & (F.col("mean") > 0)
+        if rank != "genus":
+            taking = taking & (F.col(rank) != 0)
+        raised = F.greatest(F.lit(0.0), "mean", F.when(taking, F.col("most"))) if rank != "genus" else F.col("mean")
+        value = F.when(F.col(rank) == 0, 0.0).otherwise(F.when(F.col("hit"), raised).otherwise(F.col("mean")))
+        level = cut(groups.select("read_id", *upper, value.alias("value"), "hit", taking.alias("taken")))
+        here = level.where(F.col("hit") & (F.col(rank) != 0)).select("read_id", F.col(rank).alias("taxid"), F.col("value").alias("score"))
+        whole = level.where("taken").select("read_id", F.lit(rank).alias("rank"), F.col(rank).alias("taxid"))
+        scores, taken = (here, whole) if scores is None else (scores.unionByName(here), taken.unionByName(whole))
+        level = level.drop("taken")
+    for rank in RANKS[1 : RANKS.index(top) + 1]:
+        own = taken.where(F.col("rank") == rank).select("read_id", F.col("taxid").alias(rank)).distinct()
+        short = short.unionByName(full.join(own, ["read_id", rank], "left_semi").select("read_id", "class_id"))
+    return cut(short.distinct().join(votes, ["read_id", "class_id"])), scores.groupBy("read_id", "taxid").agg(F.max("score").alias("score"))
 
 
 def collapsed_hits(shortlisted: DataFrame, lineage: DataFrame) -> DataFrame:

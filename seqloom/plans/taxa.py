@@ -97,12 +97,12 @@ def loo_t_stat(spark, d):
     return rounded(found.select("read_id", "class_id", "siblings", "sibling_mean", "t"), 4, "t")
 
 
-def bloomed(spark, d):
-    """Shortlists with whole genera of five classes added by the t-test, and the means of these genera."""
+def bloomed(spark, d, width=5, top="genus"):
+    """Shortlists with whole taxa added by the t-test, and the scores of tested taxa; ``width`` classes to a genus, one family, order, class."""
     c, lineage = F.col("class_id"), V.lineage(spark, d)
     above = {"family": F.lit(30000), "order": F.lit(40000), "class": F.lit(50000)}
-    lineage = lineage.withColumns({"genus": (20000 + F.floor(c / 5)).cast("int"), **above})
-    return taxonomy.include_taxa(V.votes(spark, d), short(spark, d, 0.9, 4), lineage, 0.7, "genus")
+    lineage = lineage.withColumns({"genus": (20000 + F.floor(c / width)).cast("int"), **above})
+    return taxonomy.include_taxa(V.votes(spark, d), short(spark, d, 0.9, 4), lineage, 0.7, top)
 
 
 def taxon_bloom(spark, d):
@@ -114,6 +114,17 @@ def taxon_bloom_scores(spark, d):
     return rounded(found.withColumn("score", F.col("score") + TIE), 6, "score")
 
 
+def family_bloom(spark, d):
+    """Five genera of two classes in a family: the family is tested by its genera."""
+    return bloomed(spark, d, 2, "order")[0]
+
+
+def family_bloom_scores(spark, d):
+    """Scores of genera, the family and the order of the same."""
+    found = bloomed(spark, d, 2, "order")[1]
+    return rounded(found.withColumn("score", F.col("score") + TIE), 6, "score")
+
+
 def truth_rows(spark, d):
     reads = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("read_id"), F.col("label").alias("key"))
     return training.truth(reads, V.classes(spark, d).select("class_id", F.col("class_id").alias("key")))
@@ -226,7 +237,7 @@ def orf_viterbi(spark, d):
     return genefinder.find_genes(rows, genefinder.Parameters.uniform(), least_length=30, least_frame=18).select("read_id", "protein")
 
 
-NAMES = "orf_viterbi ancestors lca_prec lca_sens subtree_filter rule_filter ancestry_line label_presence labels_common read_taxa tax_mean_of_means hit_collapse lineage_propagate lineage_long loo_t_stat taxon_bloom taxon_bloom_scores autocross_truth autocross_error autocross_2iter rmse method_accuracy perf_hits gtf_offsets sam_max_as score_pivot score_unpivot profile_lines report_table consensus_report pairs_of_lines filter_counts".split()
+NAMES = "orf_viterbi ancestors lca_prec lca_sens subtree_filter rule_filter ancestry_line label_presence labels_common read_taxa tax_mean_of_means hit_collapse lineage_propagate lineage_long loo_t_stat taxon_bloom taxon_bloom_scores family_bloom family_bloom_scores autocross_truth autocross_error autocross_2iter rmse method_accuracy perf_hits gtf_offsets sam_max_as score_pivot score_unpivot profile_lines report_table consensus_report pairs_of_lines filter_counts".split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
 LCA = f"""{V.CLOSURE}, {V.PAIRS},
@@ -293,13 +304,31 @@ w{i + 1} AS (SELECT method, class_id, c / sum(c) OVER () AS weight FROM (SELECT
 BLOOM = SHORTLIST.format(votes=V.VOTES, vote="vote", threshold=0.9, quota=4) + """,
 g AS (SELECT a.read_id, a.class_id, a.vote, 20000 + a.class_id // 5 AS genus, count(b.vote) AS n, avg(b.vote) AS m, var_samp(b.vote) AS v
   FROM votes a JOIN votes b ON a.read_id = b.read_id AND a.class_id // 5 = b.class_id // 5 AND a.class_id <> b.class_id GROUP BY 1, 2, 3),
-t AS (SELECT g.*, (m - g.vote) / sqrt(v / n) / sqrt(3.0) AS u FROM g JOIN short USING (read_id, class_id) WHERE v > 1e-12 AND m > 0),
+means AS (SELECT read_id, 20000 + class_id // 5 AS genus, avg(vote) AS score FROM votes GROUP BY 1, 2),
+t AS (SELECT g.*, (m - g.vote) / sqrt(v / n) / sqrt(3.0) AS u FROM g JOIN short USING (read_id, class_id) JOIN means USING (read_id, genus) WHERE v > 1e-12 AND score > 0),
 whole AS (SELECT DISTINCT read_id, genus FROM t WHERE 0.5 - (u / (1 + u * u) + atan(u)) / pi() < 0.7),
-taken AS (SELECT votes.read_id, class_id, vote, genus FROM votes JOIN whole ON votes.read_id = whole.read_id AND 20000 + class_id // 5 = genus)"""
+taken AS (SELECT votes.read_id, class_id, vote, genus FROM votes JOIN whole ON votes.read_id = whole.read_id AND 20000 + class_id // 5 = genus),
+hits AS (SELECT DISTINCT read_id, 20000 + class_id // 5 AS genus FROM short)"""
+#: The same one rank higher: two classes are too few to test a genus, five genera to a family leave three degrees of freedom.
+FAMILY_BLOOM = SHORTLIST.format(votes=V.VOTES, vote="vote", threshold=0.9, quota=4) + """,
+means AS (SELECT read_id, class_id // 2 AS genus, avg(vote) AS score FROM votes GROUP BY 1, 2),
+hits AS (SELECT DISTINCT read_id, class_id // 2 AS genus FROM short),
+g AS (SELECT a.read_id, a.genus, a.score, count(b.score) AS n, avg(b.score) AS m, var_samp(b.score) AS v
+  FROM means a JOIN means b ON a.read_id = b.read_id AND a.genus <> b.genus GROUP BY 1, 2, 3),
+t AS (SELECT g.*, (m - score) / sqrt(v / n) / sqrt(3.0) AS u FROM g JOIN hits USING (read_id, genus) WHERE v > 1e-12),
+takes AS (SELECT read_id, max(score) AS most FROM t WHERE 0.5 - (u / (1 + u * u) + atan(u)) / pi() < 0.7 GROUP BY read_id),
+family AS (SELECT read_id, avg(score) AS mean FROM means GROUP BY read_id),
+scored AS (SELECT read_id, mean, most IS NOT NULL AND mean > 0 AS taken,
+  greatest(0, mean, CASE WHEN most IS NOT NULL AND mean > 0 THEN most ELSE 0 END) AS score FROM family LEFT JOIN takes USING (read_id)
+  WHERE read_id IN (SELECT read_id FROM hits))"""
 
 SQL = {
     "taxon_bloom": BLOOM + " SELECT read_id, class_id, vote FROM short UNION SELECT read_id, class_id, vote FROM taken",
-    "taxon_bloom_scores": BLOOM + " SELECT read_id, CAST(genus AS INTEGER) AS taxid, round(avg(vote) + 1e-8, 6) AS score FROM taken GROUP BY 1, 2",
+    "taxon_bloom_scores": BLOOM + " SELECT read_id, CAST(genus AS INTEGER) AS taxid, round(score + 1e-8, 6) AS score FROM means JOIN hits USING (read_id, genus)",
+    "family_bloom": FAMILY_BLOOM + """ SELECT read_id, class_id, vote FROM short UNION
+SELECT read_id, class_id, vote FROM votes WHERE read_id IN (SELECT read_id FROM scored WHERE taken)""",
+    "family_bloom_scores": FAMILY_BLOOM + """ SELECT read_id, CAST(20000 + genus AS INTEGER) AS taxid, round(score + 1e-8, 6) AS score FROM means JOIN hits USING (read_id, genus)
+UNION ALL SELECT read_id, 30000, round(score + 1e-8, 6) FROM scored UNION ALL SELECT read_id, 40000, round(greatest(score, 0) + 1e-8, 6) FROM scored""",
     "ancestors": f"WITH RECURSIVE {V.CLOSURE} SELECT * FROM up",
     "lca_prec": f"WITH RECURSIVE {LCA} SELECT guess, reference, consensus FROM pairs LEFT JOIN best USING (guess, reference)",
     "lca_sens": f"WITH RECURSIVE {LCA} SELECT guess, reference, CASE WHEN dg = 0 THEN reference ELSE consensus END AS consensus FROM pairs LEFT JOIN best USING (guess, reference)",
