@@ -9,37 +9,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import VARIANCE_FLOOR, floored, log_density
+from . import blocks
 from .loops import cut
 
 
 def grid(reads: DataFrame, classes: DataFrame) -> DataFrame:
-    """Every read with every class: the shape of a full score table.
-
-    Class ids are few and bounded by the model; they are laid out as one array
-    that each read unfolds, so no join is made.
-    """
-    ids = sorted(r[0] for r in classes.select("class_id").distinct().collect())
-    kind = classes.schema["class_id"].dataType
-    return reads.select("read_id", F.explode(F.array(*[F.lit(i).cast(kind) for i in ids])).alias("class_id"))
-
-
-def packed(cells: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, value): the values of all words of each key as an array in the order of the words."""
-    rows = cells.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("word", F.col(value).alias("v_")))).alias("a_"))
-    return rows.select(key, F.transform("a_", lambda s: s["v_"]).alias(value))
-
-
-def against(reads: DataFrame, classes: DataFrame) -> DataFrame:
-    """Every read with every class's row; classes are read once for their ids, and joined by them."""
-    ids = sorted(r[0] for r in classes.select("class_id").distinct().collect())
-    kind = classes.schema["class_id"].dataType
-    every = F.explode(F.array(*[F.lit(i).cast(kind) for i in ids])).alias("class_id")
-    return reads.select("*", every).join(classes, "class_id")
+    """Every read with every class: the shape of a full score table, which is what its callers return."""
+    rows = reads.select("read_id", F.array(F.lit(0.0)).alias("cells"))
+    return blocks.score_table(rows, "read_id", classes.select("class_id").distinct().withColumn("one", F.lit(0.0)), ["class_id"], ["one"], blocks.nothing).drop("score")
 
 
 def bayes_model(genes: DataFrame, vectors: DataFrame, pseudocount: float = 0.0) -> DataFrame:
@@ -56,18 +38,17 @@ def bayes_model(genes: DataFrame, vectors: DataFrame, pseudocount: float = 0.0)
 
 
 def bayes_scores_direct(vectors: DataFrame, model: DataFrame) -> DataFrame:
-    """Naive Bayes log densities where every vector and every class has every word (dense vectors).
+    """Naive Bayes log densities where every vector and every class has every word (dense vectors), packed into arrays in the order of the words."""
+    return bayes_scores_cells(blocks.packed(vectors.select("read_id", "word", F.col("x").alias("cells")), ["read_id"], ["cells"]), model)
 
-    Vectors and classes are packed into arrays in the order of the words; each
-    vector meets each class once, not once for each word.
-    """
+
+def bayes_scores_cells(reads: DataFrame, model: DataFrame) -> DataFrame:
+    """The same of arrays (read_id, cells) in the order of the model's words; reads are not moved while the model is small."""
     v = floored(F.col("variance"))
-    cells = packed(model.select("class_id", "word", F.struct("mean", (1 / (2 * v)).alias("scale")).alias("c")), "class_id", "c")
-    constants = model.groupBy("class_id").agg(F.sum(-0.5 * F.log(2 * math.pi * v)).alias("constant"))
-    classes = cut(cells.join(constants, "class_id"))
-    far = F.zip_with("x", "c", lambda x, c: (x - c["mean"]) * (x - c["mean"]) * c["scale"])
-    met = against(packed(vectors, "read_id", "x"), classes)
-    return met.select("read_id", "class_id", (F.col("constant") - F.aggregate(far, F.lit(0.0), lambda a, b: a + b)).alias("score"))
+    cells = model.select("class_id", "word", "mean", (1 / (2 * v)).alias("scale"), (-0.5 * F.log(2 * math.pi * v)).alias("k"))
+    classes = blocks.packed(cells, ["class_id"], ["mean", "scale", "k"])
+    classes = classes.select("class_id", "mean", "scale", F.aggregate("k", F.lit(0.0), lambda a, b: a + b).alias("constant"))
+    return blocks.score_table(reads, "read_id", classes, ["class_id"], ["mean", "scale", "constant"], blocks.weighted_gaps)
 
 
 def bayes_scores(vectors: DataFrame, model: DataFrame, reads: DataFrame, domain: int) -> DataFrame:
@@ -172,35 +153,25 @@ def full_vectors(entities: DataFrame, key: str, vectors: DataFrame, symbols: str
     return entities.select(key).distinct().join(arrays, key, "left").select(key, F.when(F.col("m").isNull(), none).otherwise(filled).alias("cells"))
 
 
-def differences(cells: Column) -> Column:
-    """Signed squared difference of every pair of cells x < y: (y - x)^2 * sign(y - x), with both places."""
-    n = F.size(cells)
-
-    def of(x: Column) -> Column:
-        rest = F.slice(cells, x + 2, n - x - 1)
-        return F.transform(
-            rest,
-            lambda v, j: F.struct(
-                x.alias("x"),
-                (x + j + 1).alias("y"),
-                ((v - F.get(cells, x)) * (v - F.get(cells, x)) * F.signum(v - F.get(cells, x))).alias("d"),
-            ),
-        )
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), n - 2), of))
-
-
 def difference_model(genes: DataFrame, gene_cells: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """(class_id, x, y, value): mean over a class's genes of weighted signed squared differences.
+    """(class_id, x, y, value): mean over a class's genes of weighted signed squared differences of cells x < y.
 
-    ``weights`` (gene_id, weight) are the genes' relative likelihoods; 1 where none is given.
+    ``weights`` (gene_id, weight) are the genes' relative likelihoods; 1 where
+    none is given. Genes are added up as arrays of all pairs; a class unfolds
+    into a row a pair at the end.
     """
     rows = genes.select("gene_id", "class_id").join(gene_cells, "gene_id")
     rows = rows.withColumn("weight", F.lit(1.0)) if weights is None else rows.join(weights, "gene_id")
-    pairs = rows.select("class_id", "weight", F.explode(differences(F.col("cells"))).alias("p"))
+    cells = rows.select(F.size("cells")).first()
+    n = cells[0] if cells else 0
+    # pairs in the order of x, then y: x begins at x * n - x * (x + 1) / 2
     counts = genes.groupBy("class_id").agg(F.countDistinct("gene_id").alias("genes"))
-    sums = pairs.groupBy("class_id", F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.sum(F.col("p.d") * F.col("weight")).alias("s"))
-    return sums.join(counts, "class_id").select("class_id", "x", "y", (F.col("s") / F.col("genes")).alias("value"))
+    sums = blocks.weighted_differences(rows, "class_id", "cells", "weight").join(counts, "class_id")
+    per_x = F.transform(F.sequence(F.lit(0), F.lit(max(n - 2, 0))), lambda x: F.struct(x.alias("x"), F.slice("s", (x * n - x * (x + 1) / 2).cast("int") + 1, n - 1 - x).alias("v")))
+    wide = sums.select("class_id", "genes", F.explode(per_x).alias("r"))
+    return wide.select("class_id", "genes", F.col("r.x").alias("x"), F.posexplode("r.v").alias("j", "v")).select(
+        "class_id", "x", (F.col("x") + F.col("j") + 1).alias("y"), (F.col("v") / F.col("genes")).alias("value")
+    )
 
 
 def likelihood_weights(genes: DataFrame, vectors: DataFrame, model: DataFrame, domain: int) -> DataFrame:
@@ -215,13 +186,11 @@ def likelihood_weights(genes: DataFrame, vectors: DataFrame, model: DataFrame, d
 def difference_scores(read_cells: DataFrame, model: DataFrame) -> DataFrame:
     """Twice the sum over pairs of the absolute difference between read and class; a class has all pairs.
 
-    A read's differences meet each class's once, as arrays in the order of the pairs.
+    Reads become pairs inside tasks, some rows at a time, and meet each class's pairs there.
     """
     values = F.array_sort(F.collect_list(F.struct("x", "y", "value")))
-    classes = cut(model.groupBy("class_id").agg(values.alias("a_")).select("class_id", F.transform("a_", lambda s: s["value"]).alias("values")))
-    mine = read_cells.select("read_id", F.transform(differences(F.col("cells")), lambda p: p["d"]).alias("d"))
-    apart = F.zip_with("d", "values", lambda a, b: F.abs(a - b))
-    return against(mine, classes).select("read_id", "class_id", (2 * F.aggregate(apart, F.lit(0.0), lambda a, b: a + b)).alias("score"))
+    classes = model.groupBy("class_id").agg(values.alias("a_")).select("class_id", F.transform("a_", lambda s: s["value"]).alias("values"))
+    return blocks.score_table(read_cells, "read_id", classes, ["class_id"], ["values"], blocks.difference_gaps)
 
 
 def count_prior(classes: DataFrame, counts: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def nb_model(spark, d):
 
 
 def nb_score(spark, d):
-    return rounded(models.bayes_scores_direct(V.vectors(spark, d), V.vector_model(spark, d)), 6, "score")
+    return rounded(models.bayes_scores_cells(V.cells(spark, d), V.vector_model(spark, d)), 6, "score")
 
 
 def nb_classify(spark, d):
@@ -93,6 +93,16 @@ def gmm_posterior(spark, d):
     return rounded(mixture.class_posteriors(mixture.cluster_scores(rows, model)), 6, "score")
 
 
+def gmm_restarts(spark, d):
+    """Whether mixtures from 8 seeded starts are sound: two clusters a class at most, weights that sum to 1, and means around the class's own."""
+    genes = members(spark, d)
+    rows = V.vectors(spark, d).select(F.col("read_id").alias("gene_id"), "word", "x")
+    model = mixture.fit(genes, rows, 2, rounds=30, restarts=8)
+    cells = model.groupBy("class_id", "word").agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("mean")).alias("mean"))
+    cells = cells.select("class_id", F.col("word").cast("int").alias("word"), F.round("weight", 6).alias("weight"), (F.round("mean", 6) + 0.0).alias("mean"))
+    return cells
+
+
 def class_prior_16s(spark, d):
     rows = V.table(spark, d, "documents").groupBy(F.substring("source", 4, 10).cast("int").alias("class_id")).agg(F.count("*").alias("count"))
     return rounded(models.count_prior(rows, rows.where("class_id % 5 <> 0")), 9, "score")
@@ -141,7 +151,7 @@ def shortlist_hist(spark, d):
     return votes.shortlist_counts(V.classes(spark, d), votes.shortlist(V.votes(spark, d), 0.98, 2))
 
 
-QUERIES = {f.__name__: f for f in (nb_model, nb_score, nb_classify, nb_gene_score, nn_min_d2, codelta_model, codelta_score, sparse_shared_score, gmm_em_2iter, gmm_posterior, class_prior_16s, class_prior_ap, orientation_pick, weighted_vote, softmax_vote, top_class, shortlist_threshold, shortlist_quota, shortlist_hist)}
+QUERIES = {f.__name__: f for f in (nb_model, nb_score, nb_classify, nb_gene_score, nn_min_d2, codelta_model, codelta_score, sparse_shared_score, gmm_em_2iter, gmm_posterior, gmm_restarts, class_prior_16s, class_prior_ap, orientation_pick, weighted_vote, softmax_vote, top_class, shortlist_threshold, shortlist_quota, shortlist_hist)}
 
 DOMAIN = "dom AS (SELECT a.l || b.l AS word, (a.i * 4 + b.i) AS cell FROM (VALUES ('T', 0), ('C', 1), ('A', 2), ('G', 3)) a(l, i) CROSS JOIN (VALUES ('T', 0), ('C', 1), ('A', 2), ('G', 3)) b(l, i))"
 GENE_MODEL = f"""{V.READS}, {V.GENES}, {DOMAIN},
@@ -203,6 +213,8 @@ SELECT read_id, class_id, round(2 * sum(abs(d - value)), 9) AS score FROM rd JOI
     "sparse_shared_score": f"""WITH {SHARED}
 SELECT read_id, class_id, shared, round(shared * ln(CAST(class_length AS DOUBLE) / read_length), 6) AS score FROM fs JOIN cl USING (class_id) JOIN rl USING (read_id)""",
     "gmm_em_2iter": f"WITH {em(2)} SELECT class_id, cluster, CAST(word AS INTEGER) AS word, round(mean, 6) AS mean, round(variance, 6) AS variance, round(weight, 6) AS weight FROM m2",
+    # responsibilities sum to 1, so a round keeps the weighted mean of the clusters at the class's mean
+    "gmm_restarts": f"WITH {V.VECTORS} SELECT label AS class_id, CAST(word AS INTEGER) AS word, CAST(1 AS DOUBLE) AS weight, round(avg(x), 6) + 0 AS mean FROM vec GROUP BY label, word",
     "gmm_posterior": f"""WITH {em(2)}, p AS (SELECT read_id, class_id, exp(score - max(score) OVER (PARTITION BY read_id)) AS e FROM l2)
 SELECT read_id, class_id, round(sum(e) / sum(sum(e)) OVER (PARTITION BY read_id), 6) AS score FROM p GROUP BY 1, 2""",
     "class_prior_16s": """WITH c AS (SELECT CAST(substr(source, 4) AS INTEGER) AS class_id, count(*) AS n FROM documents GROUP BY 1),

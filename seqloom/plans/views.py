@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement, translated
-from ..operators import models
+from ..operators import blocks, models
+from ..operators.loops import cut
 from ..operators.words import exploded_vectors
 
 BASES = "[^ACGTacgt]"
@@ -78,6 +79,17 @@ VOTES = f"""{SCORES}, votes AS (SELECT read_id, class_id,
     round(sum(score * CASE method WHEN 'bayes' THEN 1.0 WHEN 'd2' THEN 20.0 ELSE 2.0 END), 6) AS vote FROM scores GROUP BY 1, 2)"""
 
 
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(read_id, cells) of the embeddings, as arrays."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("read_id"), F.transform("embedding", lambda v: v.cast("double")).alias("cells"))
+
+
+def mean_products(reads: DataFrame, model: DataFrame) -> DataFrame:
+    """(read_id, class_id, score): similarity of vectors to class means."""
+    classes = blocks.packed(model.select("class_id", "word", "mean"), ["class_id"], ["mean"])
+    return blocks.score_table(reads, "read_id", classes, ["class_id"], ["mean"], blocks.inner_products)
+
+
 def vector_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     members = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("gene_id"), F.col("label").alias("class_id"))
@@ -91,13 +103,14 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three methods over the embeddings: naive Bayes, similarity to the class mean, and a prior by class size."""
-    rows, model = vectors(spark, sf_dir), vector_model(spark, sf_dir)
+    model = vector_model(spark, sf_dir)
     each = lambda df, method: df.select(F.lit(method).alias("method"), "read_id", "class_id", F.round("score", 6).alias("score"))
-    d2 = rows.join(model, "word").groupBy("read_id", "class_id").agg(F.sum(F.col("x") * F.col("mean")).alias("score"))
+    model = cut(model)
+    d2 = mean_products(cells(spark, sf_dir), model)
     sizes = classes(spark, sf_dir)
     prior = models.count_prior(sizes, sizes)
-    every = models.grid(rows.select("read_id").distinct(), sizes).join(prior, "class_id")
-    return each(models.bayes_scores_direct(rows, model), "bayes").unionByName(each(d2, "d2")).unionByName(each(every, "prior"))
+    every = models.grid(cells(spark, sf_dir), sizes).join(prior, "class_id")
+    return each(models.bayes_scores_cells(cells(spark, sf_dir), model), "bayes").unionByName(each(d2, "d2")).unionByName(each(every, "prior"))
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
