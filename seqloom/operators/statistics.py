@@ -82,65 +82,64 @@ def moments(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 def percentiles(rows: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), most: int = 4096) -> DataFrame:
     """(by, share, x): exact percentiles of each group, linear between the two values around share * (n - 1).
 
-    Each order statistic starts with the whole line and is narrowed: a round
-    takes an equi-depth histogram of what lies strictly between its ends, keeps
-    the steps around the wanted rank, and counts exactly how many rows lie
-    below, on and between the new ends, so that the approximate histogram never
-    decides. An end that holds the rank is the answer, however often it is
-    repeated; else what lies between shrinks to a hundredth or so, and once it
-    is at most ``most`` values it is sorted. No group is ever gathered.
+    The order statistics of a group start with the whole line as their interval.
+    A round takes an equi-depth histogram of each interval, keeps the steps
+    around the wanted ranks as points, and counts exactly how many values lie on
+    and between the points, so that the approximate histogram never decides. A
+    point that holds the rank is the answer, however often it is repeated; else
+    the gap between two points is the next interval, a hundredth or so of the
+    last one, and once it holds at most ``most`` values they are sorted. A value
+    lies in one interval at most, and no group is ever gathered.
 
     Values that are null, NaN or infinite are left out, groups without others
     have no row.
     """
-    spark = rows.sparkSession
     good = finite(rows, value).select(*by, F.col(value).alias("x_"))
     sizes = good.groupBy(*by).agg(F.count("*").alias("n")).where("n > 0")
     wanted = F.array(*[F.struct(F.lit(float(s)).alias("share"), F.floor(F.lit(float(s)) * (F.col("n") - 1)).alias("k")) for s in shares])
     asked = cut(sizes.select(*by, "n", F.explode(wanted).alias("w")).select(*by, "n", "w.share", "w.k"))
-    both = asked.select(*by, F.explode(F.array(F.col("k"), F.least(F.col("k") + 1, F.col("n") - 1))).alias("k")).distinct()
-    # an order statistic k lies strictly between low and high; `start` rows lie at or below low, `between` within
-    state = beside(both, sizes, by).select(*by, "k", F.lit(-math.inf).alias("low"), F.lit(math.inf).alias("high"), F.lit(0).cast("long").alias("start"), F.col("n").alias("between"))
-    state, keys, found = cut(state), [*by, "k"], None
+    both = asked.select(*by, "n", F.explode(F.array(F.col("k"), F.least(F.col("k") + 1, F.col("n") - 1))).alias("k")).distinct()
+    # ranks `ks` lie strictly between low and high; `start` rows lie at or below low, `between` within
+    state = both.groupBy(*by, F.col("n").alias("between")).agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    state = cut(state.select(*by, F.lit(-math.inf).alias("low"), F.lit(math.inf).alias("high"), F.lit(0).cast("long").alias("start"), "between", "ks"))
+    keys, found = [*by, "k"], None
     grid = [i / STEPS for i in range(STEPS + 1)]
 
     def inside(some: DataFrame) -> DataFrame:
-        """Each value once for every order statistic of its group between whose ends it lies."""
+        """Each value with the interval of its group in which it lies, if there is one."""
         own = F.struct(*[c for c in some.columns if c not in by])
         packed = some.groupBy(*by).agg(F.collect_list(own).alias("t_"))
         hits = F.filter("t_", lambda t: (F.col("x_") > t["low"]) & (F.col("x_") < t["high"]))
-        return beside(good, packed, by).select(*by, "x_", F.explode(hits).alias("t")).select(*by, "x_", "t.*")
+        return beside(good, packed, by).select(*by, "x_", F.get(hits, F.lit(0)).alias("t")).where("t is not null").select(*by, "x_", "t.*")
 
     while True:
         small = state.where(F.col("between") <= most)
-        last = inside(small).groupBy(*keys, "start").agg(F.sort_array(F.collect_list("x_")).alias("v"))
-        last = last.select(*keys, F.element_at("v", (F.col("k") - F.col("start") + 1).cast("int")).alias("x"))
+        last = inside(small).groupBy(*by, "low", "high", "start", "ks").agg(F.sort_array(F.collect_list("x_")).alias("v"))
+        last = last.select(*by, F.explode("ks").alias("k"), "start", "v").select(*keys, F.element_at("v", (F.col("k") - F.col("start") + 1).cast("int")).alias("x"))
         found = last if found is None else found.unionByName(last)
         state = state.where(F.col("between") > most)
-        if not state.limit(1).count():
+        if state.isEmpty():
             break
-        steps = inside(state).groupBy(*keys).agg(F.percentile_approx("x_", grid, 10 * STEPS).alias("h_"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("start").alias("start"), F.min("between").alias("between"))
-        at = F.floor((F.col("k") - F.col("start")) * float(STEPS) / F.col("between")).cast("int")
-        ends = steps.select(*keys, "low", "high", "start", "between", F.col("h_")[F.greatest(at - 1, F.lit(0))].alias("a"), F.col("h_")[F.least(at + 2, F.lit(STEPS))].alias("b"))
-        ends = cut(ends)
-        count = lambda test: F.count(F.when(test, 1))
-        x, a, b = F.col("x_"), F.col("a"), F.col("b")
-        counted = inside(ends).groupBy(*keys, "low", "high", "start", "between", "a", "b").agg(count(x < a).alias("under"), count(x == a).alias("on_a"), count((x > a) & (x < b)).alias("mid"), count((x == b) & (b > a)).alias("on_b"))
-        r, under, to_a = F.col("k") - F.col("start"), F.col("under"), F.col("under") + F.col("on_a")
-        to_b, through_b = to_a + F.col("mid"), to_a + F.col("mid") + F.col("on_b")
-        answer = F.when((r >= under) & (r < to_a), a).when((r >= to_b) & (r < through_b), b)
-        counted = cut(counted.withColumn("answer", answer))
-        found = found.unionByName(counted.where("answer is not null").select(*keys, F.col("answer").alias("x")))
-        case = lambda below, middle, above: F.when(r < under, below).when(r < to_b, middle).otherwise(above)
-        state = cut(
-            counted.where("answer is null").select(
-                *keys,
-                case(F.col("low"), a, b).alias("low"),
-                case(a, b, F.col("high")).alias("high"),
-                (F.col("start") + case(F.lit(0), to_a, through_b)).alias("start"),
-                case(under, F.col("mid"), F.col("between") - through_b).alias("between"),
-            )
+        whole = [*by, "low", "high", "start", "between", "ks"]
+        steps = inside(state).groupBy(*whole).agg(F.percentile_approx("x_", grid, 10 * STEPS).alias("h_"))
+        at = lambda k: F.floor((k - F.col("start")) * float(STEPS) / F.col("between")).cast("int")
+        ends = lambda k: F.array(F.get("h_", F.greatest(at(k) - 1, F.lit(0))), F.get("h_", F.least(at(k) + 2, F.lit(STEPS))))
+        steps = cut(steps.select(*whole, F.array_sort(F.array_distinct(F.flatten(F.transform("ks", ends)))).alias("points")))
+        place = F.struct(F.size(F.filter("points", lambda p: p < F.col("x_"))).alias("i"), F.array_contains("points", F.col("x_")).alias("on"))
+        counted = inside(steps).groupBy(*whole, "points", place.alias("p")).count()
+        segments = counted.groupBy(*whole, "points").agg(F.array_sort(F.collect_list(F.struct("p.i", "p.on", F.col("count").alias("n")))).alias("s"))
+        add = lambda acc, s: F.struct(
+            (acc["at"] + s["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(s["i"].alias("i"), s["on"].alias("on"), s["n"].alias("n"), acc["at"].alias("before")))).alias("out")
         )
+        empty = F.struct(F.col("start").alias("at"), F.array().cast("array<struct<i:int,on:boolean,n:bigint,before:bigint>>").alias("out"))
+        parts = segments.select(*by, "low", "high", "ks", "points", F.explode(F.aggregate("s", empty, add, lambda acc: acc["out"])).alias("s"))
+        mine = F.filter("ks", lambda k: (k >= F.col("s.before")) & (k < F.col("s.before") + F.col("s.n")))
+        parts = cut(parts.select(*by, "low", "high", mine.alias("ks"), "points", "s").where(F.size("ks") > 0))
+        point = lambda i: F.get("points", i)
+        found = found.unionByName(parts.where("s.on").select(*by, F.explode("ks").alias("k"), point(F.col("s.i")).alias("x")))
+        low = F.when(F.col("s.i") == 0, F.col("low")).otherwise(point(F.col("s.i") - 1))
+        high = F.when(F.col("s.i") == F.size("points"), F.col("high")).otherwise(point(F.col("s.i")))
+        state = parts.where("not s.on").select(*by, low.alias("low"), high.alias("high"), F.col("s.before").alias("start"), F.col("s.n").alias("between"), "ks")
     found = cut(found).withColumnsRenamed({c: f"{c}_of_" for c in keys})
     keyed = asked.withColumn("next", F.least(F.col("k") + 1, F.col("n") - 1))
     for place, name in (("k", "x0"), ("next", "x1")):

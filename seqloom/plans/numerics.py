@@ -133,6 +133,16 @@ def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_returnflag", "share", F.round("x", 6).alias("x"))
 
 
+def length_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of documents by source, one of which may hold a third of all."""
+    found = statistics.percentiles(table(spark, sf_dir, "documents"), "n_chars", SHARES, ["source"])
+    return found.select("source", "share", F.round("x", 6).alias("x"))
+
+
+def length_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranks.ranks(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "n_chars", ["source"])
+
+
 def median_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.median(table(spark, sf_dir, "customer"), "c_acctbal").select(F.round("median", 6).alias("median"))
 
@@ -264,6 +274,8 @@ QUERIES = {
     "sample_moments": sample_moments,
     "exact_percentiles": exact_percentiles,
     "median_balance": median_balance,
+    "length_percentiles": length_percentiles,
+    "length_ranks": length_ranks,
     "covariance_matrix": covariance_matrix,
     "spearman_matrix": spearman_matrix,
     "rank_sum_test": rank_sum_test,
@@ -305,6 +317,10 @@ SELECT l_returnflag, n, round(mean, 6) AS mean, round(variance, 6) AS variance,
   round(avg(pow((x - mean) / sqrt(variance), 4)) - 3, 6) AS kurtosis, round(avg(abs(x - mean)), 6) AS deviation FROM x JOIN m USING (l_returnflag) GROUP BY l_returnflag, n, mean, variance""",
     "exact_percentiles": f"""WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, {list(SHARES)}) AS xs FROM lineitem GROUP BY l_returnflag)
 SELECT l_returnflag, CAST(unnest({list(SHARES)}) AS DOUBLE) AS share, round(unnest(xs), 6) AS x FROM q""",
+    "length_percentiles": f"""WITH q AS (SELECT source, quantile_cont(n_chars, {list(SHARES)}) AS xs FROM documents WHERE n_chars IS NOT NULL GROUP BY source)
+SELECT source, CAST(unnest({list(SHARES)}) AS DOUBLE) AS share, round(unnest(xs), 6) AS x FROM q""",
+    "length_ranks": """SELECT doc_id, source, n_chars, CASE WHEN n_chars IS NOT NULL THEN rank() OVER (PARTITION BY source, n_chars IS NULL ORDER BY n_chars) - 1
+  + (count(*) OVER (PARTITION BY source, n_chars) - 1) / 2 END AS rank FROM documents""",
     "median_balance": "SELECT round(median(c_acctbal), 6) AS median FROM customer",
     "covariance_matrix": f"""WITH {points_cte()}, {LONG_POINTS}
 SELECT a.i AS i, b.i AS j, round(covar_samp(a.x, b.x), 5) AS covariance, round(corr(a.x, b.x), 7) + 0 AS correlation FROM l a JOIN l b USING (id) GROUP BY a.i, b.i""",
