@@ -94,18 +94,23 @@ def in_fold(key: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % folds == fold, F.lit(False))
 
 
-def sampled(rows: DataFrame, key: Column, stratum: Column, bound: int) -> DataFrame:
+def sampled(rows: DataFrame, key: Column, stratum: Column, bound: int, text: Column | None = None) -> DataFrame:
     """About ``bound`` rows of each stratum, or all if there are fewer.
 
     Rows are taken by a hash of their key, so reruns agree; with few strata
-    nothing is shuffled but one count for each.
+    nothing is shuffled but one count for each. With ``text`` they are taken by
+    key and text, and rows that are alike count once, so that the bound holds
+    for null and repeated keys, too.
     """
+    names = [quoted(c) for c in rows.columns]
     sizes = checkpointed(rows.groupBy(stratum.alias("stratum_")).agg(F.count("*").alias("size_")).where("stratum_ is not null"))
     # label values are few; should they be many, Spark chooses the join
     sizes = F.broadcast(sizes) if sizes.count() <= FEW else sizes
-    draw = F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = F.xxhash64(key.cast("string")) if text is None else F.xxhash64(key.cast("string"), text)
+    draw = F.pmod(drawn, F.lit(1 << 30)) / F.lit(float(1 << 30))
     marked = rows.withColumn("stratum_", stratum).join(sizes, "stratum_", "left")
-    return marked.where(F.coalesce(draw * F.col("size_") < bound, F.lit(True))).select(*[quoted(c) for c in rows.columns])
+    taken = marked.where(F.coalesce(draw * F.col("size_") < bound, F.lit(True))).select(*names)
+    return taken if text is None else taken.dropDuplicates()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, quoted, read, slices, utf8
+from .common import carried, quoted, read, slices, stored, utf8
 
 OUT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 #: Bytes that make up words, after A-Z are lower-cased: 0-9, a-z and all of non-ASCII.
@@ -252,7 +252,8 @@ def decontaminate(
     through the ranks of a wavelet matrix, occurrences are located by sampled
     suffix positions, checked letter by letter, and their spans are merged. No
     document leaves its task; only the benchmark is sent around, in blocks of
-    at most about ``block_bytes`` of text.
+    at most about ``block_bytes`` of text. With several blocks each is a job
+    whose result is written to the shared folder before the next is sent.
 
     Returns ``keep`` (all input columns by default), n_words, n_hit, n_items,
     items_sha256, contaminated, which replace input columns of these names, and
@@ -288,6 +289,9 @@ def decontaminate(
                 yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
         base = base.mapInArrow(run, base.schema)
+        if blocks > 1:  # one block's phrases at a time
+            base = stored(base)
+            phrases.destroy()
     if cleaned:
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, in_fold, quoted, read, sampled, slices, utf8
+from .common import checkpointed, carried, in_fold, quoted, read, sampled, slices, utf8
 
 ORDER, SYMBOL_BITS, DOC_BITS = 4, 12, 16
 SPACE = 32
@@ -139,7 +139,7 @@ def train(rows: DataFrame, bound: int) -> Model:
     held-back texts plus four standard deviations; a language without such texts
     has no limit.
     """
-    every = sampled(rows.where("lang is not null"), F.col("id"), F.col("lang"), bound)
+    every = checkpointed(sampled(rows.where("lang is not null"), F.col("id"), F.col("lang"), bound, F.col("text")))
     fold = F.pmod(F.xxhash64(F.lit("calibration"), F.col("id").cast("string")), F.lit(5))
     sample, held = every.where(fold != 0), every.where(fold == 0)
 

@@ -63,13 +63,13 @@ def mix(
 
     Returns ``keep`` (all input columns by default) and size, source_size,
     target, taken; those names replace input columns. Null text has size 0, a
-    null source is a source of its own, a null id sorts as text "". Repeated
-    rows count as rows. An empty table gives an empty result.
+    null source is a source of its own, a null id draws its key from the text.
+    Repeated rows count as rows; those of one id stand in one cell. An empty table gives an empty result.
     """
     ranges = max(1, math.isqrt(docs.count()))
     own = [c for c in carried(docs, keep, OUT)]
     name = lambda c: f"in_{c}"  # noqa: E731  keeps input names apart from ours
-    tag = F.md5(F.coalesce(quoted(key).cast("string"), F.lit("")))
+    tag = F.md5(F.coalesce(quoted(key).cast("string"), F.md5(F.coalesce(quoted(text), F.lit("")))))
     rows = docs.select(
         *[quoted(c).alias(name(c)) for c in own],
         F.isnull(quoted(source)).cast("int").alias("absent"),
@@ -107,7 +107,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Weights 1, 2, 3; all sizes shared; at most 3 passes.
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS tag,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS tag,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents),
 s AS (

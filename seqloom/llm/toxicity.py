@@ -215,7 +215,9 @@ def train(rows: DataFrame, known: DataFrame, toxic_rows: int, clean_rows: int, l
     chosen = sampled(labelled.where("label = 1"), F.col("id"), F.lit("toxic"), toxic_rows).unionByName(
         sampled(labelled.where("label = 0"), F.col("id"), F.lit("clean"), clean_rows)
     )
-    sample = checkpointed(rows.join(F.broadcast(chosen), "id").select("text", "label"))
+    # an id that repeats brings all its rows: once more by text
+    drawn = sampled(rows.join(F.broadcast(chosen), "id").select("id", "text", "label"), F.col("id"), F.col("label"), 2 * max(toxic_rows, clean_rows), F.col("text"))
+    sample = checkpointed(drawn.select("text", "label"))
     toxic, clean = sample.where("label = 1"), sample.where("label = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqloom.llm import decontaminate, langid, mixing, pii, repeats, secrets, simhash, suffix_tree, topk, toxicity
+from seqloom.llm import common, decontaminate, langid, mixing, pii, repeats, secrets, simhash, suffix_tree, topk, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, key int, target string, score string, fp int, h string, t int, found string, row int"
@@ -99,3 +99,30 @@ def test_stages_on_odd_rows(spark, odd, i):
         out.collect()
         if i < len(corpus_pipeline.STAGES) - 1:
             assert out.columns == odd.columns and [f.dataType for f in out.schema] == [f.dataType for f in odd.schema]
+
+
+def test_samples_are_bounded_whatever_the_ids(spark):
+    """Null ids, one id in all rows, and one row in most of them keep to the bound."""
+    n, bound = 6000, 200
+    made = spark.range(n).selectExpr("id as n", "concat('text ', id) as t")
+    for key in ("cast(null as long)", "7", "n"):
+        rows = made.selectExpr(f"{key} as id", "t", "'en' as lang")
+        size = common.sampled(rows, F.col("id"), F.col("lang"), bound, F.col("t")).count()
+        assert bound / 2 < size < 2 * bound
+    alike = made.selectExpr("7 as id", "if(n < 5000, 'same', t) as t", "'en' as lang")
+    assert common.sampled(alike, F.col("id"), F.col("lang"), bound, F.col("t")).count() < 2 * bound
+
+
+def test_null_ids_of_a_mix_are_spread(spark):
+    df = spark.range(2000).selectExpr("cast(null as long) as doc_id", "concat('a b ', id) as text", "'s' as source")
+    taken = mixing.mix(df, share=0.5).agg(F.sum("taken"), F.max("target")).first()
+    assert abs(taken[0] - taken[1]) < 1
+
+
+def test_blocks_of_a_benchmark_are_sent_one_after_the_other(spark, capsys):
+    docs = spark.createDataFrame([(1, "quick brown fox and more"), (2, "none"), (3, "the end of it all")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(["quick brown fox", "end of it", "brown", "all", "more"])], "item_id long, text string")
+    want, got = (decontaminate.decontaminate(docs, bench, cleaned=True, block_bytes=size) for size in (1 << 20, 8))
+    decontaminate.decontaminate(docs, bench, block_bytes=8).explain()
+    assert "MapInArrow" not in capsys.readouterr().out  # each block is read from what was written
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
