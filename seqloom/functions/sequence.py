@@ -87,6 +87,24 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(known, "ACGTUWSYRN", "TGCAAWSRYN"))
 
 
+def reverse_complement_indel(seq: Column) -> Column:
+    """As ``reverse_complement`` for reads with corrected indels: lower-case letters (insertions), ``n`` and ``x`` keep their case; others become N."""
+    return F.reverse(F.translate(F.regexp_replace(seq, "[^ACGTacgtnx]", "N"), "ACGTacgtnx", "TGCAtgcanx"))
+
+
+def base_number(base: Column, opposite: bool = False) -> Column:
+    """0 to 3 in the order ACGT in either case, or of the opposite base; 4 for anything else."""
+    at = F.instr(F.lit("TGCA" if opposite else "ACGT"), F.upper(base)) - 1
+    return F.when((F.length(base) == 1) & (at >= 0), at).otherwise(4)
+
+
+def indel_number(base: Column) -> Column:
+    """The opposite base's number: 0 to 3 for upper case, 5 to 8 for lower, 9 for n, 10 for x, 4 for anything else."""
+    at = F.instr(F.lit("TGCA"), base) - 1
+    low = F.instr(F.lit("tgcanx"), base) + 4
+    return F.when(F.length(base) != 1, 4).when(at >= 0, at).when(low > 4, low).otherwise(4)
+
+
 def codon(triple: Column) -> Column:
     """The amino acid of three bases, ``*`` for a stop; null if a letter is not a base."""
     table = F.create_map(*[F.lit(x) for pair in CODONS.items() for x in pair])

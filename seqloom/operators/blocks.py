@@ -114,7 +114,7 @@ def weighted_gaps(cells: np.ndarray, held: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def inner_products(cells: np.ndarray, held: dict[str, np.ndarray]) -> np.ndarray:
-    return cells @ held["mean"].T
+    return cells @ held["x"].T
 
 
 def nothing(cells: np.ndarray, held: dict[str, np.ndarray]) -> np.ndarray:

@@ -14,6 +14,28 @@ from .loops import scratch
 HOT_ROWS, HOT_SHARE = 1000, 10_000
 
 
+def running_sums(rows: DataFrame, by: Sequence[str], order: str, sums: Mapping[str, Column]) -> DataFrame:
+    """All rows with the sums of ``sums`` over the group up to the row, itself included, in the order of a column of distinct values.
+
+    Rows are dealt to ranges of (by, order) and written with the number of their
+    range; ranges are summed first, so a group of any size is spread over tasks.
+    """
+    spark = rows.sparkSession
+    path = scratch(spark, "ranges")
+    rows.withColumns(dict(sums)).repartitionByRange(*by, order).withColumn("cell_", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    before = W.partitionBy(*by).orderBy("cell_").rowsBetween(W.unboundedPreceding, -1)
+    cells = dealt.groupBy(*by, "cell_").agg(*[F.sum(n).alias(f"{n}_of_") for n in sums])
+    starts = cells.withColumns({f"{n}_of_": F.coalesce(F.sum(f"{n}_of_").over(before), F.lit(0)) for n in sums})
+    starts = starts.withColumnsRenamed({c: f"{c}_of_" for c in (*by, "cell_")})
+    same = F.col("cell_") == F.col("cell__of_")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of_"))
+    within = W.partitionBy(*by, "cell_").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = dealt.withColumns({n: F.sum(n).over(within) for n in sums}).join(starts, same)
+    return placed.select(*rows.columns, *[(F.col(n) + F.col(f"{n}_of_")).alias(n) for n in sums])
+
+
 def value_ranks(rows: DataFrame, value: str, by: Sequence[str] = (), sums: Mapping[str, Column] | None = None) -> DataFrame:
     """(by, value, n, first, ``sums``): how often each distinct value occurs and how many rows of its group lie before it.
 

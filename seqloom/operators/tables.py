@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
+
 
 def add(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     both = a.select(*keys, "word", "x").unionByName(b.select(*keys, "word", "x"))
@@ -45,6 +47,11 @@ def similarity(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:
     return a.select(a_key, "word", "x").join(right, "word").groupBy(a_key, b_key).agg(F.sum(F.col("x") * F.col("y")).alias("score"))
 
 
+def dense_similarity(a: DataFrame, a_key: str, b: DataFrame, b_key: str) -> DataFrame:
+    """The same where both have all words: arrays (a_key, cells) in the order of b's words (b_key, word, x), as products of blocks."""
+    return blocks.score_table(a, a_key, blocks.packed(b, [b_key], ["x"]), [b_key], ["x"], blocks.inner_products)
+
+
 def same_kind(a: int, b: int) -> None:
     """Tables of different word lengths can't be combined."""
     if a != b:

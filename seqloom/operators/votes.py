@@ -97,6 +97,11 @@ def clamped_quota(quota: int, classes: int, final: bool) -> int:
     return most if quota > most else quota
 
 
+def clamped_quotas(quota: Column, classes: Column, final: bool) -> Column:
+    """The same for columns of quotas and numbers of classes."""
+    return F.least(quota, F.greatest(F.lit(1), F.floor(classes / (12 if final else 2)))).cast("int")
+
+
 def shortlist(votes: DataFrame, threshold: float, quota: int) -> DataFrame:
     """(read_id, class_id, vote, place) of the classes kept.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement, translated
-from ..operators import blocks, models
+from ..operators import models, tables
 from ..operators.loops import cut
 from ..operators.words import exploded_vectors
 
@@ -84,12 +84,6 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("read_id"), F.transform("embedding", lambda v: v.cast("double")).alias("cells"))
 
 
-def mean_products(reads: DataFrame, model: DataFrame) -> DataFrame:
-    """(read_id, class_id, score): similarity of vectors to class means."""
-    classes = blocks.packed(model.select("class_id", "word", "mean"), ["class_id"], ["mean"])
-    return blocks.score_table(reads, "read_id", classes, ["class_id"], ["mean"], blocks.inner_products)
-
-
 def vector_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir)
     members = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("gene_id"), F.col("label").alias("class_id"))
@@ -106,7 +100,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vector_model(spark, sf_dir)
     each = lambda df, method: df.select(F.lit(method).alias("method"), "read_id", "class_id", F.round("score", 6).alias("score"))
     model = cut(model)
-    d2 = mean_products(cells(spark, sf_dir), model)
+    d2 = tables.dense_similarity(cells(spark, sf_dir), "read_id", model.select("class_id", "word", F.col("mean").alias("x")), "class_id")
     sizes = classes(spark, sf_dir)
     prior = models.count_prior(sizes, sizes)
     every = models.grid(cells(spark, sf_dir), sizes).join(prior, "class_id")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import tables, words
+from ..operators import tables, votes, words
+from ..operators.loops import scratch
+from ..sources.fasta import read_fasta, write_fasta
 from . import views as V
 
 ALPHABET = S.AMINO_ACIDS
@@ -84,6 +86,7 @@ def algebra(name):
             "vec_sub": lambda: tables.subtract(a, b, on),
             "vec_mul": lambda: tables.multiply(a, b, on),
             "vec_pow": lambda: tables.add_power(a, b, 2.0, on),
+            "vec_scale": lambda: tables.scale(a, 2.5),
         }[name]()
         return out.select("class_id", F.col("word").cast("int"), F.round("x", 9).alias("x"))
 
@@ -96,17 +99,40 @@ b AS (SELECT class_id - 1 AS class_id, word, x FROM a)
 SELECT class_id, CAST(word AS INTEGER) AS word, round({value}, 9) AS x FROM a FULL JOIN b USING (class_id, word)"""
 
 
+def indel_codec(spark, d):
+    """Texts' letters, in their case, on the opposite strand, and the sum of their numbers in each of three codes."""
+    rows = V.table(spark, d, "benchmark").select(F.col("item_id").alias("read_id"), F.regexp_replace("text", "[^A-Za-z]", "").alias("seq"))
+    total = lambda code: F.aggregate(F.transform(F.filter(F.split("seq", ""), lambda c: c != ""), code), F.lit(0).cast("long"), lambda a, b: a + b)
+    codes = {"plain": lambda c: S.base_number(c), "opposite": lambda c: S.base_number(c, True), "indel": lambda c: S.indel_number(c)}
+    return rows.select("read_id", S.reverse_complement_indel(F.col("seq")).alias("other"), *[total(f).alias(n) for n, f in codes.items()])
+
+
+def protein_fasta(spark, d):
+    """Translated reads written as FASTA and read again."""
+    path = scratch(spark, "proteins")
+    rows = V.proteins(spark, d).where("seq <> ''").withColumn("label", F.concat(F.lit("r"), F.col("read_id").cast("string"), F.lit(" protein")))
+    write_fasta(rows, path)
+    return read_fasta(spark, path).select("label", "short_label", "seq")
+
+
+def quota_clamp(spark, d):
+    """A quota of 40 against each nation's number of customers, in the first and the final pass."""
+    rows = V.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("classes"))
+    return rows.select("nation", "classes", *[votes.clamped_quotas(F.lit(40), F.col("classes"), final).alias(n) for n, final in (("first", False), ("final", True))])
+
+
 def d2_similarity(spark, d):
     """Similarity of every vector to every class mean."""
-    b = class_vectors(spark, d)
-    return tables.similarity(V.vectors(spark, d), b, "read_id", "class_id").withColumn("score", F.round("score", 8))
+    found = tables.dense_similarity(V.cells(spark, d), "read_id", class_vectors(spark, d), "class_id")
+    return found.withColumn("score", F.round("score", 8))
 
 
 QUERIES = {
     "kmer_count": kmer_count, "kmer_freq": kmer_freq, "kmer_sparse": kmer_sparse, "kmer_protein": kmer_protein,
     "revcomp_kmer": revcomp_kmer, "codon_translate": codon_translate, "amino_code": amino_code, "gc_bucket": gc_bucket,
+    "indel_codec": indel_codec, "protein_fasta": protein_fasta, "quota_clamp": quota_clamp,
     "word_codec": word_codec, "scrubbed_labels": scrubbed_labels, "d2_similarity": d2_similarity,
-    **{n: algebra(n) for n in ("vec_add", "vec_sub", "vec_mul", "vec_pow")},
+    **{n: algebra(n) for n in ("vec_add", "vec_sub", "vec_mul", "vec_pow", "vec_scale")},
 }
 
 SQL = {
@@ -128,6 +154,18 @@ SELECT DISTINCT word, CAST((((instr('TCAG', word[1]) - 1) * 4 + instr('TCAG', wo
     "scrubbed_labels": """SELECT conv_id, turn, role AS truth_key, CAST(conv_id AS VARCHAR) AS gi, role || '|' || conv_id || '|' || turn AS short_label,
 role || '|' || conv_id || '|' || turn || 'xy' AS scrubbed FROM conversations""",
     "d2_similarity": f"WITH {V.VECTORS}, {V.BAYES_MODEL}, {V.D2_SCORES} SELECT read_id, class_id, round(score, 8) AS score FROM d2",
+    "vec_scale": f"WITH {V.VECTORS}, {V.BAYES_MODEL} SELECT class_id, CAST(word AS INTEGER) AS word, round(2.5 * mean, 9) AS x FROM nb",
+    "indel_codec": """WITH s AS (SELECT item_id AS read_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS seq FROM benchmark),
+l AS (SELECT read_id, unnest(string_split(seq, '')) AS c FROM s WHERE seq <> ''),
+n AS (SELECT read_id, CAST(sum(CASE upper(c) WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END) AS BIGINT) AS plain,
+  CAST(sum(CASE upper(c) WHEN 'A' THEN 3 WHEN 'C' THEN 2 WHEN 'G' THEN 1 WHEN 'T' THEN 0 ELSE 4 END) AS BIGINT) AS opposite,
+  CAST(sum(CASE c WHEN 'A' THEN 3 WHEN 'C' THEN 2 WHEN 'G' THEN 1 WHEN 'T' THEN 0 WHEN 'a' THEN 8 WHEN 'c' THEN 7 WHEN 'g' THEN 6 WHEN 't' THEN 5 WHEN 'n' THEN 9 WHEN 'x' THEN 10 ELSE 4 END) AS BIGINT) AS indel
+  FROM l GROUP BY read_id)
+SELECT read_id, reverse(translate(regexp_replace(seq, '[^ACGTacgtnx]', 'N', 'g'), 'ACGTacgtnx', 'TGCAtgcanx')) AS other,
+  coalesce(plain, 0) AS plain, coalesce(opposite, 0) AS opposite, coalesce(indel, 0) AS indel FROM s LEFT JOIN n USING (read_id)""",
+    "protein_fasta": f"WITH {V.READS}, {TRANSLATED} SELECT 'r' || read_id || ' protein' AS label, 'r' || read_id AS short_label, seq FROM aa WHERE seq <> ''",
+    "quota_clamp": """SELECT c_nationkey AS nation, count(*) AS classes, CAST(least(40, greatest(1, count(*) // 2)) AS INTEGER) AS first,
+  CAST(least(40, greatest(1, count(*) // 12)) AS INTEGER) AS final FROM customer GROUP BY 1""",
     "vec_add": algebra_sql("coalesce(a.x, 0) + coalesce(b.x, 0)"),
     "vec_sub": algebra_sql("coalesce(a.x, 0) - coalesce(b.x, 0)"),
     "vec_mul": algebra_sql("a.x * b.x") + " WHERE a.x IS NOT NULL AND b.x IS NOT NULL",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ranks import running_sums
 from ..operators.taxonomy import RANKS
 
 
@@ -44,12 +45,11 @@ def filter_counts(rows: DataFrame) -> DataFrame:
 
 
 def exons(genes: DataFrame, order: str, first: int = 1) -> DataFrame:
-    """(genome, gene, start, end): places of a genome's genes laid end to end, numbered from ``first``."""
-    genes = genes.select("genome", order, F.length("seq").alias("size"))  # sequences stay where they are
-    over = W.partitionBy("genome").orderBy(order)
-    upto = F.sum("size").over(over.rowsBetween(W.unboundedPreceding, W.currentRow))
-    gene = F.concat(F.lit("gene_"), (F.row_number().over(over) - 1 + first).cast("string"))
-    return genes.select("genome", order, gene.alias("gene"), (upto - F.col("size") + 1).alias("start"), upto.alias("end"))
+    """(genome, gene, start, end): places of a genome's genes laid end to end, numbered from ``first``; a genome is spread over ranges of the order."""
+    sizes = genes.select("genome", order, F.length("seq").alias("size"))  # sequences stay where they are
+    placed = running_sums(sizes, ["genome"], order, {"end": F.col("size").cast("long"), "number": F.lit(1).cast("long")})
+    gene = F.concat(F.lit("gene_"), (F.col("number") - 1 + first).cast("string"))
+    return placed.select("genome", order, gene.alias("gene"), (F.col("end") - F.col("size") + 1).alias("start"), "end")
 
 
 def gtf_lines(placed: DataFrame) -> DataFrame:
@@ -59,11 +59,17 @@ def gtf_lines(placed: DataFrame) -> DataFrame:
 
 
 def condensed(genes: DataFrame, order: str) -> DataFrame:
-    """(genome, seq): all genes of a genome joined in order."""
+    """(genome, seq): all genes of a genome joined in order, in one row: for genomes of up to 2 GB."""
     rows = genes.groupBy("genome").agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("seq")))).alias("g"))
     return rows.select("genome", F.array_join(F.transform("g", lambda x: x["seq"]), "").alias("seq"))
 
 
+def laid_out(genes: DataFrame, order: str) -> DataFrame:
+    """(genome, start, seq): the same as rows, sorted within and over partitions, for genomes of any size."""
+    placed = exons(genes, order).select("genome", order, "start")
+    return placed.join(genes.select("genome", order, "seq"), ["genome", order]).select("genome", "start", "seq").repartitionByRange("genome", "start").sortWithinPartitions("genome", "start")
+
+
 def filled_template(template: str, manifest: DataFrame) -> DataFrame:
     """(genome, value): a parameter file for each row (genome, reads) of the manifest."""
     text = F.replace(F.replace(F.lit(template), F.lit("{genome}"), F.col("genome")), F.lit("{reads}"), F.col("reads").cast("string"))

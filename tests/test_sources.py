@@ -109,6 +109,7 @@ def test_reports(spark, tmp_path):
     genes = spark.createDataFrame([("g", 1, "ACGT"), ("g", 2, "AC")], "genome string, i int, seq string")
     assert [(r.gene, r.start, r.end) for r in reports.exons(genes, "i").orderBy("i").collect()] == [("gene_1", 1, 4), ("gene_2", 5, 6)]
     assert reports.condensed(genes, "i").first().seq == "ACGTAC"
+    assert [(r.start, r.seq) for r in reports.laid_out(genes, "i").collect()] == [(1, "ACGT"), (5, "AC")]
     manifest = reports.read_manifest(spark, put(tmp_path, "m.tsv", "NC_1.ffn\t1000\n"))
     assert reports.filled_template("REF {genome}\nN {reads}", manifest).first().value == "REF NC_1.ffn\nN 1000"
     assert "gene_2" in reports.gtf_lines(reports.exons(genes, "i")).orderBy("value").collect()[1].value

@@ -205,3 +205,10 @@ def test_tails_against_closed_forms():
     z = numeric.normal_cdf.func(pd.Series([0.0, 1.959963984540054, None]))
     assert z[0] == 0.5 and z[1] == pytest.approx(0.975) and z[2] is None
     assert numeric.incomplete_gamma(np.array([2.0]), np.array([0.0]))[0] == 0
+
+
+def test_running_sums_of_ranges(spark):
+    df = spark.createDataFrame([(g, i, (i * 7) % 5) for g in ("a", None) for i in range(400)], "g string, i int, x int").repartition(4)
+    got = {(r.g, r.i): (r.total, r.n) for r in rk.running_sums(df, ["g"], "i", {"total": F.col("x"), "n": F.lit(1)}).collect()}
+    totals = np.cumsum([(i * 7) % 5 for i in range(400)])
+    assert got == {(g, i): (totals[i], i + 1) for g in ("a", None) for i in range(400)}
