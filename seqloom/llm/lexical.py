@@ -65,7 +65,7 @@ class Index:
     terms: int
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = 4 << 20) -> Index:
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = 2 << 20) -> Index:
     """An index of whole texts in the shared folder; documents stay in the task that reads them.
 
     A first pass counts documents and terms; a second one cuts each task's texts
