@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import anchors, common, decontaminate, induced, langid, pii, repeats, toxicity
+from seqloom.llm import anchors, common, decontaminate, induced, langid, pii, repeats, secrets, toxicity
 
 # language identification
 
@@ -206,3 +206,63 @@ def test_added_spans_are_personal_data(spark):
         planted = [i for i, (_, k) in enumerate(made) if k == kind]
         assert sum(got[i] == [kind] for i in planted) >= 0.9 * len(planted)
     assert not any(got[i] for i, (_, k) in enumerate(made) if k is None)
+
+
+def planted(spark, forms, seed):
+    """Documents of which each has one of ``forms`` (kind, maker), put between two words: rows, and (kind, start, end) by id."""
+    rng = random.Random(seed)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    rows, places = [], {}
+    for i, text in enumerate(texts):
+        kind, make = forms[i % len(forms)]
+        words = text.split(" ")
+        at = rng.randint(0, len(words))
+        lead, new = "".join(w + " " for w in words[:at]), make(rng)
+        rows.append((i, lead + new + " " + " ".join(words[at:])))
+        places[i] = kind, len(lead), len(lead) + len(new)
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4), places
+
+
+def quality(found, places, added):
+    """Recall of what was planted as an added kind, and precision of the added spans."""
+    spans = [(i, k, int(a), int(b)) for i, listed in found.items() for k, a, b in (x.split(":") for x in listed.split(",") if x) if k in added]
+    right = {i for i, k, a, b in spans if k == places[i][0] and a < places[i][2] and b > places[i][1]}
+    wanted = [i for i, p in places.items() if p[0] in added]
+    return len(right) / len(wanted), sum(i in right for i, *_ in spans) / max(1, len(spans))
+
+
+def test_quality_of_added_personal_data(spark):
+    digits = lambda r, n: "".join(r.choice("0123456789") for _ in range(n))
+    name = lambda r: "".join(r.choice("abcdefghijklm") for _ in range(6))
+    forms = [
+        ("email_like", lambda r: f"mail {name(r)} [at] {name(r)} [dot] {r.choice(('com', 'org', 'de'))}"),
+        ("phone_like", lambda r: f"{r.choice(('call ', '', 'tel. '))}{r.randint(201, 989)}-{digits(r, 3)}-{digits(r, 4)}"),
+        (None, lambda r: f"version 1.{r.randint(300, 900)}.{r.randint(300, 900)}.7"),
+        (None, lambda r: f"order {digits(r, 16)}"),
+        (None, lambda r: f"invoice {digits(r, 3)}-{digits(r, 2)}-{digits(r, 6)}"),
+        (None, lambda r: f"{name(r)}@{name(r)}.com, +1 (555) 010-{digits(r, 4)}, {r.randint(1, 255)}.{r.randint(0, 255)}.1.9, 4111 1111 1111 1111"),
+        (None, lambda r: "nothing"),
+    ]
+    df, places = planted(spark, forms, 5)
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(df, keep=["doc_id"]).collect()}
+    recall, precision = quality(found, places, pii.ADDED)
+    assert recall > 0.9 and precision > 0.9
+
+
+def test_quality_of_random_strings(spark):
+    """Keys of three alphabets among words, identifiers and addresses."""
+    key = lambda symbols, *sizes: lambda r: "".join(r.choice(symbols) for _ in range(r.choice(sizes)))
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    word = lambda r: r.choice("reading station thing content others measure garden window".split())
+    forms = [
+        ("random", key(upper + lower + digits, 16, 20, 24, 32, 40)),
+        ("random", key(upper + "234567", 16, 20, 24, 32, 40)),
+        ("random", key("0123456789abcdef", 16, 18, 20, 22)),
+        (None, lambda r: "_".join(word(r) for _ in range(4))),
+        (None, lambda r: f"https://{word(r)}.example.com/{word(r)}/{r.randint(1, 9999)}.html"),
+        (None, lambda r: "get" + "".join(word(r).capitalize() for _ in range(3)) + str(r.randint(1, 99))),
+    ]
+    df, places = planted(spark, forms, 6)
+    found = {r.doc_id: r.spans for r in secrets.find_secrets(df, keep=["doc_id"]).collect()}
+    recall, precision = quality(found, places, ["random"])
+    assert recall > 0.9 and precision > 0.95
