@@ -97,7 +97,7 @@ def gmm_restarts(spark, d):
     """Whether mixtures from 8 seeded starts are sound: two clusters a class at most, weights that sum to 1, and means around the class's own."""
     genes = members(spark, d)
     rows = V.vectors(spark, d).select(F.col("read_id").alias("gene_id"), "word", "x")
-    model = mixture.fit(genes, rows, 2, rounds=30, restarts=8)
+    model = mixture.fit(genes, rows, 2, rounds=10, restarts=8)
     cells = model.groupBy("class_id", "word").agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("mean")).alias("mean"))
     cells = cells.select("class_id", F.col("word").cast("int").alias("word"), F.round("weight", 6).alias("weight"), (F.round("mean", 6) + 0.0).alias("mean"))
     return cells

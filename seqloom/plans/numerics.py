@@ -239,14 +239,14 @@ def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Fourier transform of suppliers' balances in order of their keys."""
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pos"), (F.col("s_acctbal") / 1000).alias("x"))
     found = transforms.fourier(rows)
-    return found.select("pos", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+    return found.select("pos", (F.round("re", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
 
 
-def daily_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The natural spline through each day's mean order total, at noon of the days before the last."""
+def weekly_spline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The natural spline through each week's mean order total, in the middle of the weeks before the last."""
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
-    rows = table(spark, sf_dir, "orders").select(day.alias("x"), (F.col("o_totalprice") / 1000).alias("y"))
-    spline = splines.natural_spline(rows, cell_rows=256)
+    rows = table(spark, sf_dir, "orders").select(F.floor(day / 7).alias("x"), (F.col("o_totalprice") / 1000).alias("y"))
+    spline = splines.natural_spline(rows, cell_rows=64)
     asked = spline.pieces.select((F.col("x0") + 0.5).alias("x"))
     return spline.at(asked).select("x", F.round("value", 5).alias("value"), (F.round("curvature", 5) + 0.0).alias("curvature"))
 
@@ -290,7 +290,7 @@ QUERIES = {
     "period_three": period_three,
     "shifted_correlation": shifted_correlation,
     "spectrum": spectrum,
-    "daily_spline": daily_spline,
+    "weekly_spline": weekly_spline,
 }
 SQL = {
     "knn_tree": f"WITH {points_cte('3')}, {distance_cte(EUCLID, 'true')} SELECT query_id, rank, id, distance FROM r WHERE rank <= 5",
@@ -355,9 +355,9 @@ b AS (SELECT gene_id, i - 1 AS pos FROM (SELECT gene_id, seq, unnest(generate_se
 c AS (SELECT gene_id, pos - j AS pos, sum(w) AS x FROM b, k GROUP BY gene_id, pos - j)
 SELECT gene_id, max(round(x, 6)) AS x FROM c GROUP BY gene_id""",
     "spectrum": """WITH n AS (SELECT max(s_suppkey) + 1 AS n FROM supplier), k AS (SELECT unnest(generate_series(0, (SELECT n - 1 FROM n))) AS k)
-SELECT CAST(k AS BIGINT) AS pos, round(sum(s_acctbal / 1000 * cos(2 * pi() * (s_suppkey * k % n) / n)), 4) + 0 AS re,
-  round(-sum(s_acctbal / 1000 * sin(2 * pi() * (s_suppkey * k % n) / n)), 4) + 0 AS im FROM supplier, k, n GROUP BY k""",
-    "daily_spline": """WITH RECURSIVE p AS (SELECT CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x, avg(o_totalprice / 1000) AS y FROM orders GROUP BY 1),
+SELECT CAST(k AS BIGINT) AS pos, round(sum(s_acctbal / 1000 * cos(2 * pi() * (s_suppkey * k % n) / n)), 6) + 0 AS re,
+  round(-sum(s_acctbal / 1000 * sin(2 * pi() * (s_suppkey * k % n) / n)), 6) + 0 AS im FROM supplier, k, n GROUP BY k""",
+    "weekly_spline": """WITH RECURSIVE p AS (SELECT floor(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) / 7) AS x, avg(o_totalprice / 1000) AS y FROM orders GROUP BY 1),
 k AS (SELECT row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n, x, y, lag(x) OVER (ORDER BY x) AS x0, lag(y) OVER (ORDER BY x) AS y0,
   lead(x) OVER (ORDER BY x) AS x2, lead(y) OVER (ORDER BY x) AS y2 FROM p),
 e AS (SELECT i, n, x - x0 AS h, x2 - x AS g, 6 * ((y2 - y) / (x2 - x) - (y - y0) / (x - x0)) AS r FROM k),
