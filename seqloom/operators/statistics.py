@@ -18,6 +18,8 @@ from .ranks import ranks, value_ranks
 
 #: An equi-depth histogram of this many steps is what a round of selection narrows by.
 STEPS = 256
+#: Groups up to which what is known of each goes to every task; of more, those with more than one in so many of all rows.
+FEW = 10_000
 
 
 def literal(value, kind: DataType) -> Column:
@@ -37,12 +39,33 @@ def same_group(by: Sequence[str]) -> Column:
     return same
 
 
-def beside(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows with the columns of their group's one row in ``right``; the one row of a whole table becomes constants."""
+def large(sizes: DataFrame, by: Sequence[str]) -> DataFrame | None:
+    """The groups (by) of ``sizes`` (by, n) that hold a great share of all rows, FEW at most; None where all groups are few."""
+    count, total = sizes.agg(F.count("*"), F.sum("n")).first()
+    return None if count <= FEW else sizes.where(F.col("n") > total // FEW).select(*[F.col(c).alias(f"{c}_of_") for c in by])
+
+
+def beside(rows: DataFrame, right: DataFrame, by: Sequence[str], hot: DataFrame | None = None) -> DataFrame:
+    """Rows with the columns of their group's one row in ``right``; the one row of a whole table becomes constants.
+
+    A group may hold any share of the rows, which therefore do not move to its
+    row: this goes to all tasks, for all groups or for those in ``hot`` (see
+    ``large``). The others are small and meet in a join.
+    """
     if not by:
         row = right.first()
-        return left.select("*", *[literal(None if row is None else row[f.name], f.dataType).alias(f.name) for f in right.schema]).where(F.lit(row is not None))
-    return left.join(right.withColumnsRenamed({c: f"{c}_of_" for c in by}), same_group(by)).drop(*[f"{c}_of_" for c in by])
+        return rows.select("*", *[literal(None if row is None else row[f.name], f.dataType).alias(f.name) for f in right.schema]).where(F.lit(row is not None))
+    right = right.withColumnsRenamed({c: f"{c}_of_" for c in by})
+    of = [f"{c}_of_" for c in by]
+    if hot is None:
+        return rows.join(F.broadcast(right), same_group(by)).drop(*of)
+    marked = hot.select(*[F.col(c).alias(f"{c}_hot_") for c in of])
+    is_hot = F.lit(True)
+    for c in of:
+        is_hot = is_hot & F.col(c).eqNullSafe(F.col(f"{c}_hot_"))
+    great, rest = (right.join(F.broadcast(marked), is_hot, how) for how in ("left_semi", "left_anti"))
+    small = rows.join(F.broadcast(hot), same_group(by), "left_anti")
+    return rows.join(F.broadcast(great), same_group(by)).unionByName(small.join(rest, same_group(by))).drop(*of)
 
 
 def finite(rows: DataFrame, value: str) -> DataFrame:
@@ -75,8 +98,11 @@ def moments(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     variance = F.when(F.col("n") < 2, 0.0).otherwise(F.col("v_"))
     skew, excess = shape(F.col("n"), variance, F.col("s_"), F.col("k_"))
     out = cut(central.where("n > 0").select(*by, "n", "mean", variance.alias("variance"), skew.alias("skewness"), excess.alias("kurtosis")))
-    away = beside(good.select(*by, x.alias("x_")), out.select(*by, "mean"), by).groupBy(*by).agg(F.avg(F.abs(F.col("x_") - F.col("mean"))).alias("deviation"))
-    return beside(out, away, by)
+    hot = large(out, by) if by else None
+    away = beside(good.select(*by, x.alias("x_")), out.select(*by, "mean"), by, hot).groupBy(*by).agg(F.avg(F.abs(F.col("x_") - F.col("mean"))).alias("deviation"))
+    if not by:
+        return beside(out, away, by)
+    return out.join(away.withColumnsRenamed({c: f"{c}_of_" for c in by}), same_group(by)).drop(*[f"{c}_of_" for c in by])
 
 
 def percentiles(rows: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), most: int = 4096) -> DataFrame:

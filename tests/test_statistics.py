@@ -97,6 +97,30 @@ def test_percentiles_of_wild_values(spark):
     assert st.median(df, "x").first()[0] == plain.median(x) and st.median(df.limit(0), "x").count() == 0
 
 
+def test_rows_of_a_group_do_not_move_to_its_row(spark, groups, monkeypatch, capsys):
+    """Groups that hold a great share of all rows would fill one task."""
+    rows, df = groups
+    right = spark.createDataFrame([("hot", 1), ("a", 2), (None, 3)], "g string, y int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        st.beside(df, right, ["g"]).explain()
+        assert "Exchange hashpartitioning" not in capsys.readouterr().out
+        want = {r.g: r for r in st.moments(df, "x", ["g"]).collect()}
+        # many groups: the great ones go to all tasks, the others meet in a join
+        monkeypatch.setattr(st, "FEW", 3)
+        sizes = st.finite(df, "x").groupBy("g").agg(F.count("*").alias("n"))
+        hot = st.large(sizes, ["g"])
+        assert {r["g_of_"] for r in hot.collect()} == {"hot"}
+        got = {r.g: r for r in st.moments(df, "x", ["g"]).collect()}
+        assert set(got) == set(want) == {"hot", "a", "b", "one", None}
+        assert all(got[g][1:] == pytest.approx(want[g][1:]) for g in want)
+        met = [(r.g, r.y) for r in st.beside(df, right, ["g"], hot).collect()]
+        of = {"hot": 1, "a": 2, None: 3}
+        assert sorted(map(repr, met)) == sorted(repr((g, of[g])) for g, _ in rows if g in of)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(3)
