@@ -114,46 +114,52 @@ def percentiles(rows: DataFrame, value: str, shares: Sequence[float], by: Sequen
     and between the points, so that the approximate histogram never decides. A
     point that holds the rank is the answer, however often it is repeated; else
     the gap between two points is the next interval, a hundredth or so of the
-    last one, and once it holds at most ``most`` values they are sorted. A value
-    lies in one interval at most, and no group is ever gathered.
+    last one, and once it holds at most ``most`` values they are sorted, those
+    of all rounds in one pass at the end. A value lies in one interval at most,
+    and is counted there by the interval's low end; no group is ever gathered.
 
     Values that are null, NaN or infinite are left out, groups without others
     have no row.
     """
     good = finite(rows, value).select(*by, F.col(value).alias("x_"))
-    sizes = good.groupBy(*by).agg(F.count("*").alias("n")).where("n > 0")
+    sizes = cut(good.groupBy(*by).agg(F.count("*").alias("n")).where("n > 0"))
+    hot = large(sizes, by) if by else None
     wanted = F.array(*[F.struct(F.lit(float(s)).alias("share"), F.floor(F.lit(float(s)) * (F.col("n") - 1)).alias("k")) for s in shares])
     asked = cut(sizes.select(*by, "n", F.explode(wanted).alias("w")).select(*by, "n", "w.share", "w.k"))
     both = asked.select(*by, "n", F.explode(F.array(F.col("k"), F.least(F.col("k") + 1, F.col("n") - 1))).alias("k")).distinct()
     # ranks `ks` lie strictly between low and high; `start` rows lie at or below low, `between` within
     state = both.groupBy(*by, F.col("n").alias("between")).agg(F.array_sort(F.collect_list("k")).alias("ks"))
     state = cut(state.select(*by, F.lit(-math.inf).alias("low"), F.lit(math.inf).alias("high"), F.lit(0).cast("long").alias("start"), "between", "ks"))
-    keys, found = [*by, "k"], None
+    keys, found, done = [*by, "k"], None, None
     grid = [i / STEPS for i in range(STEPS + 1)]
 
-    def inside(some: DataFrame) -> DataFrame:
-        """Each value with the interval of its group in which it lies, if there is one."""
-        own = F.struct(*[c for c in some.columns if c not in by])
+    def inside(some: DataFrame, *names: str) -> DataFrame:
+        """Each value with the low end of the interval of its group in which it lies, if there is one, and with what ``names`` are there."""
+        own = F.struct(*[F.col(c) for c in ("low", "high", *names)])
         packed = some.groupBy(*by).agg(F.collect_list(own).alias("t_"))
         hits = F.filter("t_", lambda t: (F.col("x_") > t["low"]) & (F.col("x_") < t["high"]))
-        return beside(good, packed, by).select(*by, "x_", F.get(hits, F.lit(0)).alias("t")).where("t is not null").select(*by, "x_", "t.*")
+        placed = beside(good, packed, by, hot).select(*by, "x_", F.get(hits, F.lit(0)).alias("t")).where("t is not null")
+        return placed.select(*by, "x_", "t.low", *[f"t.{c}" for c in names])
+
+    def joined(counts: DataFrame, some: DataFrame) -> DataFrame:
+        """What was found in each interval (by, low), with the interval's other columns."""
+        of = {c: f"{c}_of_" for c in (*by, "low")}
+        return counts.join(some.withColumnsRenamed(of), same_group(by) & (F.col("low") == F.col("low_of_"))).drop(*of.values())
 
     while True:
         small = state.where(F.col("between") <= most)
-        last = inside(small).groupBy(*by, "low", "high", "start", "ks").agg(F.sort_array(F.collect_list("x_")).alias("v"))
-        last = last.select(*by, F.explode("ks").alias("k"), "start", "v").select(*keys, F.element_at("v", (F.col("k") - F.col("start") + 1).cast("int")).alias("x"))
-        found = last if found is None else found.unionByName(last)
+        done = small if done is None else done.unionByName(small)
         state = state.where(F.col("between") > most)
         if state.isEmpty():
             break
         whole = [*by, "low", "high", "start", "between", "ks"]
-        steps = inside(state).groupBy(*whole).agg(F.percentile_approx("x_", grid, 10 * STEPS).alias("h_"))
+        steps = joined(inside(state).groupBy(*by, "low").agg(F.percentile_approx("x_", grid, 10 * STEPS).alias("h_")), state)
         at = lambda k: F.floor((k - F.col("start")) * float(STEPS) / F.col("between")).cast("int")
         ends = lambda k: F.array(F.get("h_", F.greatest(at(k) - 1, F.lit(0))), F.get("h_", F.least(at(k) + 2, F.lit(STEPS))))
         steps = cut(steps.select(*whole, F.array_sort(F.array_distinct(F.flatten(F.transform("ks", ends)))).alias("points")))
         place = F.struct(F.size(F.filter("points", lambda p: p < F.col("x_"))).alias("i"), F.array_contains("points", F.col("x_")).alias("on"))
-        counted = inside(steps).groupBy(*whole, "points", place.alias("p")).count()
-        segments = counted.groupBy(*whole, "points").agg(F.array_sort(F.collect_list(F.struct("p.i", "p.on", F.col("count").alias("n")))).alias("s"))
+        counted = inside(steps, "points").select(*by, "low", place.alias("p")).groupBy(*by, "low", "p.i", "p.on").agg(F.count("*").alias("n"))
+        segments = joined(counted.groupBy(*by, "low").agg(F.array_sort(F.collect_list(F.struct("i", "on", "n"))).alias("s")), steps)
         add = lambda acc, s: F.struct(
             (acc["at"] + s["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(s["i"].alias("i"), s["on"].alias("on"), s["n"].alias("n"), acc["at"].alias("before")))).alias("out")
         )
@@ -162,11 +168,15 @@ def percentiles(rows: DataFrame, value: str, shares: Sequence[float], by: Sequen
         mine = F.filter("ks", lambda k: (k >= F.col("s.before")) & (k < F.col("s.before") + F.col("s.n")))
         parts = cut(parts.select(*by, "low", "high", mine.alias("ks"), "points", "s").where(F.size("ks") > 0))
         point = lambda i: F.get("points", i)
-        found = found.unionByName(parts.where("s.on").select(*by, F.explode("ks").alias("k"), point(F.col("s.i")).alias("x")))
+        on = parts.where("s.on").select(*by, F.explode("ks").alias("k"), point(F.col("s.i")).alias("x"))
+        found = on if found is None else found.unionByName(on)
         low = F.when(F.col("s.i") == 0, F.col("low")).otherwise(point(F.col("s.i") - 1))
         high = F.when(F.col("s.i") == F.size("points"), F.col("high")).otherwise(point(F.col("s.i")))
         state = parts.where("not s.on").select(*by, low.alias("low"), high.alias("high"), F.col("s.before").alias("start"), F.col("s.n").alias("between"), "ks")
-    found = cut(found).withColumnsRenamed({c: f"{c}_of_" for c in keys})
+    done = cut(done)
+    last = joined(inside(done).groupBy(*by, "low").agg(F.sort_array(F.collect_list("x_")).alias("v")), done)
+    last = last.select(*by, F.explode("ks").alias("k"), "start", "v").select(*keys, F.element_at("v", (F.col("k") - F.col("start") + 1).cast("int")).alias("x"))
+    found = cut(last if found is None else found.unionByName(last)).withColumnsRenamed({c: f"{c}_of_" for c in keys})
     keyed = asked.withColumn("next", F.least(F.col("k") + 1, F.col("n") - 1))
     for place, name in (("k", "x0"), ("next", "x1")):
         keyed = keyed.join(found, same_group(by) & (F.col(place) == F.col("k_of_"))).withColumnRenamed("x", name).drop(*[f"{c}_of_" for c in keys])

@@ -121,6 +121,23 @@ def test_rows_of_a_group_do_not_move_to_its_row(spark, groups, monkeypatch, caps
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_percentiles_leave_the_values_where_they_are(spark, monkeypatch):
+    """Many groups, one of them great, several rounds: what is known of the great one goes to its values, every time."""
+    rng = random.Random(3)
+    values = [("great", rng.choice([7.0, rng.uniform(-9, 9)])) for _ in range(3000)] + [(f"g{i % 40}", float(rng.randint(0, 9))) for i in range(400)]
+    df = spark.createDataFrame(values, "g string, x double").repartition(6)
+    monkeypatch.setattr(st, "FEW", 3)
+    sides, beside = [], st.beside
+    monkeypatch.setattr(st, "beside", lambda rows, right, by, hot=None: sides.append(hot) or beside(rows, right, by, hot))
+    shares = (0.0, 0.3, 0.5, 0.99, 1.0)
+    got = {(r.g, r.share): r.x for r in st.percentiles(df, "x", shares, ["g"], most=20).collect()}
+    for g in {g for g, _ in values}:
+        own_values = [x for h, x in values if h == g]
+        assert [got[g, s] for s in shares] == pytest.approx(list(np.quantile(own_values, shares)))
+    assert len(got) == 5 * 41 and len(sides) >= 3
+    assert all(hot is sides[0] for hot in sides) and [r["g_of_"] for r in sides[0].collect()] == ["great"]
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(3)
