@@ -17,6 +17,14 @@ from ..functions.numeric import VARIANCE_FLOOR, floored, log_density
 from . import blocks
 from .loops import cut
 
+#: Rows of a model (a class and word each) up to which it goes to every task: a domain of few words would deal all vectors to as many tasks.
+SENT_ROWS = 1 << 20
+
+
+def sent(model: DataFrame) -> DataFrame:
+    """A model that was cut, broadcast if it is small."""
+    return F.broadcast(model) if model.count() <= SENT_ROWS else model
+
 
 def grid(reads: DataFrame, classes: DataFrame) -> DataFrame:
     """Every read with every class: the shape of a full score table, which is what its callers return."""
@@ -64,7 +72,7 @@ def bayes_scores(vectors: DataFrame, model: DataFrame, reads: DataFrame, domain:
     absent = -0.5 * math.log(2 * math.pi * VARIANCE_FLOOR)
     constants = model.groupBy("class_id").agg((F.sum(at_zero) + (domain - F.count("*")) * absent).alias("constant"))
     squares = vectors.groupBy("read_id").agg(F.sum(F.col("x") * F.col("x")).alias("squares"))
-    shared = vectors.join(model, "word").groupBy("read_id", "class_id")
+    shared = vectors.join(sent(model), "word").groupBy("read_id", "class_id")
     shared = shared.agg(
         F.sum((2 * F.col("x") * F.col("mean") - F.col("x") * F.col("x")) / (2 * v)).alias("gain"),
         F.sum(F.col("x") * F.col("x")).alias("known"),
@@ -162,12 +170,11 @@ def difference_model(genes: DataFrame, gene_cells: DataFrame, weights: DataFrame
     """
     rows = genes.select("gene_id", "class_id").join(gene_cells, "gene_id")
     rows = rows.withColumn("weight", F.lit(1.0)) if weights is None else rows.join(weights, "gene_id")
-    cells = rows.select(F.size("cells")).first()
-    n = cells[0] if cells else 0
-    # pairs in the order of x, then y: x begins at x * n - x * (x + 1) / 2
+    # n cells have n * (n - 1) / 2 pairs, in the order of x, then y: x begins at x * n - x * (x + 1) / 2
+    n = F.round((1 + F.sqrt(1 + 8 * F.size("s"))) / 2).cast("int")
     counts = genes.groupBy("class_id").agg(F.countDistinct("gene_id").alias("genes"))
     sums = blocks.weighted_differences(rows, "class_id", "cells", "weight").join(counts, "class_id")
-    per_x = F.transform(F.sequence(F.lit(0), F.lit(max(n - 2, 0))), lambda x: F.struct(x.alias("x"), F.slice("s", (x * n - x * (x + 1) / 2).cast("int") + 1, n - 1 - x).alias("v")))
+    per_x = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda x: F.struct(x.alias("x"), F.slice("s", (x * n - x * (x + 1) / 2).cast("int") + 1, n - 1 - x).alias("v")))
     wide = sums.select("class_id", "genes", F.explode(per_x).alias("r"))
     return wide.select("class_id", "genes", F.col("r.x").alias("x"), F.posexplode("r.v").alias("j", "v")).select(
         "class_id", "x", (F.col("x") + F.col("j") + 1).alias("y"), (F.col("v") / F.col("genes")).alias("value")
@@ -175,12 +182,23 @@ def difference_model(genes: DataFrame, gene_cells: DataFrame, weights: DataFrame
 
 
 def likelihood_weights(genes: DataFrame, vectors: DataFrame, model: DataFrame, domain: int) -> DataFrame:
-    """(gene_id, weight): each gene's log density in its own class over that of the class mean."""
-    own = bayes_scores(vectors.withColumnRenamed("gene_id", "read_id"), model, genes.select(F.col("gene_id").alias("read_id")), domain)
-    mine = own.join(genes.select(F.col("gene_id").alias("read_id"), "class_id"), ["read_id", "class_id"])
+    """(gene_id, weight): each gene's log density in its own class over that of the class mean.
+
+    A gene meets the words of its own class alone; words that the class lacks
+    have mean 0 and the least variance.
+    """
+    model, own = cut(model), genes.select("gene_id", "class_id").distinct()
+    x, v = F.col("x"), floored(F.col("variance"))
     absent = -0.5 * math.log(2 * math.pi * VARIANCE_FLOOR)
-    best = model.groupBy("class_id").agg((F.sum(-0.5 * F.log(2 * math.pi * floored(F.col("variance")))) + (domain - F.count("*")) * absent).alias("best"))
-    return mine.join(best, "class_id").select(F.col("read_id").alias("gene_id"), (F.col("score") / F.col("best")).alias("weight"))
+    rest = (domain - F.count("*")) * absent
+    at_zero = log_density(F.lit(0.0), F.col("mean"), F.col("variance"))
+    classes = model.groupBy("class_id").agg((F.sum(at_zero) + rest).alias("constant"), (F.sum(-0.5 * F.log(2 * math.pi * v)) + rest).alias("best"))
+    classes = cut(classes)
+    gain = F.when(F.col("mean").isNull(), -x * x / (2 * VARIANCE_FLOOR)).otherwise((2 * x * F.col("mean") - x * x) / (2 * v))
+    met = vectors.select("gene_id", "word", "x").join(own, "gene_id").join(sent(model), ["class_id", "word"], "left")
+    gains = met.groupBy("gene_id", "class_id").agg(F.sum(gain).alias("gain"))
+    scored = own.join(gains, ["gene_id", "class_id"], "left").join(sent(classes), "class_id")
+    return scored.select("gene_id", ((F.col("constant") + F.coalesce("gain", F.lit(0.0))) / F.col("best")).alias("weight"))
 
 
 def difference_scores(read_cells: DataFrame, model: DataFrame) -> DataFrame:

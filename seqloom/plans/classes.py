@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import mixture, models, votes, words
+from ..operators.loops import cut
 from . import views as V
 
 BASES_4 = S.NUCLEOTIDES
@@ -28,10 +29,11 @@ def nb_classify(spark, d):
     return votes.top_class(nb_score(spark, d), "score")
 
 
-def gene_model(spark, d):
-    """Word model of the genes of each class, two letters a word."""
+def gene_model(spark, d, once=False):
+    """Word model of the genes of each class, two letters a word; ``once`` counts the words for all that reads them."""
     rows = V.genes(spark, d)
     freq = words.word_frequencies(rows, ["gene_id"], 1)
+    freq = cut(freq) if once else freq
     return rows.select("gene_id", "class_id"), freq, models.bayes_model(rows.select("gene_id", "class_id"), freq)
 
 

@@ -244,7 +244,7 @@ def codelta_similarity(spark, d):
 
 def codelta_weighted(spark, d):
     """Pair differences of classes, each gene weighted by its likelihood in its class."""
-    members, freq, model = gene_model(spark, d)
+    members, freq, model = gene_model(spark, d, once=True)
     weights = models.likelihood_weights(members, freq, model, 16)
     return rounded(models.difference_model(members, models.full_vectors(members, "gene_id", freq, BASES_4, 1), weights), 9, "value")
 
