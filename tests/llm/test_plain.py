@@ -266,3 +266,19 @@ def test_quality_of_random_strings(spark):
     found = {r.doc_id: r.spans for r in secrets.find_secrets(df, keep=["doc_id"]).collect()}
     recall, precision = quality(found, places, ["random"])
     assert recall > 0.9 and precision > 0.95
+
+
+def test_secret_scan_makes_one_text_at_a_time_a_string(spark, capsys):
+    """A pandas scan held all texts of a batch as strings, which made a worker's memory follow the size of texts."""
+    from pyspark.util import PythonEvalType
+
+    texts = [None, "", "naïve token = 'abcdef0123' " * 3, "é" * 50 + " AKIA" + "Z" * 16]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.find_secrets(df, keep=["doc_id"], train_rows=4)
+    found.explain()
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_UDF}\n" in capsys.readouterr().out
+    rows = {r.doc_id: r for r in found.collect()}
+    for i, text in enumerate(texts):
+        want = secrets.base_spans(text or "")
+        assert [(s.start, s.end, s.kind) for s in rows[i].found if s.kind != "random"] == want
+        assert (rows[i].n_assign, rows[i].n_access) == (sum(s[2] == "assign" for s in want), sum(s[2] == "access" for s in want))
