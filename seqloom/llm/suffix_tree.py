@@ -11,10 +11,11 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, in_fold, quoted, read, stored
+from .common import carried, in_fold, quoted, read, slices, stored
 
 #: Contexts have up to DEPTH symbols: with the symbol that follows they fill two 64-bit keys.
 DEPTH = 15
@@ -66,6 +67,57 @@ def joints(words: list[bytes], before: bytes) -> list[bytes]:
     return list(map(add, map(TAILS.__getitem__, [before, *words[:-1]]), map(HEADS.__getitem__, words)))
 
 
+@dataclass
+class Part:
+    """Some texts of a batch, or a piece of one, as numbers of their distinct words and joints, in order; a text's end is a word."""
+
+    low: int
+    high: int
+    text: np.ndarray
+    words: list[bytes]
+    word: np.ndarray
+    joints: list[bytes]
+    joint: np.ndarray
+
+    @classmethod
+    def of(cls, low: int, high: int, flat: pa.Array, offsets: np.ndarray, before: bytes, ended: bool, joined: bool) -> Part:
+        """Of the words of all texts and the offsets of these; ``before`` is the word that precedes the first text's words."""
+        found = flat.dictionary_encode()
+        words = [*found.dictionary.cast(pa.binary()).to_pylist(), END_WORD]
+        count, end = np.diff(offsets), len(words) - 1
+        text = np.repeat(np.arange(high - low), count + ended)
+        word = np.full(len(text), end)
+        word[np.arange(len(flat)) + ended * np.repeat(np.arange(high - low), count)] = found.indices.to_numpy()
+        if not joined:
+            return cls(low, high, text, words, word, [], word[:0])
+        tails = pa.array([w[-TAIL:] + b" " for w in [*words, before]], pa.binary()).dictionary_encode()
+        heads = pa.array([(w + b" ")[:HEAD] if w else b"\n" for w in words], pa.binary()).dictionary_encode()
+        last = np.empty_like(word)
+        last[1:], last[np.flatnonzero(np.diff(text, prepend=-1))] = word[:-1], end + 1
+        many = len(heads.dictionary)
+        pairs = pa.array(tails.indices.to_numpy()[last].astype(np.int64) * many + heads.indices.to_numpy()[word]).dictionary_encode()
+        t, h = np.divmod(pairs.dictionary.to_numpy(), many)
+        both = map(add, tails.dictionary.take(pa.array(t)).to_pylist(), heads.dictionary.take(pa.array(h)).to_pylist())
+        return cls(low, high, text, words, word, list(both), pairs.indices.to_numpy())
+
+
+def parts(texts: pa.Array, joined: bool = True, most: int = 1 << 22) -> Iterator[Part]:
+    """All texts of a string array, about ``most`` bytes at a time; a longer text is several parts in a row."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for low, high in slices(np.concatenate([[0], np.cumsum(size)]), most):
+        if size[low] > most:
+            before = b""
+            for words in tokens(texts[low].as_py().encode(), most):
+                yield Part.of(low, high, pa.array(words, pa.binary()), np.array([0, len(words)]), before, False, joined)
+                before = words[-1] if words else before
+            continue
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(low, high - low), "")))
+        flat, offsets = lists.flatten(), lists.offsets.to_numpy()
+        some = pc.greater(pc.binary_length(flat), 0)
+        kept = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+        yield Part.of(low, high, flat.filter(some), kept[offsets - offsets[0]], b"", True, joined)
+
+
 def keys_of(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of every symbol that the units score: the unit's number, the length of its context, and the key.
 
@@ -241,6 +293,72 @@ def branch(tree: Tree, high: np.ndarray, low: np.ndarray, n: np.ndarray, nats: f
     return p
 
 
+def gained(table: DataFrame, symbols: int, nats: float) -> DataFrame:
+    """(unit, n, seen, gain): log10 probability of each unit (unit, n, seen, id) of ``symbols`` bytes in all, by the suffix tree of all."""
+    spark = table.sparkSession
+    # parts grow with the words, so what one part holds does not
+    many = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), symbols >> 20)
+
+    def chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= most:
+                yield pa.Table.from_batches(held)
+                held = []
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            of, _, high, low = keys_of(chunk["unit"].to_pylist())
+            k, n = summed(short_keys(high, low), chunk["n"].to_numpy()[of])
+            yield pa.RecordBatch.from_pydict({"k": k.view(np.int64), "n": n})
+
+    counts = table.where("n > 0").select("unit", "n").mapInArrow(shortest, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    short = spark.sparkContext.broadcast(Tree.grow(counts["k"].to_numpy(np.uint64), counts["n"].to_numpy(np.int64), nats))
+
+    def first_gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each unit, from its symbols whose contexts are shorter than MEET."""
+        for chunk in chunks(batches):
+            of, depth, high, low = keys_of(chunk["unit"].to_pylist())
+            near = depth < MEET
+            gain = np.log10(short.value.probability(short_keys(high[near], low[near])))
+            yield pa.RecordBatch.from_pydict({"id": chunk["id"].combine_chunks(), "gain": np.bincount(of[near], gain, len(chunk))})
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Symbols with longer contexts, to the parts of these."""
+        for chunk in chunks(batches):
+            of, depth, high, low = keys_of(chunk["unit"].to_pylist())
+            n, ids = chunk["n"].to_numpy(), chunk["id"].to_numpy()
+            far = depth >= MEET
+            high, low, of = high[far], low[far], of[far]
+            part = (((high >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(many)).astype(np.int32)
+            order = np.lexsort((low, high, part))
+            first = runs(part[order])
+            for a, b in zip(first, np.append(first[1:], len(order))):
+                at = order[a:b]
+                data = squeezed(high[at], low[at], ids[of[at]].astype(np.int64), n[of[at]].astype(np.int64))
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part[at[0]]], pa.int32()), "data": pa.array([data], pa.binary())})
+
+    def settle(group: pa.Table) -> pa.Table:
+        high, low, ids, n = (np.concatenate(c) for c in zip(*(expanded(x) for x in group["data"].to_pylist())))
+        order = np.lexsort((low, high))
+        high, low, ids, n = high[order], low[order], ids[order], n[order].astype(np.int64)
+        new = np.ones(len(high), bool)
+        new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        first = np.flatnonzero(new)
+        p = branch(short.value, high[first], low[first], np.add.reduceat(n, first), nats)
+        ids, gain = summed(ids, np.log10(p)[np.cumsum(new) - 1])
+        return pa.table({"id": ids.view(np.int64), "gain": gain})
+
+    numbered = table.select("unit", "n", "id")
+    near = numbered.mapInArrow(first_gains, "id long, gain double")
+    deep = numbered.mapInArrow(dealt, "part int, data binary").groupBy("part").applyInArrow(settle, "id long, gain double")
+    gains = near.unionByName(deep).groupBy("id").agg(F.sum("gain").alias("gain"))
+    return stored(table.join(gains, "id").select("unit", "n", "seen", "gain"))
+
+
 def score_texts(
     docs: DataFrame,
     learn: Column | None = None,
@@ -249,6 +367,7 @@ def score_texts(
     keep: Iterable[str] | None = None,
     divergence: float = 8.0,
     head_words: int = 1 << 18,
+    tree: bool = True,
 ) -> DataFrame:
     """log10 probability of every whole text, by a suffix tree over bytes and by word frequencies.
 
@@ -272,17 +391,18 @@ def score_texts(
 
     Returns ``keep`` (all input columns by default), n_tokens, n_known,
     train_tokens, base_score, score, which replace input columns of these
-    names. A null text counts as empty: its only token is the end. Nothing to
-    learn from: no token is known and the tree is a flat root. Repeated rows
+    names; without ``tree`` no joint is counted and score is null. A null text
+    counts as empty: its only token is the end. Nothing to learn from: no token is known and the tree is a flat root. Repeated rows
     count each time; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     own = carried(docs, keep, OUT)
     learned = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    marks = (WORD_UNIT, JOINT_UNIT) if tree else (WORD_UNIT,)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words and joints with their occurrences in training texts and in all."""
-        kinds = {WORD_UNIT: (Counter(), Counter()), JOINT_UNIT: (Counter(), Counter())}
+        kinds = {mark: (Counter(), Counter()) for mark in marks}
 
         def told() -> Iterator[pa.RecordBatch]:
             for mark, (others, training) in kinds.items():
@@ -294,13 +414,16 @@ def score_texts(
                 training.clear()
 
         for batch in batches:
-            for raw, known in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist()):
-                before = b""
-                for words in tokens(raw):
-                    kinds[WORD_UNIT][known].update(words)
-                    kinds[JOINT_UNIT][known].update(joints(words, before))
-                    before = words[-1] if words else before
-                if sum(map(len, [*kinds[WORD_UNIT], *kinds[JOINT_UNIT]])) > 1 << 20:
+            known = batch.column(1).to_numpy(zero_copy_only=False)
+            for part in parts(batch.column(0), tree):
+                trains = known[part.low + part.text]
+                for mark, units, at in zip(marks, (part.words, part.joints), (part.word, part.joint)):
+                    for counter, some in zip(kinds[mark], (at[~trains], at[trains])):
+                        n = np.bincount(some, minlength=len(units))
+                        there = np.flatnonzero(n)
+                        for i, k in zip(there.tolist(), n[there].tolist()):
+                            counter[units[i]] += k
+                if sum(len(c) for both in kinds.values() for c in both) > 1 << 20:
                     yield from told()
         yield from told()
 
@@ -310,71 +433,11 @@ def score_texts(
     is_word = F.substring("unit", 1, 1) == F.lit(WORD_UNIT)
     sums = [F.sum(F.when(is_word, F.col("n"))), F.sum(F.when(is_word, F.signum("n"))), F.sum(F.length("unit"))]
     total, distinct, symbols = (int(x) for x in table.agg(*[F.coalesce(c, F.lit(0)) for c in sums]).first())
-    # parts grow with the words, so what one part holds does not
-    many = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), symbols >> 20)
-
-    def chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.Table]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) >= most:
-                yield pa.Table.from_batches(held)
-                held = []
-        if held:
-            yield pa.Table.from_batches(held)
-
-    def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
-            of, _, high, low = keys_of(chunk["unit"].to_pylist())
-            k, n = summed(short_keys(high, low), chunk["n"].to_numpy()[of])
-            yield pa.RecordBatch.from_pydict({"k": k.view(np.int64), "n": n})
-
-    counts = table.where("n > 0").select("unit", "n").mapInArrow(shortest, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    short = spark.sparkContext.broadcast(Tree.grow(counts["k"].to_numpy(np.uint64), counts["n"].to_numpy(np.int64), divergence))
-
-    def first_gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each unit, from its symbols whose contexts are shorter than MEET."""
-        for chunk in chunks(batches):
-            of, depth, high, low = keys_of(chunk["unit"].to_pylist())
-            near = depth < MEET
-            gain = np.log10(short.value.probability(short_keys(high[near], low[near])))
-            yield pa.RecordBatch.from_pydict({"id": chunk["id"].combine_chunks(), "gain": np.bincount(of[near], gain, len(chunk))})
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Symbols with longer contexts, to the parts of these."""
-        for chunk in chunks(batches):
-            of, depth, high, low = keys_of(chunk["unit"].to_pylist())
-            n, ids = chunk["n"].to_numpy(), chunk["id"].to_numpy()
-            far = depth >= MEET
-            high, low, of = high[far], low[far], of[far]
-            part = (((high >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(many)).astype(np.int32)
-            order = np.lexsort((low, high, part))
-            first = runs(part[order])
-            for a, b in zip(first, np.append(first[1:], len(order))):
-                at = order[a:b]
-                data = squeezed(high[at], low[at], ids[of[at]].astype(np.int64), n[of[at]].astype(np.int64))
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part[at[0]]], pa.int32()), "data": pa.array([data], pa.binary())})
-
-    def settle(group: pa.Table) -> pa.Table:
-        high, low, ids, n = (np.concatenate(c) for c in zip(*(expanded(x) for x in group["data"].to_pylist())))
-        order = np.lexsort((low, high))
-        high, low, ids, n = high[order], low[order], ids[order], n[order].astype(np.int64)
-        new = np.ones(len(high), bool)
-        new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-        first = np.flatnonzero(new)
-        p = branch(short.value, high[first], low[first], np.add.reduceat(n, first), divergence)
-        ids, gain = summed(ids, np.log10(p)[np.cumsum(new) - 1])
-        return pa.table({"id": ids.view(np.int64), "gain": gain})
-
-    numbered = table.select("unit", "n", "id")
-    near = numbered.mapInArrow(first_gains, "id long, gain double")
-    deep = numbered.mapInArrow(dealt, "part int, data binary").groupBy("part").applyInArrow(settle, "id long, gain double")
-    gains = near.unionByName(deep).groupBy("id").agg(F.sum("gain").alias("gain"))
-    merged = stored(table.join(gains, "id").select("unit", "n", "seen", "gain"))
+    merged = gained(table, symbols, divergence) if tree else table.withColumn("gain", F.lit(0.0))
 
     norm = float(np.log10(total + 0.1 * (distinct + 1)))
     heads, whole = [], True
-    for mark in (WORD_UNIT, JOINT_UNIT):
+    for mark in marks:
         own_kind = merged.where(F.substring("unit", 1, 1) == F.lit(mark))
         least = frequent(own_kind, head_words)
         whole = whole and least is None
@@ -384,30 +447,37 @@ def score_texts(
     head = spark.sparkContext.broadcast(heads)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (word_at, n_of, base_of, gain_of), (joint_at, _, _, joint_gain) = head.value
-
-        def found(units: list[bytes], places: dict, mark: bytes, rest: Counter) -> np.ndarray:
-            at = np.fromiter(map(places.get, units, repeat(-1)), np.int64, len(units))
-            rest.update(mark + units[i] for i in np.flatnonzero(at < 0).tolist())
-            return at[at >= 0]
-
         for batch in batches:
-            sums: list[list[float]] = []
-            rare: list[list[dict]] = []
-            for raw in batch.column(batch.schema.get_field_index("scored")).cast(pa.large_binary()).to_pylist():
-                own, rest, before = [0, 0, 0.0, 0.0], Counter(), b""
-                for words in tokens(raw):
-                    i = found(words, word_at, WORD_UNIT, rest)
-                    j = found(joints(words, before), joint_at, JOINT_UNIT, rest)
-                    more = len(words), int((n_of[i] > 0).sum()), float(base_of[i].sum()), float(gain_of[i].sum() + joint_gain[j].sum())
-                    own = [a + b for a, b in zip(own, more)]
-                    before = words[-1] if words else before
-                sums.append(own)
-                rare.append([{"unit": u, "times": k} for u, k in rest.items()])
-            kept = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if f.name != "scored"]
-            n_tokens, n_known, base, score = zip(*sums) if sums else ((), (), (), ())
-            new = [("n_tokens", pa.array(n_tokens, pa.int64())), ("n_known", pa.array(n_known, pa.int64())), ("base", pa.array(base, pa.float64())), ("score", pa.array(score, pa.float64()))]
-            new.append(("rare", pa.array(rare, pa.list_(pa.struct({"unit": pa.binary(), "times": pa.int64()})))))
+            scored_at = batch.schema.get_field_index("scored")
+            kept = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if i != scored_at]
+            sums: list[tuple[int, np.ndarray]] = []
+            rare: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+            for part in parts(batch.column(scored_at), tree):
+                size = part.high - part.low
+                own = np.zeros((4, size))
+                own[0] = np.bincount(part.text, minlength=size)
+                for mark, units, each, (places, n_of, base_of, gain_of) in zip(marks, (part.words, part.joints), (part.word, part.joint), head.value):
+                    at = np.fromiter(map(places.get, units, repeat(-1)), np.int64, len(units))[each]
+                    known = at >= 0
+                    text, at = part.text[known], at[known]
+                    own[3] += np.bincount(text, gain_of[at], size)
+                    if mark == WORD_UNIT:
+                        own[1] = np.bincount(text, n_of[at] > 0, size)
+                        own[2] = np.bincount(text, base_of[at], size)
+                    pair, times = np.unique(part.text[~known] * len(units) + each[~known], return_counts=True)
+                    rare.append((part.low + pair // len(units), pa.array([mark + units[i] for i in (pair % len(units)).tolist()], pa.binary()), times))
+                if sums and sums[-1][0] == part.low:  # one more piece of a long text
+                    sums[-1][1][...] += own
+                else:
+                    sums.append((part.low, own))
+            n_tokens, n_known, base, score = np.concatenate([own for _, own in sums], axis=1) if sums else np.zeros((4, 0))
+            text = np.concatenate([t for t, _, _ in rare]) if rare else np.zeros(0, np.int64)
+            order = np.argsort(text, kind="stable")
+            unit = pa.concat_arrays([u for _, u, _ in rare]).take(pa.array(order)) if rare else pa.array([], pa.binary())
+            times = np.concatenate([k for _, _, k in rare])[order] if rare else np.zeros(0, np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))]).astype(np.int32)
+            rows = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([unit, pa.array(times, pa.int64())], names=["unit", "times"]))
+            new = [("n_tokens", pa.array(n_tokens.astype(np.int64))), ("n_known", pa.array(n_known.astype(np.int64))), ("base", pa.array(base)), ("score", pa.array(score)), ("rare", rows)]
             yield pa.RecordBatch.from_pydict(dict(kept + new))
 
     base = docs.select(*[quoted(c).alias(f"in_{c}") for c in own], quoted(text).cast("string").alias("scored"), F.monotonically_increasing_id().alias("row_"))
@@ -415,8 +485,9 @@ def score_texts(
     scored = base.mapInArrow(measure, f"{kept}, n_tokens long, n_known long, base double, score double, rare array<struct<unit: binary, times: long>>")
     names = [quoted(f"in_{c}").alias(c) for c in own]
     train = F.lit(total).cast("long").alias("train_tokens")
+    told = lambda score: (score if tree else F.lit(None).cast("double")).alias("score")
     if whole:
-        return scored.select(*names, "n_tokens", "n_known", train, F.col("base").alias("base_score"), "score")
+        return scored.select(*names, "n_tokens", "n_known", train, F.col("base").alias("base_score"), told(F.col("score")))
     scored = stored(scored)
     asked = scored.select("row_", F.explode("rare").alias("x")).select("row_", "x.unit", "x.times")
     met = asked.join(merged.select("unit", "n", "gain"), "unit")
@@ -430,7 +501,7 @@ def score_texts(
         (F.col("n_known") + F.coalesce("met", F.lit(0))).alias("n_known"),
         train,
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("gained", F.lit(0.0))).alias("score"),
+        told(F.col("score") + F.coalesce("gained", F.lit(0.0))),
     )
 
 
@@ -446,14 +517,14 @@ def frequent(units: DataFrame, most: int) -> int | None:
     return None
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(spark: SparkSession, sf_dir: str, tree: bool = True) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", in_fold(F.col("doc_id"), 10, 0))
-    return score_texts(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
+    return score_texts(docs, ~F.col("held_out"), keep=["doc_id", "held_out"], tree=tree)
 
 
 def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The unigram baseline alone, for the comparison with SQL."""
-    found = query(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+    """The unigram baseline alone, without the tree, for the comparison with SQL."""
+    found = query(spark, sf_dir, tree=False).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
     return found.withColumn("base_score", F.round("base_score", 6))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import anchors, common, decontaminate, induced, langid, pii, repeats, secrets, toxicity
+from seqloom.llm import anchors, common, decontaminate, induced, langid, pii, repeats, secrets, suffix_tree, toxicity
 
 # language identification
 
@@ -282,3 +282,31 @@ def test_secret_scan_makes_one_text_at_a_time_a_string(spark, capsys):
         want = secrets.base_spans(text or "")
         assert [(s.start, s.end, s.kind) for s in rows[i].found if s.kind != "random"] == want
         assert (rows[i].n_assign, rows[i].n_access) == (sum(s[2] == "assign" for s in want), sum(s[2] == "access" for s in want))
+
+
+@pytest.mark.parametrize("most", [7, 1 << 22])
+def test_words_and_joints_of_parts(most):
+    """Numbered words and joints are those of whole texts, whatever the parts; all kinds of white space, no words, other letters."""
+    texts = ["Ab ab\tAB  x\x0b", None, "", "  ", "ÉTÉ été 日本 a b \x1cq", "one", "a\nlonger text of\r\nseveral words, a LONGER text" * 2]
+    got: dict[int, tuple[list, list]] = {i: ([], []) for i in range(len(texts))}
+    for part in suffix_tree.parts(pa.array(["left out", *texts], pa.string())[1:], True, most):
+        for t, w, j in zip(part.text.tolist(), part.word.tolist(), part.joint.tolist()):
+            got[part.low + t][0].append(part.words[w])
+            got[part.low + t][1].append(part.joints[j])
+    for i, text in enumerate(texts):
+        words = [*(text or "").encode().lower().split(), b""]
+        assert got[i] == (words, suffix_tree.joints(words, b""))
+
+
+def test_unigrams_need_no_tree(spark, monkeypatch):
+    """The baseline alone counts words; its figures are those beside the tree."""
+    df = spark.createDataFrame([(i, " ".join(f"w{j % (i + 2)}" for j in range(i))) for i in range(12)] + [(99, None)], "doc_id long, text string")
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score"]
+    for head in (2, 1 << 18):
+        want = suffix_tree.score_texts(df, F.col("doc_id") < 6, keep=["doc_id"], head_words=head).select(*names).collect()
+        with monkeypatch.context() as m:
+            m.setattr(suffix_tree, "gained", None)
+            got = suffix_tree.score_texts(df, F.col("doc_id") < 6, keep=["doc_id"], head_words=head, tree=False).select(*names).collect()
+        assert len(got) == 13
+        for a, b in zip(sorted(got), sorted(want)):
+            assert a[:4] == b[:4] and a.base_score == pytest.approx(b.base_score)
