@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from functools import cached_property
 from operator import add
 
 import numpy as np
@@ -67,38 +67,102 @@ def joints(words: list[bytes], before: bytes) -> list[bytes]:
     return list(map(add, map(TAILS.__getitem__, [before, *words[:-1]]), map(HEADS.__getitem__, words)))
 
 
+#: An end of a word is three bytes and, above them, their number; a joint's number is those of the two ends beside its gap.
+END_BITS = 26
+
+
+def raw_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a binary array without nulls, and where each value begins and its length."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32, len(values) + 1, 4 * values.offset)
+    data = values.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
+
+
+def packed(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Numbers of strings of at most 3 bytes."""
+    out = size << 24
+    for k in range(3):
+        there = np.flatnonzero(size > k)
+        out[there] |= raw[first[there] + k].astype(np.int64) << (8 * k)
+    return out
+
+
+def ends_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the last TAIL bytes of words, and of their first HEAD symbols."""
+    raw, first, size = raw_of(words)
+    n = np.minimum(size, TAIL)
+    tails = packed(raw, first + size - n, n)
+    n = np.minimum(size, HEAD)
+    heads = packed(raw, first, n)
+    gap = np.flatnonzero(n < HEAD)
+    heads[gap] += (1 << 24) + (np.where(n[gap] > 0, GAP, END) << (8 * n[gap]))
+    return tails, heads
+
+
+def numbers_of(joints: pa.Array) -> np.ndarray:
+    """Numbers of joints that are spelled out."""
+    raw, first, size = raw_of(joints)
+    gap = pc.find_substring(joints, b" ").to_numpy().astype(np.int64)
+    return packed(raw, first, gap) << END_BITS | packed(raw, first + gap + 1, size - gap - 1)
+
+
+def spelled(joints: np.ndarray, mark: bytes = b"") -> pa.Array:
+    """The bytes of joints by number, after a mark."""
+    rows = np.empty((len(joints), len(mark) + 7), np.uint8)
+    there = np.ones(rows.shape, bool)
+    rows[:, : len(mark)], rows[:, len(mark) + 3] = np.frombuffer(mark, np.uint8), GAP
+    for end, at in ((joints >> END_BITS, len(mark)), (joints & ((1 << END_BITS) - 1), len(mark) + 4)):
+        for k in range(3):
+            rows[:, at + k] = (end >> (8 * k)) & 255
+            there[:, at + k] = end >> 24 > k
+    offsets = np.concatenate([[0], np.cumsum(there.sum(1))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(joints), [None, pa.py_buffer(offsets), pa.py_buffer(rows[there])])
+
+
+def marked(words: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(pa.scalar(WORD_UNIT), words, pa.scalar(b""))
+
+
+def unmarked(units: pa.Array) -> pa.Array:
+    return pc.binary_replace_slice(units, 0, 1, b"")
+
+
 @dataclass
 class Part:
-    """Some texts of a batch, or a piece of one, as numbers of their distinct words and joints, in order; a text's end is a word."""
+    """Some texts of a batch, or a piece of one, as places of their distinct words and joints (by number), in order; a text's end is a word."""
 
     low: int
     high: int
     text: np.ndarray
-    words: list[bytes]
+    word_units: pa.Array
     word: np.ndarray
-    joints: list[bytes]
+    joint_units: np.ndarray
     joint: np.ndarray
 
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.word_units.to_pylist()
+
+    @cached_property
+    def joints(self) -> list[bytes]:
+        return spelled(self.joint_units).to_pylist()
+
     @classmethod
     def of(cls, low: int, high: int, flat: pa.Array, offsets: np.ndarray, before: bytes, ended: bool, joined: bool) -> Part:
         """Of the words of all texts and the offsets of these; ``before`` is the word that precedes the first text's words."""
         found = flat.dictionary_encode()
-        words = [*found.dictionary.cast(pa.binary()).to_pylist(), END_WORD]
+        words = pa.concat_arrays([found.dictionary.cast(pa.binary()), pa.array([END_WORD], pa.binary())])
         count, end = np.diff(offsets), len(words) - 1
-        text = np.repeat(np.arange(high - low), count + ended)
-        word = np.full(len(text), end)
+        text = np.repeat(np.arange(high - low, dtype=np.int32), count + ended)
+        word = np.full(len(text), end, np.int32)
         word[np.arange(len(flat)) + ended * np.repeat(np.arange(high - low), count)] = found.indices.to_numpy()
         if not joined:
-            return cls(low, high, text, words, word, [], word[:0])
-        tails = pa.array([w[-TAIL:] + b" " for w in [*words, before]], pa.binary()).dictionary_encode()
-        heads = pa.array([(w + b" ")[:HEAD] if w else b"\n" for w in words], pa.binary()).dictionary_encode()
+            return cls(low, high, text, words, word, np.zeros(0, np.int64), word[:0])
+        tails, heads = ends_of(pa.concat_arrays([words, pa.array([before], pa.binary())]))
         last = np.empty_like(word)
         last[1:], last[np.flatnonzero(np.diff(text, prepend=-1))] = word[:-1], end + 1
-        many = len(heads.dictionary)
-        pairs = pa.array(tails.indices.to_numpy()[last].astype(np.int64) * many + heads.indices.to_numpy()[word]).dictionary_encode()
-        t, h = np.divmod(pairs.dictionary.to_numpy(), many)
-        both = map(add, tails.dictionary.take(pa.array(t)).to_pylist(), heads.dictionary.take(pa.array(h)).to_pylist())
-        return cls(low, high, text, words, word, list(both), pairs.indices.to_numpy())
+        pairs = pa.array(tails[last] << END_BITS | heads[word]).dictionary_encode()
+        return cls(low, high, text, words, word, pairs.dictionary.to_numpy(), pairs.indices.to_numpy())
 
 
 def parts(texts: pa.Array, joined: bool = True, most: int = 1 << 22) -> Iterator[Part]:
@@ -118,26 +182,27 @@ def parts(texts: pa.Array, joined: bool = True, most: int = 1 << 22) -> Iterator
         yield Part.of(low, high, flat.filter(some), kept[offsets - offsets[0]], b"", True, joined)
 
 
-def keys_of(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def keys_of(units: list[bytes] | pa.Array, reach: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of every symbol that the units score: the unit's number, the length of its context, and the key.
 
     A key is the context, latest byte first, and then the symbol, in two numbers
     of 8 bytes; numbers in order are contexts in order. Before a unit stands
     START, and before that nothing (zeros). Words score what their joint does
-    not: symbols from HEAD on.
+    not: symbols from HEAD on. Keys hold the last ``reach`` symbols of contexts.
     """
-    words = [u[:1] == WORD_UNIT for u in units]
-    parts = [u[1:] + b" " if w else u[1:] for u, w in zip(units, words)]
-    raw = np.frombuffer(b"".join(parts), np.uint8)
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    scored_from = np.fromiter((HEAD if w else u.index(b" ") + 1 for u, w in zip(parts, words)), np.int64, len(parts))
+    units = pa.array(units, pa.binary()) if isinstance(units, list) else units.cast(pa.binary())
+    is_word = pc.equal(pc.binary_slice(units, 0, 1), pa.scalar(WORD_UNIT))
+    bodies = pc.binary_join_element_wise(unmarked(units), pc.if_else(is_word, pa.scalar(b" "), pa.scalar(b"")), pa.scalar(b""))
+    raw, first, size = raw_of(bodies)
+    scored_from = np.where(is_word.to_numpy(zero_copy_only=False), HEAD, pc.find_substring(bodies, b" ").to_numpy() + 1)
+    raw = raw[first[0] : first[-1] + size[-1]] if len(size) else raw[:0]
     first = np.cumsum(size) - size
-    of = np.repeat(np.arange(len(parts)), size)
+    of = np.repeat(np.arange(len(units)), size)
     place = np.arange(len(raw)) - first[of]
     at = np.flatnonzero(place >= scored_from[of])
     of, place = of[at], place[at]
     high, low = np.zeros(len(at), np.uint64), raw[at].astype(np.uint64)
-    for back in range(1, DEPTH + 1):
+    for back in range(1, reach + 1):
         byte = np.zeros(len(at), np.uint64)
         byte[place == back - 1] = START
         there = np.flatnonzero(place >= back)
@@ -311,17 +376,17 @@ def gained(table: DataFrame, symbols: int, nats: float) -> DataFrame:
 
     def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            of, _, high, low = keys_of(chunk["unit"].to_pylist())
+            of, _, high, low = keys_of(chunk["unit"].combine_chunks(), MEET - 1)
             k, n = summed(short_keys(high, low), chunk["n"].to_numpy()[of])
             yield pa.RecordBatch.from_pydict({"k": k.view(np.int64), "n": n})
 
-    counts = table.where("n > 0").select("unit", "n").mapInArrow(shortest, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    short = spark.sparkContext.broadcast(Tree.grow(counts["k"].to_numpy(np.uint64), counts["n"].to_numpy(np.int64), nats))
+    counts = table.where("n > 0").select("unit", "n").mapInArrow(shortest, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    short = spark.sparkContext.broadcast(Tree.grow(counts["k"].to_numpy().view(np.uint64), counts["n"].to_numpy(), nats))
 
     def first_gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each unit, from its symbols whose contexts are shorter than MEET."""
         for chunk in chunks(batches):
-            of, depth, high, low = keys_of(chunk["unit"].to_pylist())
+            of, depth, high, low = keys_of(chunk["unit"].combine_chunks(), MEET - 1)
             near = depth < MEET
             gain = np.log10(short.value.probability(short_keys(high[near], low[near])))
             yield pa.RecordBatch.from_pydict({"id": chunk["id"].combine_chunks(), "gain": np.bincount(of[near], gain, len(chunk))})
@@ -329,7 +394,7 @@ def gained(table: DataFrame, symbols: int, nats: float) -> DataFrame:
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Symbols with longer contexts, to the parts of these."""
         for chunk in chunks(batches):
-            of, depth, high, low = keys_of(chunk["unit"].to_pylist())
+            of, depth, high, low = keys_of(chunk["unit"].combine_chunks())
             n, ids = chunk["n"].to_numpy(), chunk["id"].to_numpy()
             far = depth >= MEET
             high, low, of = high[far], low[far], of[far]
@@ -402,30 +467,37 @@ def score_texts(
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words and joints with their occurrences in training texts and in all."""
-        kinds = {mark: (Counter(), Counter()) for mark in marks}
-
-        def told() -> Iterator[pa.RecordBatch]:
-            for mark, (others, training) in kinds.items():
-                units = list(others | training)
-                n = [training[u] for u in units]
-                seen = [others[u] + c for u, c in zip(units, n)]
-                yield pa.RecordBatch.from_pydict({"unit": pa.array([mark + u for u in units], pa.binary()), "n": pa.array(n, pa.int64()), "seen": pa.array(seen, pa.int64())})
-                others.clear()
-                training.clear()
+        held: dict[bytes, list[pa.Table]] = {mark: [] for mark in marks}
+
+        def load() -> int:
+            """Rows held, or their bytes where words are long."""
+            return max(sum(map(len, itertools.chain(*held.values()))), sum(t.nbytes for t in itertools.chain(*held.values())) >> 6)
+
+        def told(most: int) -> Iterator[pa.RecordBatch]:
+            """Sums of what is held, once that is more than ``most``; they leave if they are more than half as many."""
+            if load() <= most:
+                return
+            for mark, tables in held.items():
+                if len(tables) > 1:
+                    sums = pa.concat_tables(tables).group_by("unit", use_threads=False).aggregate([("n", "sum"), ("seen", "sum")])
+                    tables[:] = [sums.select(["unit", "n_sum", "seen_sum"]).rename_columns(["unit", "n", "seen"])]
+            if load() > most // 2:
+                for mark, tables in held.items():
+                    for batch in itertools.chain(*(t.to_batches(1 << 16) for t in tables)):
+                        unit = marked(batch["unit"]) if mark == WORD_UNIT else spelled(batch["unit"].to_numpy(), mark)
+                        yield pa.RecordBatch.from_pydict({"unit": unit, "n": batch["n"], "seen": batch["seen"]})
+                    tables.clear()
 
         for batch in batches:
             known = batch.column(1).to_numpy(zero_copy_only=False)
             for part in parts(batch.column(0), tree):
                 trains = known[part.low + part.text]
-                for mark, units, at in zip(marks, (part.words, part.joints), (part.word, part.joint)):
-                    for counter, some in zip(kinds[mark], (at[~trains], at[trains])):
-                        n = np.bincount(some, minlength=len(units))
-                        there = np.flatnonzero(n)
-                        for i, k in zip(there.tolist(), n[there].tolist()):
-                            counter[units[i]] += k
-                if sum(len(c) for both in kinds.values() for c in both) > 1 << 20:
-                    yield from told()
-        yield from told()
+                for mark, units, at in zip(marks, (part.word_units, part.joint_units), (part.word, part.joint)):
+                    seen, n = np.bincount(at, minlength=len(units)), np.bincount(at[trains], minlength=len(units))
+                    here = pa.table({"unit": units, "n": n, "seen": seen})
+                    held[mark].append(here if seen.all() else here.filter(pa.array(seen > 0)))
+                yield from told(1 << 21)
+        yield from told(0)
 
     found = docs.select(quoted(text).cast("string").alias("t"), learned.alias("l")).mapInArrow(tally, "unit binary, n long, seen long")
     found = found.groupBy("unit").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
@@ -441,9 +513,9 @@ def score_texts(
         own_kind = merged.where(F.substring("unit", 1, 1) == F.lit(mark))
         least = frequent(own_kind, head_words)
         whole = whole and least is None
-        top = (own_kind if least is None else own_kind.where(F.col("seen") >= least)).select("unit", "n", "gain").toPandas()
-        n = top["n"].to_numpy(np.int64)
-        heads.append(({bytes(u)[1:]: i for i, u in enumerate(top["unit"])}, n, np.log10(n + 0.1) - norm, top["gain"].to_numpy(float)))
+        top = (own_kind if least is None else own_kind.where(F.col("seen") >= least)).select("unit", "n", "gain").toArrow()
+        units, n = unmarked(top["unit"].combine_chunks().cast(pa.binary())), top["n"].to_numpy()
+        heads.append((units if mark == WORD_UNIT else pa.array(numbers_of(units)), n, np.log10(n + 0.1) - norm, top["gain"].to_numpy()))
     head = spark.sparkContext.broadcast(heads)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,16 +528,20 @@ def score_texts(
                 size = part.high - part.low
                 own = np.zeros((4, size))
                 own[0] = np.bincount(part.text, minlength=size)
-                for mark, units, each, (places, n_of, base_of, gain_of) in zip(marks, (part.words, part.joints), (part.word, part.joint), head.value):
-                    at = np.fromiter(map(places.get, units, repeat(-1)), np.int64, len(units))[each]
+                for mark, units, each, (heads, n_of, base_of, gain_of) in zip(marks, (part.word_units, pa.array(part.joint_units)), (part.word, part.joint), head.value):
+                    place = pc.fill_null(pc.index_in(units, heads), -1).to_numpy()
+                    at = place[each]
                     known = at >= 0
                     text, at = part.text[known], at[known]
                     own[3] += np.bincount(text, gain_of[at], size)
                     if mark == WORD_UNIT:
                         own[1] = np.bincount(text, n_of[at] > 0, size)
                         own[2] = np.bincount(text, base_of[at], size)
-                    pair, times = np.unique(part.text[~known] * len(units) + each[~known], return_counts=True)
-                    rare.append((part.low + pair // len(units), pa.array([mark + units[i] for i in (pair % len(units)).tolist()], pa.binary()), times))
+                    pair, times = np.unique(part.text[~known].astype(np.int64) * len(units) + each[~known], return_counts=True)
+                    other, which = np.unique(pair % len(units), return_inverse=True) if len(pair) else (pair, pair)
+                    others = units.take(pa.array(other))
+                    others = marked(others) if mark == WORD_UNIT else spelled(others.to_numpy(), mark)
+                    rare.append((part.low + pair // max(1, len(units)), others.take(pa.array(which)), times))
                 if sums and sums[-1][0] == part.low:  # one more piece of a long text
                     sums[-1][1][...] += own
                 else:

@@ -310,3 +310,29 @@ def test_unigrams_need_no_tree(spark, monkeypatch):
         assert len(got) == 13
         for a, b in zip(sorted(got), sorted(want)):
             assert a[:4] == b[:4] and a.base_score == pytest.approx(b.base_score)
+
+
+def test_joints_by_number():
+    """A joint's number is spelled as the joint: short and long ends, zero bytes, other letters, a text's start and end."""
+    words = [b"", b"a", b"ab", b"abc", b"xabcd", b"\x00", b"\x00\x00", b"a\x00\x00\x00", "日本".encode(), b"\xff\xff\xff"]
+    tails, heads = suffix_tree.ends_of(pa.array(["left out", *words], pa.binary())[1:])
+    pairs = [(i, j) for i in range(len(words)) for j in range(len(words))]
+    numbers = np.array([tails[i] << suffix_tree.END_BITS | heads[j] for i, j in pairs])
+    want = [suffix_tree.joints([words[j]], words[i])[0] for i, j in pairs]
+    assert suffix_tree.spelled(numbers).to_pylist() == want
+    assert suffix_tree.spelled(numbers, b"j").to_pylist() == [b"j" + w for w in want]
+    assert suffix_tree.numbers_of(pa.array(want, pa.binary())).tolist() == numbers.tolist()
+    assert suffix_tree.spelled(numbers[:0]).to_pylist() == [] == suffix_tree.numbers_of(pa.array([], pa.binary())).tolist()
+
+
+@pytest.mark.parametrize("head", [2, 1 << 18])
+def test_units_reach_the_driver_as_columns(spark, monkeypatch, head):
+    """The words and joints that go to every task are columns, no objects of the driver's Python."""
+    sent = []
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(0)), "toPandas", lambda self: pytest.fail("rows become objects of the driver"))
+        m.setattr(type(spark.sparkContext), "broadcast", lambda self, value, f=spark.sparkContext.broadcast: sent.append(value) or f(value))
+        df = spark.createDataFrame([(i, f"a b{i} c{i % 3}") for i in range(9)], "doc_id long, text string")
+        assert all(r.score < 0 for r in suffix_tree.score_texts(df, head_words=head).collect())
+    for units, *figures in sent[-1]:
+        assert isinstance(units, pa.Array) and all(isinstance(x, np.ndarray) for x in figures)
