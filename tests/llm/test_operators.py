@@ -407,6 +407,22 @@ def plain_removal(texts, width):
     return out
 
 
+def test_planted_passages_go_if_they_have_400_bytes(spark):
+    """Passages of over 50 words that two texts share: removed from 400 bytes on, whole; shorter ones and clean texts stay as they are."""
+    word = lambda key, n: "".join(chr(97 + zlib.crc32(f"{key} {i}".encode()) % 26) for i in range(n))
+    text = lambda key, n, size: " ".join(word(f"{key} {i}", size) for i in range(n))
+    passages = {"long": text("p", 52, 8), "exact": text("q", 51, 6) + " " + "z" * 43, "short": text("r", 51, 6)}
+    assert [len(passages[k]) for k in ("long", "exact", "short")] == [467, 400, 356]
+    rows = [(f"{k} {i}", f"{text(f'{k}{i}', 90, 7)}{i}{p}{i}{text(f'{i}{k}', 90, 7)}") for k, p in passages.items() for i in range(2)]
+    rows += [(f"clean {i}", text(f"clean {i}", 150, 7)) for i in range(4)]
+    got = {r.doc_id: r for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for k, t in rows:
+        kind = k.split()[0]
+        gone = passages[kind] if kind in ("long", "exact") else ""
+        assert (got[k].n_removed, got[k].n_spans, got[k].n_bytes) == (len(gone), int(gone != ""), len(t))
+        assert got[k].kept_sha256 == hashlib.sha256(t.replace(gone, "").encode()).hexdigest()
+
+
 @pytest.mark.parametrize("most", [1000, 2])
 def test_repeats(spark, most):
     rng = random.Random(1)
