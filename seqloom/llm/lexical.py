@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, quoted, read, slices, stored, utf8
+from .common import batches_of, checkpointed, quoted, read, slices, stored, utf8
 
 #: Terms of the contract: runs of ASCII letters and digits and of anything beyond ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -22,7 +22,9 @@ INSIDE = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 #: A null doc_id while ids are compared: after all others.
 NO_ID = np.iinfo(np.int64).max
-SHARD = "ids binary, terms array<binary>, at binary, docs binary, impacts binary"
+#: A shard is a row of plain numbers: its terms are their letters, one after the other, and where each begins.
+KINDS = {"ids": np.int64, "letters": np.uint8, "begins": np.int32, "at": np.int64, "docs": np.int32, "impacts": np.int32}
+SHARD = ", ".join(f"{name} binary" for name in KINDS)
 
 
 def term_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,51 +58,77 @@ def postings(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     return coded.dictionary, at, pairs % max(texts, 1), times, sizes
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
 @dataclass
 class Index:
-    """Shards, the number of documents with a term, and the number of all terms with repeats."""
+    """Shards, the number of documents with a term, and the number of all terms with repeats.
 
-    shards: DataFrame
+    ``rows`` are shards in the shared folder, or texts that ``cut`` makes shards
+    of, one after the other, in the task that reads them. ``shard_bytes`` of
+    texts are a shard, and reach a task at once.
+    """
+
+    rows: DataFrame
     documents: int
     terms: int
+    shard_bytes: int
+    cut: Callable[[Batches], Batches] | None = None
 
+    def each(self, run: Callable[[Batches], Batches], schema: str) -> DataFrame:
+        """What ``run`` makes of a task's shards."""
+        cut = self.cut
+        return self.rows.mapInArrow(run if cut is None else lambda batches: run(cut(batches)), schema)
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = 4 << 20) -> Index:
-    """An index of whole texts in the shared folder; documents stay in the task that reads them.
+    def kept(self) -> Index:
+        """Its shards in the shared folder: for many searches."""
+        if self.cut is None:
+            return self
+        with batches_of(self.rows.sparkSession, self.shard_bytes):
+            return Index(stored(self.rows.mapInArrow(self.cut, SHARD), large_rows=True), self.documents, self.terms, self.shard_bytes)
 
-    A first pass counts documents and terms; a second one cuts each task's texts
-    into shards of about ``shard_bytes`` (one longer text is its own) and writes
-    for each the distinct terms and, term by term, the documents and their
-    impacts ``(10**9 * tf) div (1000 * tf + 20 * m)``, 32-bit integers. Nothing
-    is shuffled. Null texts have no terms; repeated rows are documents each.
+
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", shard_bytes: int = 4 << 20) -> Index:
+    """An index of whole texts; documents stay in the task that reads them.
+
+    A pass counts documents and terms. When the index is read or kept, each
+    task's texts are cut into shards of about ``shard_bytes`` (one longer text
+    is its own), which hold the distinct terms and, term by term, the documents
+    and their impacts ``(10**9 * tf) div (1000 * tf + 20 * m)``, 32-bit
+    integers. A task holds one shard at a time. Nothing is shuffled. Null texts
+    have no terms; repeated rows are documents each.
     """
     rows = docs.select(quoted(key).cast("long").alias("id"), quoted(text).alias("t"))
+    most = shard_bytes + shard_bytes // 8  # a batch exceeds its size by a text
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Batches) -> Batches:
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            for a, b in slices(offsets, shard_bytes):
+            for a, b in slices(offsets, most):
                 own = offsets[a : b + 1] - offsets[a]
                 sizes = per_text(term_starts(data[offsets[a] : offsets[b]], own)[1], own)
                 yield pa.RecordBatch.from_pydict({"n": [int((sizes > 0).sum())], "l": [int(sizes.sum())]})
 
-    total = rows.select("t").mapInArrow(measure, "n long, l long").agg(F.sum("n"), F.sum("l")).first()
+    with batches_of(docs.sparkSession, shard_bytes):
+        total = rows.select("t").mapInArrow(measure, "n long, l long").agg(F.sum("n"), F.sum("l")).first()
     count, length = total[0] or 0, total[1] or 0
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shards(batches: Batches) -> Batches:
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             data, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets, shard_bytes):
+            for a, b in slices(offsets, most):
                 terms, at, texts, tf, sizes = postings(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if len(terms):
                     m = 50 + 50 * sizes * count // length
                     impacts = 10**9 * tf // (1000 * tf + 20 * m[texts])
-                    binary = lambda x, kind: pa.array([np.ascontiguousarray(x, kind).tobytes()], pa.binary())
-                    one = pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms)
-                    yield pa.RecordBatch.from_arrays([binary(ids[a:b], np.int64), one, binary(at, np.int64), binary(texts, np.int32), binary(impacts, np.int32)], names=["ids", "terms", "at", "docs", "impacts"])
+                    begins = np.frombuffer(terms.buffers()[1], np.int32, len(terms) + 1)
+                    letters = np.frombuffer(terms.buffers()[2], np.uint8, begins[-1])
+                    columns = (ids[a:b], letters, begins, at, texts, impacts)
+                    yield pa.RecordBatch.from_pydict({name: pa.array([np.ascontiguousarray(x, kind).tobytes()], pa.binary()) for (name, kind), x in zip(KINDS.items(), columns)})
 
-    return Index(stored(rows.mapInArrow(shards, SHARD)), count, length)
+    return Index(rows, count, length, shard_bytes, shards)
 
 
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -109,9 +137,15 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     return queries.select(quoted(key).alias("item_id"), F.explode(words).alias("term")).distinct()
 
 
+def numbers(batch: pa.RecordBatch, row: int, name: str) -> np.ndarray:
+    """A column of a shard."""
+    return np.frombuffer(batch.column(batch.schema.get_field_index(name))[row].as_buffer(), KINDS[name])
+
+
 def found_terms(batch: pa.RecordBatch, row: int, vocabulary: pa.Array) -> np.ndarray:
     """Each term's place in a shard, -1 where it has none."""
-    shard = batch.column(batch.schema.get_field_index("terms"))[row].values
+    begins = numbers(batch, row, "begins").copy()  # a value's bytes may stand at any address
+    shard = pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(begins), pa.py_buffer(numbers(batch, row, "letters"))])
     return pc.index_in(vocabulary, value_set=shard).fill_null(-1).to_numpy(zero_copy_only=False)
 
 
@@ -127,7 +161,8 @@ def search(index: Index, queries: DataFrame, key: str = "item_id", text: str = "
     """The ``k`` best documents above 0 for each item: (item_id, rank, doc_id, score).
 
     Items go to all tasks in blocks of about ``block_terms`` distinct (item,
-    term) pairs; one pass over the shards sums the terms' document frequencies
+    term) pairs; for more than one block the index is kept. One pass over the
+    shards sums the terms' document frequencies
     and gives them their weights, another adds, term at a time, weight times
     impact to a dense accumulator a shard, keeps the k best of a task, and the
     tasks' bests meet by item. Repeated item ids are one item, the union of
@@ -138,6 +173,7 @@ def search(index: Index, queries: DataFrame, key: str = "item_id", text: str = "
     spark = queries.sparkSession
     pairs = checkpointed(query_terms(queries, key, text))
     blocks = max(1, -(-pairs.count() // block_terms))
+    index = index.kept() if blocks > 1 else index
     found = None
     for b in range(blocks):
         own = pairs.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toArrow()
@@ -149,29 +185,30 @@ def search(index: Index, queries: DataFrame, key: str = "item_id", text: str = "
         bounds = np.searchsorted(items.indices.to_numpy()[order], np.arange(len(names) + 1))
         shared = spark.sparkContext.broadcast(vocabulary)
 
-        def frequencies(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def frequencies(batches: Batches, shared=shared) -> Batches:
             total = np.zeros(len(shared.value), np.int64)
             for batch in batches:
                 for row in range(batch.num_rows):
                     place = found_terms(batch, row, shared.value)
-                    at = np.frombuffer(batch.column(1)[row].as_buffer(), np.int64)
+                    at = numbers(batch, row, "at")
                     total += np.where(place >= 0, at[place + 1] - at[place], 0)
             held = np.nonzero(total)[0]
             yield pa.RecordBatch.from_pydict({"term": held, "df": total[held]})
 
-        counted = index.shards.select("terms", "at").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df")).collect()
+        with batches_of(spark, index.shard_bytes):
+            counted = index.each(frequencies, "term long, df long").groupBy("term").agg(F.sum("df")).collect()
         weight = np.zeros(len(vocabulary), np.int64)
         for term, df in counted:
             weight[term] = math.floor(1000 * math.log((2 * index.documents + 2) / (2 * df + 1)))
         task = spark.sparkContext.broadcast((vocabulary, weight, terms, bounds))
 
-        def score(batches: Iterator[pa.RecordBatch], task=task) -> Iterator[pa.RecordBatch]:
+        def score(batches: Batches, task=task) -> Batches:
             vocabulary, weight, terms, bounds = task.value
             best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * (len(bounds) - 1)
             for batch in batches:
                 for row in range(batch.num_rows):
                     place = found_terms(batch, row, vocabulary)
-                    ids, at, docs, impacts = (np.frombuffer(batch.column(c)[row].as_buffer(), kind) for c, kind in ((0, np.int64), (2, np.int64), (3, np.int32), (4, np.int32)))
+                    ids, at, docs, impacts = (numbers(batch, row, name) for name in ("ids", "at", "docs", "impacts"))
                     total = np.zeros(len(ids), np.int64)
                     for i in range(len(bounds) - 1):
                         held = terms[bounds[i] : bounds[i + 1]]
@@ -191,7 +228,7 @@ def search(index: Index, queries: DataFrame, key: str = "item_id", text: str = "
                 if len(s):
                     yield pa.RecordBatch.from_pydict({"item": np.full(len(s), i), "doc": d, "score": s})
 
-        part = index.shards.mapInArrow(score, "item long, doc long, score long")
+        part = index.each(score, "item long, doc long, score long")
         top = W.partitionBy("item").orderBy(F.desc("score"), "doc")
         part = part.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
         ids = spark.createDataFrame(pa.table({"item": np.arange(len(names)), "item_id": names})) if len(names) else None
@@ -200,7 +237,8 @@ def search(index: Index, queries: DataFrame, key: str = "item_id", text: str = "
         else:
             part = part.join(F.broadcast(ids), "item")
         part = part.select(F.col("item_id").cast(pairs.schema["item_id"].dataType), F.col("rank").cast("int"), F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "score")
-        part = checkpointed(part) if blocks > 1 else part
+        with batches_of(spark, index.shard_bytes):
+            part = checkpointed(part)
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -144,7 +144,7 @@ def shards_of(rows: DataFrame, shard_rows: int) -> DataFrame:
         if held:
             yield settle()
 
-    return stored(rows.mapInArrow(cut, SHARD))
+    return stored(rows.mapInArrow(cut, SHARD), large_rows=True)
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Planes]]:

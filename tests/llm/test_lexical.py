@@ -4,11 +4,16 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.llm import lexical as lx
+from seqloom.llm.common import batches_of, shared_folder
 
 
 def brute(docs, items, k):
@@ -86,3 +91,38 @@ def test_postings_are_sorted_rows():
 
 def test_query(spark, same_rows):
     same_rows(lx.query, lx.SQL)
+
+
+def groups(folder, before):
+    """Rows in each row group of the tables written since, by table."""
+    files = [p for p in Path(folder).glob("table-*/part-*.parquet") if p.parent.name not in before]
+    out = {}
+    for p in files:
+        m = pq.ParquetFile(p).metadata
+        out.setdefault(p.parent.name, []).extend(m.row_group(g).num_rows for g in range(m.num_row_groups))
+    return out
+
+
+def test_a_task_holds_one_shard_at_a_time(spark, tables):
+    docs, items, d, q = tables
+    folder = shared_folder(spark).removeprefix("file:")
+    before = {p.name for p in Path(folder).glob("table-*")}
+    assert rows(lx.search(lx.build_index(d, shard_bytes=700), q, k=7)) == brute(docs, items, 7)
+    assert not groups(folder, before)  # searched once, an index is not written
+    assert rows(lx.search(lx.build_index(d, shard_bytes=700), q, k=7, block_terms=20)) == brute(docs, items, 7)
+    (kept,) = groups(folder, before).values()
+    assert len(kept) > 20 and set(kept) == {1}
+
+
+def test_batches_are_small(spark):
+    d = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("t"))
+
+    def largest(batches):
+        yield pa.RecordBatch.from_pydict({"n": [max(b.nbytes for b in batches)]})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = spark.conf.get(name)
+    with pytest.raises(ZeroDivisionError), batches_of(spark, 20_000):
+        assert d.mapInArrow(largest, "n long").first()[0] < 25_000
+        1 / 0
+    assert spark.conf.get(name) == usual and d.mapInArrow(largest, "n long").first()[0] > 1_000_000
