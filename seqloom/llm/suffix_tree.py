@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, in_fold, quoted, read, slices, stored
+from .common import batches_of, carried, frugal, in_fold, quoted, read, slices, stored
 
 #: Contexts have up to DEPTH symbols: with the symbol that follows they fill two 64-bit keys.
 DEPTH = 15
@@ -29,6 +29,8 @@ END_WORD = b""
 HEAD, TAIL = 3, 3
 #: Units are words, and joints: the end of a word, a gap and the first symbols of the next; each symbol of a text belongs to one.
 WORD_UNIT, JOINT_UNIT = b"w", b"j"
+#: Bytes of texts or units that a task is sent at once.
+BATCH = 1 << 22
 OUT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -364,7 +366,8 @@ def gained(table: DataFrame, symbols: int, nats: float) -> DataFrame:
     # parts grow with the words, so what one part holds does not
     many = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), symbols >> 20)
 
-    def chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.Table]:
+    def chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 17) -> Iterator[pa.Table]:
+        frugal()
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
@@ -407,6 +410,7 @@ def gained(table: DataFrame, symbols: int, nats: float) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part[at[0]]], pa.int32()), "data": pa.array([data], pa.binary())})
 
     def settle(group: pa.Table) -> pa.Table:
+        frugal()
         high, low, ids, n = (np.concatenate(c) for c in zip(*(expanded(x) for x in group["data"].to_pylist())))
         order = np.lexsort((low, high))
         high, low, ids, n = high[order], low[order], ids[order], n[order].astype(np.int64)
@@ -460,13 +464,19 @@ def score_texts(
     counts as empty: its only token is the end. Nothing to learn from: no token is known and the tree is a flat root. Repeated rows
     count each time; an empty table gives an empty result.
     """
+    with batches_of(docs.sparkSession, BATCH):
+        return scored_texts(docs, learn, text, carried(docs, keep, OUT), divergence, head_words, tree)
+
+
+def scored_texts(docs: DataFrame, learn: Column | None, text: str, own: list[str], divergence: float, head_words: int, tree: bool) -> DataFrame:
+    """:func:`score_texts`, in batches of the session's size."""
     spark = docs.sparkSession
-    own = carried(docs, keep, OUT)
     learned = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
     marks = (WORD_UNIT, JOINT_UNIT) if tree else (WORD_UNIT,)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words and joints with their occurrences in training texts and in all."""
+        frugal()
         held: dict[bytes, list[pa.Table]] = {mark: [] for mark in marks}
 
         def load() -> int:
@@ -519,6 +529,7 @@ def score_texts(
     head = spark.sparkContext.broadcast(heads)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         for batch in batches:
             scored_at = batch.schema.get_field_index("scored")
             kept = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if i != scored_at]

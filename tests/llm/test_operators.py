@@ -9,11 +9,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from seqloom.llm import decontaminate, induced, langid, mixing, pii, queries, repeats, secrets, simhash, suffix_tree, topk, toxicity
+from seqloom.llm import common, decontaminate, induced, langid, mixing, pii, queries, repeats, secrets, simhash, suffix_tree, topk, toxicity
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -276,6 +277,22 @@ def test_tree_equals_a_plain_one(spark, head):
         assert r.score == pytest.approx(want[r.doc_id, r.text])
 
 
+def test_tree_spares_memory(spark, monkeypatch):
+    """Tasks are sent 4 MB at a time, and idle workers don't keep what they freed."""
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    usual = spark.conf.get(name)
+    monkeypatch.setattr(suffix_tree, "stored", lambda df: seen.append(spark.conf.get(name)) or common.stored(df))
+    df = spark.createDataFrame([(i, f"word{i} and word{i + 1}") for i in range(40)], "doc_id long, text string")
+    assert suffix_tree.score_texts(df, head_words=2).count() == 40
+    assert set(seen) == {f"{4 << 20}b"} and len(seen) == 3 and spark.conf.get(name) == usual
+
+    def pools(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"pool": [pa.default_memory_pool().backend_name]})
+
+    assert "system" in {r.pool for r in spark.range(64).repartition(8).mapInArrow(pools, "pool string").collect()}
+
+
 def test_tree_is_a_distribution_and_prunes():
     texts = ["ab ab  cab abc", "", None, " hello world hello", "aa aa aa"] * 3
     units = Counter()
