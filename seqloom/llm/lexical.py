@@ -82,7 +82,7 @@ class Index:
         return self.rows.mapInArrow(run if cut is None else lambda batches: run(cut(batches)), schema)
 
     def kept(self) -> Index:
-        """Its shards in the shared folder: for many searches."""
+        """Its shards in the shared folder: for many small searches; tasks then take more memory."""
         if self.cut is None:
             return self
         with batches_of(self.rows.sparkSession, self.shard_bytes):
@@ -161,8 +161,7 @@ def search(index: Index, queries: DataFrame, key: str = "item_id", text: str = "
     """The ``k`` best documents above 0 for each item: (item_id, rank, doc_id, score).
 
     Items go to all tasks in blocks of about ``block_terms`` distinct (item,
-    term) pairs; for more than one block the index is kept. One pass over the
-    shards sums the terms' document frequencies
+    term) pairs; one pass over the shards sums the terms' document frequencies
     and gives them their weights, another adds, term at a time, weight times
     impact to a dense accumulator a shard, keeps the k best of a task, and the
     tasks' bests meet by item. Repeated item ids are one item, the union of
@@ -173,7 +172,6 @@ def search(index: Index, queries: DataFrame, key: str = "item_id", text: str = "
     spark = queries.sparkSession
     pairs = checkpointed(query_terms(queries, key, text))
     blocks = max(1, -(-pairs.count() // block_terms))
-    index = index.kept() if blocks > 1 else index
     found = None
     for b in range(blocks):
         own = pairs.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toArrow()
